@@ -1,16 +1,17 @@
 """Grouping boxes into clusters of mutually similar ones.
 
-A record is five numbers: the corners (in order) and the confidence. Each number is written as two tokens, its
-cell in a grid of twice the tolerance and its cell in the same grid shifted by one tolerance; a record is the
-set of its ten tokens. MinHash uses permutations that rank one (number, grid) block first, so a signature value
-is the token of that block; a band takes one of the two grids for each number. Two numbers at most one
-tolerance apart share a cell in at least one of the two grids, hence two similar records share all five
-tokens of at least one of the 32 bands, and their Jaccard similarity is at least 1/3: banding by these
-permutations loses no similar pair, which random permutations would.
-
-Records are first pre-aggregated: all records in one cell of the size of the tolerance are mutually similar,
-so a cell with the extents of its members stands for them, however many there are. A band's bucket covers two
-such cells in each number, 32 at most, so no bucket holds an unbounded group.
+A record is five numbers: the corners (in order) and the confidence. Records are first pre-aggregated: all
+records in one cell of the size of the tolerance are mutually similar, so a cell with the extents of its
+members stands for them however many they are, and neighbouring cells whose joint extents stay within the
+tolerance are merged into one node. Nodes, not records, are compared.
+
+A node's lower ends are written as tokens, two for each number: its cell in a grid of four tolerances and its
+cell in the same grid shifted by half of that. MinHash uses permutations that rank one (number, grid) block
+first, so a signature value is the token of that block; a band takes one of the two grids for each of BANDED.
+Lower ends at most two tolerances apart share a cell in at least one of the two grids, hence nodes that hold
+similar records agree in at least one band, and their token sets have a Jaccard similarity of 1/3 or more:
+banding by these permutations loses no similar pair, which random permutations would. Every pair is verified
+by the Jaccard similarity and then by the extents, or, where those leave it open, on ever smaller cells.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from __future__ import annotations
 from functools import reduce
 from itertools import product
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from framewright.session import cut
@@ -27,6 +28,9 @@ PIXELS = 20.0  #: tolerance of a corner coordinate
 CONFIDENCE = 0.2  #: tolerance of the confidence
 UNITS = 1000  #: confidences and pixels are compared as whole thousandths
 MIN_JACCARD = 1 / 3  #: what two similar records reach at least: 5 tokens of 15
+BANDED = ("x1", "y1", "x2")  #: numbers whose grids make up a band
+HOT_SHARE = 1000  #: a cell with more than 1/HOT_SHARE of all rows is hot, so there are fewer hot cells than that
+HOT_SALTS = 64  #: parts a hot cell is split into
 NUMBERS = ["x1", "y1", "x2", "y2", "cf"]
 TOLERANCE = {"x1": int(PIXELS * UNITS), "y1": int(PIXELS * UNITS), "x2": int(PIXELS * UNITS), "y2": int(PIXELS * UNITS), "cf": int(CONFIDENCE * UNITS)}
 
@@ -45,41 +49,67 @@ def box_records(detections: DataFrame) -> DataFrame:
     )
 
 
+CELL = [f"c_{n}" for n in NUMBERS]
+EXTENT = [f"{p}_{n}" for n in NUMBERS for p in ("lo", "hi")]
+
+
 def _cells(halvings: int = 0) -> list[Column]:
     return [F.floor(F.col(n) * (1 << halvings) / TOLERANCE[n]).alias(f"c_{n}") for n in NUMBERS]
 
 
-CELL = [f"c_{n}" for n in NUMBERS]
+def _all(parts: list[Column]) -> Column:
+    return reduce(lambda p, q: p & q, parts)
 
 
-def cell_nodes(records: DataFrame, halvings: int = 0) -> DataFrame:
-    """One row per occupied cell of a video: extents, smallest id, number of rows and a node id."""
+def cells_of(records: DataFrame, halvings: int = 0) -> DataFrame:
+    """One row per occupied cell of a video: extents, smallest id and number of rows."""
     extents = [f(n).alias(f"{p}_{n}") for n in NUMBERS for f, p in ((F.min, "lo"), (F.max, "hi"))]
-    nodes = records.select("*", *_cells(halvings)).groupBy("video_id", *CELL).agg(F.min("det_id").alias("node"), F.count("*").alias("n"), *extents)
-    return nodes
+    return records.select("*", *_cells(halvings)).groupBy("video_id", *CELL).agg(F.min("det_id").alias("node"), F.count("*").alias("n"), *extents)
+
+
+def merge_cells(cells: DataFrame) -> DataFrame:
+    """The cells with the ``node`` they belong to and that node's extents as lo_*, hi_*; their own are kept in ``own``.
+
+    Cells in one bucket of two tolerances become one node if together they stay within the tolerance. Buckets
+    hold few cells; the second round shifts them by one tolerance, a third the confidence only.
+    """
+    merged = cells.withColumn("own", F.struct(*EXTENT))
+    for shift in ([0] * 5, [1] * 5, [0, 0, 0, 0, 1]):
+        bucket = [F.floor((F.col(f"lo_{n}") / TOLERANCE[n] + s) / 2).alias(f"b_{n}") for n, s in zip(NUMBERS, shift)]
+        w = Window.partitionBy("video_id", *[f"b_{n}" for n in NUMBERS])
+        whole = [(F.min(f"lo_{n}").over(w).alias(f"wlo_{n}"), F.max(f"hi_{n}").over(w).alias(f"whi_{n}")) for n in NUMBERS]
+        seen = merged.select("*", *bucket).select("*", F.min("node").over(w).alias("wnode"), *[x for pair in whole for x in pair])
+        fits = _all([F.col(f"whi_{n}") - F.col(f"wlo_{n}") <= TOLERANCE[n] for n in NUMBERS])
+        merged = seen.select("video_id", *CELL, "n", "own", F.when(fits, F.col("wnode")).otherwise(F.col("node")).alias("node"), *[F.when(fits, F.col(f"w{x}")).otherwise(F.col(x)).alias(x) for x in EXTENT])
+    return merged
+
+
+def _grid(number: str, value: Column, shifted: int) -> Column:
+    return F.floor((value / TOLERANCE[number] + 2 * shifted) / 4)
 
 
 def candidate_pairs(nodes: DataFrame) -> DataFrame:
-    """Pairs of nodes of one video that share a band, each once, with the Jaccard similarity of their cells' tokens."""
-    band_keys = []
-    for grids in product((0, 1), repeat=len(NUMBERS)):
-        band_keys.append(F.array(*[F.floor((F.col(c) + g) / 2) for c, g in zip(CELL, grids)]))
-    banded = nodes.select("video_id", F.struct("node", *CELL, *[f"{p}_{n}" for n in NUMBERS for p in ("lo", "hi")]).alias("x"), F.posexplode(F.array(*band_keys)).alias("band", "bucket"))
-    buckets = banded.groupBy("video_id", "band", "bucket").agg(F.collect_list("x").alias("xs")).where(F.size("xs") > 1)
-    # a bucket holds at most 2 cells in each of 5 numbers
-    left = buckets.select("video_id", "xs", F.explode("xs").alias("a"))
-    pairs = left.select("video_id", "a", F.explode(F.filter("xs", lambda b: b["node"] > F.col("a.node"))).alias("b")).select("video_id", "a", "b").dropDuplicates(["video_id", "a", "b"])
-    shared = reduce(lambda p, q: p + q, [(F.floor((F.col(f"a.{c}") + g) / 2) == F.floor((F.col(f"b.{c}") + g) / 2)).cast("int") for c in CELL for g in (0, 1)])
-    return pairs.withColumn("jaccard", shared / (F.lit(4 * len(NUMBERS)) - shared)).where(F.col("jaccard") >= MIN_JACCARD)
+    """(video_id, a, b, jaccard): pairs of nodes of one video that share a band, each once.
+
+    A pair is taken from the first band it shares, so no pair is made twice.
+    """
+    bands = list(product((0, 1), repeat=len(BANDED)))
+    keys = [F.xxhash64("video_id", F.lit(i), *[_grid(n, F.col(f"lo_{n}"), g) for n, g in zip(BANDED, grids)]) for i, grids in enumerate(bands)]
+    banded = nodes.select(F.struct("video_id", "node", *EXTENT).alias("x"), F.posexplode(F.array(*keys)).alias("band", "bucket"))
+    buckets = banded.groupBy("bucket", "band").agg(F.collect_list("x").alias("xs")).where(F.size("xs") > 1)
+    pairs = buckets.select("band", "xs", F.explode("xs").alias("a")).select("band", "a", F.explode(F.filter("xs", lambda b: (b["node"] > F.col("a.node")) & (b["video_id"] == F.col("a.video_id")))).alias("b"))
+    same = {(n, g): _grid(n, F.col(f"a.lo_{n}"), g) == _grid(n, F.col(f"b.lo_{n}"), g) for n in NUMBERS for g in (0, 1)}
+    first = reduce(lambda p, q: p * 2 + q, [F.when(same[n, 0], 0).otherwise(1) for n in BANDED])
+    shared = reduce(lambda p, q: p + q, [x.cast("int") for x in same.values()])
+    return pairs.where(F.col("band") == first).withColumn("jaccard", shared / (F.lit(4 * len(NUMBERS)) - shared)).where(F.col("jaccard") >= MIN_JACCARD).select("a.video_id", "a", "b", "jaccard")
 
 
 def _verdict() -> Column:
-    """'linked' if all members of both nodes are similar, 'apart' if none can be, else 'open'."""
+    """'linked' if all members of both sides are similar, 'apart' if none can be, else 'open'."""
     span = lambda n: F.greatest(f"a.hi_{n}", f"b.hi_{n}") - F.least(f"a.lo_{n}", f"b.lo_{n}")
     gap = lambda n: F.greatest(f"a.lo_{n}", f"b.lo_{n}") - F.least(f"a.hi_{n}", f"b.hi_{n}")
-    linked = reduce(lambda p, q: p & q, [span(n) <= TOLERANCE[n] for n in NUMBERS])
     apart = reduce(lambda p, q: p | q, [gap(n) > TOLERANCE[n] for n in NUMBERS])
-    return F.when(linked, "linked").when(apart, "apart").otherwise("open")
+    return F.when(_all([span(n) <= TOLERANCE[n] for n in NUMBERS]), "linked").when(apart, "apart").otherwise("open")
 
 
 def components(edges: DataFrame, vertices: DataFrame) -> DataFrame:
@@ -90,7 +120,7 @@ def components(edges: DataFrame, vertices: DataFrame) -> DataFrame:
     """
     e = cut(edges.select("video_id", F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     before = None
-    while True:
+    while not e.isEmpty():
         both = e.unionByName(e.select("video_id", F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("video_id", "u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.where("v > u").join(least, ["video_id", "u"]).select("video_id", F.col("v").alias("u"), F.col("m").alias("v"))
@@ -107,50 +137,53 @@ def components(edges: DataFrame, vertices: DataFrame) -> DataFrame:
     return vertices.join(roots, ["video_id", "node"], "left").select("video_id", "node", F.coalesce("root", "node").alias("root"))
 
 
-def _open_links(open_pairs: DataFrame, records: DataFrame) -> DataFrame:
-    """The open pairs of cells that hold at least one similar pair of records, decided on ever smaller cells.
+def _open_links(pairs: DataFrame, cells: DataFrame, records: DataFrame) -> DataFrame:
+    """(video_id, a, b): those of the open pairs of nodes that hold at least one similar pair of records.
 
-    Only the records of open cells take part. Each round halves the cells, so extents settle most pairs; cells
-    of a single distinct record settle the rest exactly.
+    The nodes' cells are held against each other by their extents, what stays open on cells of half the size,
+    and so on. Cells of a single distinct record settle what is left exactly; only records of open cells take
+    part.
     """
-    pairs = open_pairs.select("video_id", F.col("a.node").alias("a_top"), F.col("b.node").alias("b_top"), *[F.col(f"a.{c}").alias(f"a{c}") for c in CELL], *[F.col(f"b.{c}").alias(f"b{c}") for c in CELL])
-    side = lambda s, nodes: nodes.select("video_id", *[F.col(f"p_{c}").alias(f"{s}{c}") for c in CELL], F.struct(*CELL, *[f"{p}_{n}" for n in NUMBERS for p in ("lo", "hi")]).alias(s))
-    found = None
-    level = 0
+    side = lambda s, df, keys: df.select("video_id", *[F.col(k).alias(f"{s}_{k}") for k in keys], F.struct(*CELL, *EXTENT).alias(s))
+    own = cells.select("video_id", "node", *CELL, "own.*")
+    found, level = None, 0
+    tried = pairs.withColumnsRenamed({"a": "a_node", "b": "b_node"}).join(side("a", own, ["node"]), ["video_id", "a_node"]).join(side("b", own, ["node"]), ["video_id", "b_node"])
     while True:
-        level += 1
-        # thousandths are exhausted once a cell is narrower than one unit in every number
-        last = (TOLERANCE["x1"] >> level) == 0
-        parent = [F.floor(F.col(c) / 2).alias(f"p_{c}") for c in CELL] if not last else [F.floor(F.col(n) * (1 << (level - 1)) / TOLERANCE[n]).alias(f"p_{c}") for n, c in zip(NUMBERS, CELL)]
-        if last:
-            points = records.select("video_id", *NUMBERS).distinct().select("*", *_cells(level), *[F.col(n).alias(f"{p}_{n}") for n in NUMBERS for p in ("lo", "hi")])
-            children = points.select("*", *parent)
-        else:
-            children = cell_nodes(records, level).select("*", *parent)
-        tried = pairs.join(side("a", children), ["video_id", *[f"a{c}" for c in CELL]]).join(side("b", children), ["video_id", *[f"b{c}" for c in CELL]]).withColumn("verdict", _verdict())
-        tried = cut(tried.where("verdict <> 'apart'").select("video_id", "a_top", "b_top", "a", "b", "verdict"))
-        linked = tried.where("verdict = 'linked'").select("video_id", "a_top", "b_top").distinct()
+        tried = cut(tried.withColumn("verdict", _verdict()).where("verdict <> 'apart'").select("video_id", "a_node", "b_node", "a", "b", "verdict"))
+        linked = tried.where("verdict = 'linked'").select("video_id", "a_node", "b_node").distinct()
         found = linked if found is None else found.unionByName(linked)
-        rest = tried.where("verdict = 'open'").join(linked, ["video_id", "a_top", "b_top"], "left_anti")
-        if last or rest.isEmpty():
-            return found.select("video_id", F.col("a_top").alias("a"), F.col("b_top").alias("b"))
-        pairs = rest.select("video_id", "a_top", "b_top", *[F.col(f"a.{c}").alias(f"a{c}") for c in CELL], *[F.col(f"b.{c}").alias(f"b{c}") for c in CELL])
+        still = tried.where("verdict = 'open'").join(linked, ["video_id", "a_node", "b_node"], "left_anti")
+        if (TOLERANCE["x1"] >> level) == 0 or still.isEmpty():
+            return found.select("video_id", F.col("a_node").alias("a"), F.col("b_node").alias("b"))
+        level += 1
+        parent = [f"p_{n}" for n in NUMBERS]
+        open_cells = still.select("video_id", F.explode(F.array("a", "b")).alias("x")).select("video_id", *[F.col(f"x.{c}").alias(p) for c, p in zip(CELL, parent)]).distinct()
+        above = [F.floor(F.col(n) * (1 << (level - 1)) / TOLERANCE[n]).alias(p) for n, p in zip(NUMBERS, parent)]
+        inside = records.select("*", *above).join(open_cells, ["video_id", *parent], "left_semi")
+        children = cells_of(inside.drop(*parent), level)
+        children = children.select("*", *[F.floor(F.col(c) / 2).alias(p) for c, p in zip(CELL, parent)])
+        again = still.select("video_id", "a_node", "b_node", *[F.col(f"{s}.{c}").alias(f"{s}_{p}") for s in "ab" for c, p in zip(CELL, parent)])
+        tried = again.join(side("a", children, parent), ["video_id", *[f"a_{p}" for p in parent]]).join(side("b", children, parent), ["video_id", *[f"b_{p}" for p in parent]])
 
 
 def cluster_cells(detections: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(nodes, links, roots): the occupied cells, the verified links between them and each cell's component."""
+    """(cells, links, roots): the occupied cells with their nodes, the verified links between nodes and each node's component."""
     records = box_records(detections)
-    nodes = cut(cell_nodes(records))
+    cells = cut(merge_cells(cells_of(records)))
+    nodes = cells.groupBy("video_id", "node").agg(*[F.first(x).alias(x) for x in EXTENT])
     judged = cut(candidate_pairs(nodes).withColumn("verdict", _verdict()).where("verdict <> 'apart'"))
-    linked = judged.where("verdict = 'linked'").select("video_id", F.col("a.node").alias("a"), F.col("b.node").alias("b"))
-    roots = cut(components(linked, nodes.select("video_id", "node")))
-    root = lambda s: roots.select("video_id", F.col("node").alias(s), F.col("root").alias(f"root_{s}"))
-    between = judged.where("verdict = 'open'").withColumn("na", F.col("a.node")).withColumn("nb", F.col("b.node"))
-    between = cut(between.join(root("na"), ["video_id", "na"]).join(root("nb"), ["video_id", "nb"]).where("root_na <> root_nb"))
-    if not between.isEmpty():
-        linked = cut(linked.unionByName(_open_links(between.select("video_id", "a", "b"), records)))
-        roots = cut(components(linked, nodes.select("video_id", "node")))
-    return nodes, linked, roots
+    vertices = nodes.select("video_id", "node")
+    links = judged.where("verdict = 'linked'").select("video_id", F.col("a.node").alias("a"), F.col("b.node").alias("b"))
+    roots = components(links, vertices)
+    is_open = judged.where("verdict = 'open'")
+    if not is_open.isEmpty():
+        root = lambda s: roots.select("video_id", F.col("node").alias(s), F.col("root").alias(f"root_{s}"))
+        between = is_open.select("video_id", F.col("a.node").alias("a"), F.col("b.node").alias("b")).join(root("a"), ["video_id", "a"]).join(root("b"), ["video_id", "b"])
+        between = cut(between.where("root_a <> root_b").select("video_id", "a", "b"))
+        if not between.isEmpty():
+            links = cut(links.unionByName(_open_links(between, cells, records)))
+            roots = components(links, vertices)
+    return cells, links, roots
 
 
 def similarity_groups(detections: DataFrame) -> DataFrame:
@@ -158,34 +191,46 @@ def similarity_groups(detections: DataFrame) -> DataFrame:
 
     Two detections are similar if they are of one video, no corner coordinate differs by more than PIXELS and
     the confidence by no more than CONFIDENCE; groups are the connected components. Boxes without all corners
-    belong to no group; an id that is repeated is listed once; an empty table gives an empty result.
+    belong to no group; an id that is repeated is listed once; an empty table gives an empty result. Rows find
+    their cell by its 64-bit hash within the video; hot cells are split over HOT_SALTS tasks.
     """
-    nodes, _, roots = cluster_cells(detections)
-    members = box_records(detections).select("video_id", "det_id", *_cells())
-    placed = members.join(nodes.select("video_id", *CELL, "node").join(roots, ["video_id", "node"]), ["video_id", *CELL])
-    return placed.where("det_id <> root").select(F.col("root").alias("group_det_id"), "det_id").distinct()
+    cells, _, roots = cluster_cells(detections)
+    rooted = cut(cells.join(roots, ["video_id", "node"]).select("video_id", F.xxhash64(*CELL).alias("cell"), "root", "n"))
+    total = rooted.agg(F.sum("n")).first()[0] or 0
+    salts = F.when(F.col("n") * HOT_SHARE > total, HOT_SALTS).otherwise(1)
+    hot = rooted.where(F.col("n") * HOT_SHARE > total).select("video_id", "cell", F.lit(HOT_SALTS).alias("salts"))
+    members = box_records(detections).select("video_id", "det_id", F.xxhash64(*[c for c in _cells()]).alias("cell"))
+    salted = members.join(F.broadcast(hot), ["video_id", "cell"], "left").select("video_id", "cell", "det_id", F.pmod("det_id", F.coalesce("salts", F.lit(1))).cast("int").alias("salt"))
+    targets = rooted.select("video_id", "cell", "root", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"))
+    return salted.join(targets, ["video_id", "cell", "salt"]).where("det_id <> root").select(F.col("root").alias("group_det_id"), "det_id").distinct()
 
 
 def group_summary(detections: DataFrame, typical: int = 3, loose: float = 1.0) -> DataFrame:
     """(video_id, group_det_id, medoid_det_id, size, typical): size and most typical members of each group.
 
-    A group's medoid is its cell of the highest degree (links to other cells, then members). A group whose
-    extent goes beyond ``loose`` tolerances of its medoid in some number is loose and is split: its cells beyond
-    that form groups of their own around the next medoid, by a walk over the cells of the group (cells, not
-    records, so a hot group is small). ``typical`` lists the ids of up to so many cells nearest the medoid.
+    The degree of a cell is the number of rows similar to its own: those of its node and of the nodes linked to
+    that. A group's medoid is its cell of the highest degree (then of the most rows). A group with cells more
+    than ``loose`` tolerances away from the medoid is loose and is split: those cells form groups of their own
+    around the next medoid. The walk is over the cells of a group, not its rows, so a hot group is small; rows
+    are counted with their repetitions. ``typical`` lists the smallest ids of up to so many cells nearest the
+    medoid.
     """
-    nodes, links, roots = cluster_cells(detections)
-    both = links.select("video_id", F.col("a").alias("node")).unionAll(links.select("video_id", F.col("b").alias("node")))
-    degree = both.groupBy("video_id", "node").agg(F.count("*").alias("degree"))
-    mid = [((F.col(f"lo_{n}") + F.col(f"hi_{n}")) / (2.0 * TOLERANCE[n])).alias(f"m_{n}") for n in NUMBERS]
-    cells = nodes.join(roots, ["video_id", "node"]).join(degree, ["video_id", "node"], "left").select("video_id", "root", "node", "n", F.coalesce("degree", F.lit(0)).alias("degree"), *mid)
+    cells, links, roots = cluster_cells(detections)
+    weight = cells.groupBy("video_id", "node").agg(F.sum("n").alias("rows"))
+    both = links.unionAll(links.select("video_id", F.col("b").alias("a"), F.col("a").alias("b")))
+    near = both.join(weight.withColumnRenamed("node", "b"), ["video_id", "b"]).groupBy("video_id", F.col("a").alias("node")).agg(F.sum("rows").alias("linked"))
+    degree = weight.join(near, ["video_id", "node"], "left").select("video_id", "node", (F.col("rows") + F.coalesce("linked", F.lit(0))).alias("degree"))
+    records = box_records(detections)
+    ids = cells_of(records).select("video_id", *CELL, F.col("node").alias("det_id"))
+    mid = [((F.col(f"own.lo_{n}") + F.col(f"own.hi_{n}")) / (2.0 * TOLERANCE[n])).alias(f"m_{n}") for n in NUMBERS]
+    seen = cells.join(roots, ["video_id", "node"]).join(degree, ["video_id", "node"]).join(ids, ["video_id", *CELL]).select("video_id", "root", "det_id", "n", "degree", *mid)
 
     def split(rows):
         import numpy as np
         import pandas as pd
 
-        rows = rows.sort_values(["degree", "n", "node"], ascending=[False, False, True], kind="stable")
-        at, node, n = rows[[f"m_{x}" for x in NUMBERS]].to_numpy(), rows["node"].to_numpy(), rows["n"].to_numpy()
+        rows = rows.sort_values(["degree", "n", "det_id"], ascending=[False, False, True], kind="stable")
+        at, ids, n = rows[[f"m_{x}" for x in NUMBERS]].to_numpy(), rows["det_id"].to_numpy(), rows["n"].to_numpy()
         left, out = np.ones(len(rows), bool), []
         while left.any():
             medoid = int(np.argmax(left))
@@ -193,7 +238,7 @@ def group_summary(detections: DataFrame, typical: int = 3, loose: float = 1.0) -
             own = np.flatnonzero(left & (away <= loose))
             left[own] = False
             nearest = own[np.argsort(away[own], kind="stable")][:typical]
-            out.append((rows["video_id"].iloc[0], int(node[own].min()), int(node[medoid]), int(n[own].sum()), node[nearest].tolist()))
+            out.append((rows["video_id"].iloc[0], int(ids[own].min()), int(ids[medoid]), int(n[own].sum()), ids[nearest].tolist()))
         return pd.DataFrame(out, columns=["video_id", "group_det_id", "medoid_det_id", "size", "typical"])
 
-    return cells.groupBy("video_id", "root").applyInPandas(lambda rows: split(rows), "video_id int, group_det_id long, medoid_det_id long, size long, typical array<long>")
+    return seen.groupBy("video_id", "root").applyInPandas(lambda rows: split(rows), "video_id int, group_det_id long, medoid_det_id long, size long, typical array<long>")
