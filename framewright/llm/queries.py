@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from framewright.llm import similarity
+from framewright.llm import bpe, langid, packing, similarity
 from framewright.sources.tables import table
 
 
@@ -14,6 +14,34 @@ def p6_groups(spark, sf_dir):
     return similarity.group_summary(table(spark, sf_dir, "detections"))
 
 
-QUERIES = {f.__name__: f for f in (p6_found, p6_groups)}
+def p7_ids(spark, sf_dir):
+    return bpe.encode_documents(table(spark, sf_dir, "documents"))
+
+
+def p7_roundtrip(spark, sf_dir):
+    return bpe.round_trips(table(spark, sf_dir, "documents"))
+
+
+def p8_packing(spark, sf_dir):
+    return packing.pack_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "containers"))
+
+
+def p8_fill(spark, sf_dir):
+    return packing.fill_report(p8_packing(spark, sf_dir), table(spark, sf_dir, "containers"))
+
+
+def p9_found(spark, sf_dir):
+    return langid.mislabelled_segments(table(spark, sf_dir, "documents"))
+
+
+def p9_segments(spark, sf_dir):
+    return langid.language_segments(table(spark, sf_dir, "documents"))
+
+
+def p9_documents(spark, sf_dir):
+    return langid.document_languages(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (p6_found, p6_groups, p7_ids, p7_roundtrip, p8_packing, p8_fill, p9_found, p9_segments, p9_documents)}
 
 ORACLES: dict[str, str] = {}
