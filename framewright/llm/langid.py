@@ -170,8 +170,9 @@ def _table(texts: list[str], language: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(table.T.astype(np.float32))
 
 
-def fit(labelled: list[tuple[str, str]]) -> np.ndarray:
-    """The table of log-probabilities from (language, text) pairs whose labels may be wrong."""
+def fit(labelled: list[tuple[str, str]], phrases: list[tuple[str, list[str]]] = ()) -> np.ndarray:
+    """The table of log-probabilities from (language, text) pairs, and (language, plain texts) pairs of short
+    phrases, whose labels may be wrong."""
     texts, first, doc = [], [], []
     for i, (lang, text) in enumerate(labelled):
         for s in sentences(text):
@@ -179,6 +180,10 @@ def fit(labelled: list[tuple[str, str]]) -> np.ndarray:
                 texts.append(plain(s))
                 first.append(LANGUAGES.index(lang))
                 doc.append(i)
+    for i, (lang, short) in enumerate(phrases, len(labelled)):
+        texts += short
+        first += [LANGUAGES.index(lang)] * len(short)
+        doc += [i] * len(short)
     seeds = [(f" {words} ", i) for i, words in enumerate(FREQUENT_WORDS[x] for x in LANGUAGES)]
     bare = [_without_accents(x) for x in texts]
     label = np.array(first, int)
@@ -186,7 +191,7 @@ def fit(labelled: list[tuple[str, str]]) -> np.ndarray:
     table = None
     for _ in range(ROUNDS):
         if table is not None and texts:
-            label = _assigned(scores(texts, table), np.array(doc), len(labelled))[0]
+            label = _assigned(scores(texts, table), np.array(doc), len(labelled) + len(phrases))[0]
         table = _table(everything, np.concatenate([label, label, [i for _, i in seeds]]).astype(int))
     return table
 

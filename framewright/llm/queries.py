@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
-from framewright.llm import bpe, langid, packing, similarity
+from framewright.llm import bpe, langid, packing, pairs, similarity
 from framewright.sources.tables import table
 
 
+def p1_found(spark, sf_dir):
+    return pairs.defective_answers(table(spark, sf_dir, "responses"), table(spark, sf_dir, "documents"))
+
+
+def p1_templates(spark, sf_dir):
+    return pairs.refusal_templates(table(spark, sf_dir, "responses"), table(spark, sf_dir, "documents"))
+
+
 def p6_found(spark, sf_dir):
     return similarity.similarity_groups(table(spark, sf_dir, "detections"))
 
@@ -42,6 +50,6 @@ def p9_documents(spark, sf_dir):
     return langid.document_languages(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p6_found, p6_groups, p7_ids, p7_roundtrip, p8_packing, p8_fill, p9_found, p9_segments, p9_documents)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_templates, p6_found, p6_groups, p7_ids, p7_roundtrip, p8_packing, p8_fill, p9_found, p9_segments, p9_documents)}
 
 ORACLES: dict[str, str] = {}
