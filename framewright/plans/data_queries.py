@@ -43,7 +43,7 @@ ORACLES = {
                    coalesce(start_frame, CAST(ceil(start_ms * 30 / 1000.0) AS BIGINT)) AS s,
                    coalesce(end_frame, CAST(ceil(end_ms * 30 / 1000.0) AS BIGINT)) AS e
             FROM cluster_metadata WHERE video_id IS NOT NULL AND box_label IS NOT NULL),
-        ok AS (SELECT video_id, box_label, least(s, e) AS a, greatest(s, e) AS b FROM iv WHERE s IS NOT NULL AND e IS NOT NULL),
+        ok AS (SELECT DISTINCT video_id, box_label, least(s, e) AS a, greatest(s, e) AS b FROM iv WHERE s IS NOT NULL AND e IS NOT NULL),
         seen AS (SELECT *, max(b) OVER (PARTITION BY video_id, box_label ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM ok),
         island AS (SELECT *, sum(CASE WHEN before IS NULL OR a > before + 1 THEN 1 ELSE 0 END)
                              OVER (PARTITION BY video_id, box_label ORDER BY a, b ROWS UNBOUNDED PRECEDING) AS i FROM seen),
