@@ -83,6 +83,8 @@ def _tools():
             regex.compile(r"(?<![\p{N}_/\\])\p{L}[\p{L}\p{M}'’]*(?![\p{N}_/\\])"),
             regex.compile(r"[^\p{L}]+"),
             regex.compile(r"(?<!\p{L})'[^'\n]{2,80}'(?!\p{L})|\"[^\"\n]{2,80}\"|“[^”\n]{2,80}”|„[^“”\n]{2,80}[“”]|«[^»\n]{2,80}»|「[^」\n]{2,80}」"),
+            regex.compile(r"[\p{N}_/\\]"),
+            regex.compile("[\"“„«「]|(?<![\\p{L}])'"),
         )
     return store.patterns
 
@@ -96,19 +98,28 @@ def sentences(text: str | None) -> list[str]:
 
 def has_words(sentence: str) -> bool:
     """Whether a sentence consists of words rather than of data, code or signs."""
-    words = [w for w in _tools()[1].findall(sentence) if len(w) > 1 or w.isalpha()]
+    tools = _tools()
+    if tools[4].search(sentence):
+        words = [w for w in tools[1].findall(sentence) if len(w) > 1 or w.isalpha()]
+    else:
+        words = tools[2].sub(" ", sentence).split()
     letters = sum(map(len, words))
-    solid = len(sentence) - sum(map(str.isspace, sentence))
-    return letters >= 4 and letters >= MIN_LETTER_SHARE * solid and (sum(len(w) > 1 for w in words) >= 2 or letters >= 6 and any(w[0] > "⿿" for w in words))
+    if letters < 4 or letters < MIN_LETTER_SHARE * (len(sentence) - sentence.count(" ") - sentence.count("\t")):
+        return False
+    return sum(len(w) > 1 for w in words) >= 2 or letters >= 6 and any(w[0] > "⿿" for w in words)
 
 
 def plain(sentence: str) -> str:
     """A sentence as the model sees it: quoted phrases left out unless they are nearly all of it, composed, lower
     case, letters only, single blanks."""
-    bare = _tools()[3].sub(" ", sentence)
-    if has_words(bare):
-        sentence = bare
-    return f" {_tools()[2].sub(' ', unicodedata.normalize('NFC', sentence).lower()).strip()} "
+    tools = _tools()
+    if tools[5].search(sentence):
+        bare = tools[3].sub(" ", sentence)
+        if bare != sentence and has_words(bare):
+            sentence = bare
+    if not sentence.isascii():
+        sentence = unicodedata.normalize("NFC", sentence)
+    return f" {tools[2].sub(' ', sentence.lower()).strip()} "
 
 
 def _without_accents(text: str) -> str:
