@@ -350,6 +350,6 @@ def document_languages(documents: DataFrame) -> DataFrame:
     ones the first by code), the share of its text in it and how many languages it has."""
     each = language_segments(documents).select("doc_id", "label", "seg_no", "lang", "confidence", "chars").distinct()
     by_lang = each.groupBy("doc_id", "label", "lang").agg(F.sum("chars").alias("chars"), (F.sum(F.col("confidence") * F.col("chars")) / F.sum("chars")).alias("confidence"))
-    main = F.max_by(F.struct("chars", "lang", "confidence"), F.struct("chars", F.lit(1)))
-    picked = by_lang.groupBy("doc_id", "label").agg(main.alias("m"), F.sum("chars").alias("all"), F.count("*").cast("int").alias("languages"))
-    return picked.select("doc_id", "label", F.col("m.x.lang").alias("lang"), F.col("m.x.confidence").alias("confidence"), (F.col("m.chars") / F.col("all")).alias("share"), "languages")
+    ranked = F.array_sort(F.collect_list(F.struct((-F.col("chars")).alias("order"), "lang", "confidence")))  # one entry a language
+    picked = by_lang.groupBy("doc_id", "label").agg(F.get(ranked, 0).alias("m"), F.sum("chars").alias("all"), F.count("*").cast("int").alias("languages"))
+    return picked.select("doc_id", "label", "m.lang", "m.confidence", (-F.col("m.order") / F.col("all")).alias("share"), "languages")

@@ -52,11 +52,8 @@ def test_found(spark, table):
 
 
 def test_held_out_accuracy(spark, sf_dir):
-    import pandas as pd
-
     place = sf_dir.replace("sf0.001", "sf0.01")
     docs = spark.read.parquet(f"{place}/documents.parquet")
     model = langid.fitted(docs.where("doc_id % 2 = 0"))
     held = langid.language_segments(docs.where("doc_id % 2 = 1"), model).where("label is not null and segments = 1").toPandas()
-    by_label = held.groupby("label").apply(lambda g: (g.lang == g.label).mean(), include_groups=False)
-    assert isinstance(by_label, pd.Series) and (held.lang == held.label).mean() > 0.85  # about a tenth of the labels is wrong
+    assert (held.lang == held.label).mean() > 0.85  # about a tenth of the labels is wrong

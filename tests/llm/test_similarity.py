@@ -38,7 +38,7 @@ def test_equals_brute_force(spark, spread):
     rng = np.random.default_rng(spread)
     rows = []
     for i in range(400):
-        x, y = rng.integers(0, spread, 2) * 1.0
+        x, y = (float(v) for v in rng.integers(0, spread, 2))
         rows.append((i + 1, 1 + i % 2, x, y, x + float(rng.integers(0, 40)), y + float(rng.integers(0, 40)), float(rng.integers(0, 10)) / 10))
     assert run(spark, rows) == brute(rows)
 
