@@ -9,6 +9,8 @@ from framewright.operators import boxes as B
 from framewright.operators import clustering, crop, labelling, sections, smoothing, tracking
 from framewright.plans import pipelines
 from framewright.plans.pipelines import load, section_boxes
+from framewright.session import shared_place
+from framewright.streaming import boxes as stream
 
 R = 4  #: digits to which averages are rounded
 
@@ -334,6 +336,11 @@ def tile_boxes(spark, d):
     return crop.tile_boxes(load(spark, d, "videos").select("width", "height").distinct())
 
 
+def stream_section_counts(spark, d):
+    counts = stream.section_counts(stream.read_stream(spark, d, "detections"), load(spark, d, "videos"))
+    return stream.run_complete(counts, shared_place(spark))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -344,5 +351,6 @@ QUERIES = {
         mask_antijoin, vlm_parse, vlm_join, vlm_cache_miss, parse_ground_truth, score_artifacts, score_overall, letter_bias, color_bias, eps_neighbors, dbscan_play,
         dbscan_static, declustered_boxes, relevant_boxes, merge_clusters, nms_tiles, gaussian_smooth, gaussian_smooth_int, skewed_smooth, joint_smooth, spline_chunks,
         greedy_select, interest_track, heatmap_poi, heatmap_argmax, kalman_track, cluster_heading, label_placement, tile_boxes,
+        stream_section_counts,
     )
 }

@@ -96,6 +96,7 @@ ORACLES = {
     "crop_plan": f"WITH {_CARRIED}, " + _crop("SELECT * FROM carried"),
     "sectionize": f"WITH {_SECTIONS} SELECT * FROM sec",
     "section_counts": f"WITH {_PLACED} SELECT video_id, section_id, count(*) AS n_boxes, count(*) FILTER (WHERE cluster_id <> -1) AS n_clustered FROM placed GROUP BY ROLLUP (video_id, section_id)",
+    "stream_section_counts": f"WITH {_RAW} SELECT video_id, frame_id // (3 * fps) AS section_id, count(*) AS n_boxes FROM raw JOIN videos USING (video_id) GROUP BY 1, 2",
     "sample_frames": f"WITH {_SECTIONS} SELECT video_id, section_id, i - 1 AS sample_no, (start_frame * 5 + i * (end_frame - start_frame)) // 5 - 1 AS frame_id FROM sec, (SELECT unnest(range(1, 6)) AS i) WHERE end_frame - start_frame >= 5",
     "sample_centers": f"WITH {_SECTIONS} SELECT video_id, section_id, i AS sample_no, (start_frame * 10 + (2 * i + 1) * (end_frame - start_frame)) // 10 AS frame_id FROM sec, (SELECT unnest(range(0, 5)) AS i)",
     "sample_occupied": f"WITH {_BOX}, {_SECTIONS} SELECT s.video_id, s.section_id, min(b.frame_id) AS frame_id FROM sec s JOIN (SELECT DISTINCT video_id, frame_id FROM box) b ON b.video_id = s.video_id AND b.frame_id >= (start_frame + end_frame) // 2 GROUP BY 1, 2",

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -37,6 +38,12 @@ def _ensure_checkpoint_dir(spark: SparkSession) -> None:
         raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
 
 
+def shared_place(spark: SparkSession) -> str:
+    """A new folder below the checkpoint folder, which all executors share."""
+    _ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/{uuid.uuid4().hex}"
+
+
 def cut(df: DataFrame) -> DataFrame:
     """``df`` written once to the shared checkpoint folder, its lineage cut there.
 
