@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 from framewright.session import cut
 
 CHUNK = 128  #: files of a family handled together
-RENAME_LIMIT = 0.5  #: greatest distance between kinds of values that a rename may have
-NAME_WEIGHT = 0.2
+RENAME_LIMIT = 0.5  #: greatest distance between kinds of values that a rename may have, more for names alike
+NAME_WEIGHT = 0.2  #: what names wholly unlike cost, and names wholly alike are worth
 MOVE_COST = 0.3
 
 
@@ -52,7 +52,7 @@ def _type_of(value: object) -> str | None:
 
 
 def _number_kind(value: float, whole: bool) -> dict:
-    return {"n": 1, "whole": int(whole), "log": math.log10(min(max(abs(value), 1e-3), 1e300))}
+    return {"n": 1, "whole": int(whole), "log": math.log10(1 + min(abs(value), 1e300))}
 
 
 def _kind_of(value: object) -> tuple[str, dict]:
@@ -63,8 +63,8 @@ def _kind_of(value: object) -> tuple[str, dict]:
         return "number", _number_kind(float(value) if abs(value) < 1e300 else 1e300, isinstance(value, int))
     if isinstance(value, str):
         numeric = bool(re.fullmatch(r"\s*[-+]?\d+(\.\d+)?\s*", value)) and len(value) < 40
-        kind = {"n": 1, "numeric": int(numeric), "space": int(" " in value.strip()), "digit": int(any(x.isdigit() for x in value)), "upper": int(value[:1].isupper()), "length": math.log1p(len(value))}
-        return "string", kind | ({"log": math.log10(max(abs(float(value)), 1e-3)), "whole": int("." not in value)} if numeric else {})
+        kind = {"n": 1, "numeric": int(numeric), "space": int(" " in value.strip()), "digit": int(" " not in value.strip() and any(x.isdigit() for x in value)), "upper": int(value[:1].isupper()), "length": math.log1p(len(value))}
+        return "string", kind | ({"log": math.log10(1 + abs(float(value))), "whole": int("." not in value)} if numeric else {})
     if isinstance(value, list):
         return "array", {"n": 1, "length": math.log1p(len(value))} | {f"of {_type_of(x)}": 1 for x in value[:1]}
     return "object", {"n": 1} | {f"key {k}": 1 for k in value}
@@ -105,7 +105,7 @@ def kind_distance(a: dict, b: dict) -> float:
         x, y = a[name], b[name]
         mean = lambda k: abs(x.get(k, 0) / x["n"] - y.get(k, 0) / y["n"])  # noqa: B023, E731
         if name == "number" or (name == "string" and x.get("numeric", 0) == x["n"] and y.get("numeric", 0) == y["n"]):
-            d = 0.6 * min(1.0, mean("log") / 1.2) + 0.4 * mean("whole")
+            d = 0.6 * min(1.0, mean("log") / 1.5) + 0.4 * mean("whole")
         elif name == "string":
             parts = [mean("numeric"), mean("space"), mean("digit"), mean("upper"), min(1.0, mean("length") / 1.5)]
             d = 0.6 * max(parts) + 0.4 * sum(parts) / len(parts)
@@ -197,7 +197,7 @@ def _renames(old: dict, new: dict, ended: list[str], begun: list[str]) -> dict[s
         for j, y in enumerate(begun):
             names = name_distance(x.rpartition("\x1f")[2], y.rpartition("\x1f")[2])
             kinds = kind_distance(old[x], new[y]) if old[x] and new[y] else names
-            cost[i, j] = kinds + NAME_WEIGHT * names if kinds <= RENAME_LIMIT else 10.0
+            cost[i, j] = kinds + NAME_WEIGHT * names if kinds <= RENAME_LIMIT + NAME_WEIGHT * (1 - names) else 10.0
     return {ended[i]: begun[j] for i, j in assign(cost) if j < m and cost[i, j] < give_up}
 
 
@@ -278,13 +278,22 @@ def _carry_types(rows: pd.DataFrame) -> pd.DataFrame:
     """Resolves the 'first' rows of a family's chunks with what the chunks before left behind."""
     out: list[tuple] = []
     known: dict[str, str] = {}
-    for _, chunk in rows.groupby("chunk", sort=True):
-        for r in chunk[chunk["what"] == "first"].itertuples():
-            had = known.get(r.inherits)
-            if had and had != r.types:
-                out.append((r.family, r.chunk, r.seq, r.file_id, "retyped", had, r.field_path, r.types, ""))
-        left = {r.field_path: r.types or known.get(r.inherits, "") for r in chunk[chunk["what"] == "state"].itertuples()}
-        gone = {r.old_path for r in chunk[chunk["what"].isin(["renamed", "carried"])].itertuples()}
+    rows = rows.sort_values("chunk", kind="stable")
+    columns = [rows[c].tolist() for c in ("chunk", "what", "seq", "file_id", "old_path", "field_path", "types", "inherits")]
+    family, n, i = rows["family"].iloc[0], len(rows), 0
+    while i < n:
+        chunk, left, gone = columns[0][i], {}, set()
+        while i < n and columns[0][i] == chunk:
+            _, what, seq, file_id, old_path, path, types, inherits = (c[i] for c in columns)
+            if what == "first":
+                had = known.get(inherits)
+                if had and had != types:
+                    out.append((family, chunk, seq, file_id, "retyped", had, path, types, ""))
+            elif what == "state":
+                left[path] = types or known.get(inherits, "")
+            else:
+                gone.add(old_path)
+            i += 1
         known = {p: t for p, t in known.items() if p not in gone} | {p: t for p, t in left.items() if t}
     return pd.DataFrame(out, columns=[x.split()[0] for x in _EVENTS.split(", ")])
 
