@@ -18,16 +18,20 @@ def answer_text(vendor: Column, body: Column) -> Column:
     return F.when(F.try_parse_json(body).isNotNull(), by_shape)
 
 
-def label_map(text: Column, key: str = "primary") -> Column:
-    """label -> whether it is primary, from the first '[' to the first ']' of a text: an array of objects with id
-    and ``key``. Null if that is no such array; of repeated ids the last wins."""
-    cut = F.substr(text, F.instr(text, "["), F.instr(text, "]") - F.instr(text, "[") + 1)
-    items = F.from_json(cut, f"array<struct<id:string,{key}:boolean>>", {"mode": "PERMISSIVE"})
-    usable = (F.instr(text, "[") > 0) & (F.instr(text, "]") > F.instr(text, "[")) & F.try_parse_json(cut).isNotNull() & F.forall(items, lambda x: x["id"].isNotNull() & x[key].isNotNull())
-    last_first = F.reverse(F.transform(items, lambda x: F.struct(F.upper(F.trim(x["id"])).alias("label"), x[key].alias("value"))))
-    labels = F.array_distinct(F.transform(last_first, lambda x: x["label"]))
-    value_of = lambda label: F.element_at(F.filter(last_first, lambda x: x["label"] == label), 1)["value"]
-    return F.when(usable, F.map_from_arrays(labels, F.transform(labels, value_of)))
+def with_labels(rows: DataFrame, text: str, key: str = "primary") -> DataFrame:
+    """``rows`` with ``labels``, a map label -> whether it is primary, from the first '[' to the first ']' of a text:
+    an array of objects with id and ``key``. Null if that is no such array; of repeated ids the last wins.
+
+    Each step is a column of its own, so that nothing is parsed twice.
+    """
+    opens, closes = F.instr(text, "["), F.instr(text, "]")
+    found = rows.withColumn("_cut", F.when((opens > 0) & (closes > opens), F.substr(text, opens, closes - opens + 1)))
+    found = found.withColumn("_items", F.when(F.try_parse_json("_cut").isNotNull(), F.from_json("_cut", f"array<struct<id:string,{key}:boolean>>", {"mode": "PERMISSIVE"})))
+    usable = F.forall("_items", lambda x: x["id"].isNotNull() & x[key].isNotNull())
+    last_first = F.reverse(F.transform("_items", lambda x: F.struct(F.upper(F.trim(x["id"])).alias("label"), x[key].alias("value"))))
+    found = found.withColumn("_last_first", F.when(usable, last_first)).withColumn("_labels", F.array_distinct("_last_first.label"))
+    values = F.transform("_labels", lambda label: F.get(F.col("_last_first.value"), (F.array_position("_last_first.label", label) - 1).cast("int")))
+    return found.withColumn("labels", F.map_from_arrays("_labels", values)).drop("_cut", "_items", "_last_first", "_labels")
 
 
 def distinct_responses(responses: DataFrame) -> DataFrame:
@@ -37,7 +41,8 @@ def distinct_responses(responses: DataFrame) -> DataFrame:
 
 def parsed_responses(responses: DataFrame) -> DataFrame:
     """(response_id, artifact_id, labels): the label map of each response, null where there is none."""
-    return distinct_responses(responses).select("response_id", "artifact_id", label_map(answer_text(F.col("vendor"), F.col("body"))).alias("labels"))
+    texts = distinct_responses(responses).select("response_id", "artifact_id", answer_text(F.col("vendor"), F.col("body")).alias("text"))
+    return with_labels(texts, "text").select("response_id", "artifact_id", "labels")
 
 
 def label_rows(responses: DataFrame) -> DataFrame:

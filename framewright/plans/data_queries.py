@@ -52,4 +52,13 @@ ORACLES = {
                        lead(first_frame) OVER (PARTITION BY video_id, box_label ORDER BY i) - 1 AS last_frame FROM period)
         SELECT video_id, box_label, 'period' AS kind, first_frame, last_frame FROM period
         UNION ALL SELECT video_id, box_label, 'gap', first_frame, last_frame FROM gap WHERE last_frame IS NOT NULL""",
+    "p5_found": """
+        WITH r AS (SELECT response_id, max(body) AS body FROM responses WHERE body IS NOT NULL GROUP BY 1),
+        top AS (SELECT response_id, t.fullkey, t.type, t.key, t.atom FROM r, json_tree(r.body) t WHERE json_valid(r.body)),
+        inside AS (SELECT response_id, fullkey, json_extract_string(atom, '$') AS j FROM top WHERE key = 'arguments' AND type = 'VARCHAR'),
+        every AS (SELECT response_id, fullkey, type FROM top
+                  UNION ALL SELECT response_id, i.fullkey || substr(t.fullkey, 2), t.type FROM inside i, json_tree(i.j) t WHERE json_valid(i.j)),
+        node AS (SELECT response_id, ltrim(replace(substr(fullkey, 2), '"', ''), '.') AS path FROM every WHERE type = 'OBJECT' AND fullkey LIKE '%]')
+        SELECT n.response_id, n.path AS node_path, coalesce(arg_max(p.path, length(p.path)), '') AS parent_path
+        FROM node n LEFT JOIN node p ON p.response_id = n.response_id AND starts_with(n.path, p.path || '.') GROUP BY 1, 2""",
 }
