@@ -19,9 +19,10 @@ from __future__ import annotations
 from functools import reduce
 from itertools import product
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from framewright.operators.graph import components
 from framewright.session import cut
 
 PIXELS = 20.0  #: tolerance of a corner coordinate
@@ -62,26 +63,28 @@ def _all(parts: list[Column]) -> Column:
 
 
 def cells_of(records: DataFrame, halvings: int = 0) -> DataFrame:
-    """One row per occupied cell of a video: extents, smallest id and number of rows."""
+    """One row per occupied cell of a video: extents, smallest id, number of rows and the cell's 64-bit hash."""
     extents = [f(n).alias(f"{p}_{n}") for n in NUMBERS for f, p in ((F.min, "lo"), (F.max, "hi"))]
-    return records.select("*", *_cells(halvings)).groupBy("video_id", *CELL).agg(F.min("det_id").alias("node"), F.count("*").alias("n"), *extents)
+    return records.select("*", *_cells(halvings)).groupBy("video_id", *CELL).agg(F.min("det_id").alias("node"), F.count("*").alias("n"), *extents).withColumn("cell", F.xxhash64(*CELL))
 
 
 def merge_cells(cells: DataFrame) -> DataFrame:
-    """The cells with the ``node`` they belong to and that node's extents as lo_*, hi_*; their own are kept in ``own``.
+    """(video_id, node, extents, members): cells that together stay within the tolerance as one node.
 
-    Cells in one bucket of two tolerances become one node if together they stay within the tolerance. Buckets
-    hold few cells; the second round shifts them by one tolerance, a third the confidence only.
+    ``members`` are the hashes of a node's cells. Those in one bucket of two tolerances are merged if they fit;
+    buckets hold few cells. The second round shifts the buckets by one tolerance, the third the confidence only.
     """
-    merged = cells.withColumn("own", F.struct(*EXTENT))
+    item = lambda node, extents, members: F.struct(node.alias("node"), *[e.alias(x) for e, x in zip(extents, EXTENT)], members.alias("members"))
+    nodes = cells.select("video_id", "node", *EXTENT, F.array("cell").alias("members"))
     for shift in ([0] * 5, [1] * 5, [0, 0, 0, 0, 1]):
         bucket = [F.floor((F.col(f"lo_{n}") / TOLERANCE[n] + s) / 2).alias(f"b_{n}") for n, s in zip(NUMBERS, shift)]
-        w = Window.partitionBy("video_id", *[f"b_{n}" for n in NUMBERS])
-        whole = [(F.min(f"lo_{n}").over(w).alias(f"wlo_{n}"), F.max(f"hi_{n}").over(w).alias(f"whi_{n}")) for n in NUMBERS]
-        seen = merged.select("*", *bucket).select("*", F.min("node").over(w).alias("wnode"), *[x for pair in whole for x in pair])
-        fits = _all([F.col(f"whi_{n}") - F.col(f"wlo_{n}") <= TOLERANCE[n] for n in NUMBERS])
-        merged = seen.select("video_id", *CELL, "n", "own", F.when(fits, F.col("wnode")).otherwise(F.col("node")).alias("node"), *[F.when(fits, F.col(f"w{x}")).otherwise(F.col(x)).alias(x) for x in EXTENT])
-    return merged
+        own = item(F.col("node"), [F.col(x) for x in EXTENT], F.col("members"))
+        whole = [(F.min if x.startswith("lo") else F.max)(x).alias(x) for x in EXTENT]
+        full = nodes.select("video_id", *bucket, *EXTENT, own.alias("x")).groupBy("video_id", *[f"b_{n}" for n in NUMBERS]).agg(F.collect_list("x").alias("xs"), *whole)
+        fits = _all([F.col(f"hi_{n}") - F.col(f"lo_{n}") <= TOLERANCE[n] for n in NUMBERS])
+        one = item(F.array_min("xs.node"), [F.col(x) for x in EXTENT], F.flatten("xs.members"))
+        nodes = full.select("video_id", F.explode(F.when(fits, F.array(one)).otherwise(F.col("xs"))).alias("x")).select("video_id", "x.*")
+    return nodes
 
 
 def _grid(number: str, value: Column, shifted: int) -> Column:
@@ -91,17 +94,18 @@ def _grid(number: str, value: Column, shifted: int) -> Column:
 def candidate_pairs(nodes: DataFrame) -> DataFrame:
     """(video_id, a, b, jaccard): pairs of nodes of one video that share a band, each once.
 
-    A pair is taken from the first band it shares, so no pair is made twice.
+    Only ids pass through the buckets; the extents are joined to the distinct pairs for the verification.
     """
     bands = list(product((0, 1), repeat=len(BANDED)))
     keys = [F.xxhash64("video_id", F.lit(i), *[_grid(n, F.col(f"lo_{n}"), g) for n, g in zip(BANDED, grids)]) for i, grids in enumerate(bands)]
-    banded = nodes.select(F.struct("video_id", "node", *EXTENT).alias("x"), F.posexplode(F.array(*keys)).alias("band", "bucket"))
-    buckets = banded.groupBy("bucket", "band").agg(F.collect_list("x").alias("xs")).where(F.size("xs") > 1)
-    pairs = buckets.select("band", "xs", F.explode("xs").alias("a")).select("band", "a", F.explode(F.filter("xs", lambda b: (b["node"] > F.col("a.node")) & (b["video_id"] == F.col("a.video_id")))).alias("b"))
-    same = {(n, g): _grid(n, F.col(f"a.lo_{n}"), g) == _grid(n, F.col(f"b.lo_{n}"), g) for n in NUMBERS for g in (0, 1)}
-    first = reduce(lambda p, q: p * 2 + q, [F.when(same[n, 0], 0).otherwise(1) for n in BANDED])
-    shared = reduce(lambda p, q: p + q, [x.cast("int") for x in same.values()])
-    return pairs.where(F.col("band") == first).withColumn("jaccard", shared / (F.lit(4 * len(NUMBERS)) - shared)).where(F.col("jaccard") >= MIN_JACCARD).select("a.video_id", "a", "b", "jaccard")
+    banded = nodes.select("video_id", "node", F.explode(F.array(*keys)).alias("bucket"))
+    buckets = banded.groupBy("video_id", "bucket").agg(F.collect_list("node").alias("xs")).where(F.size("xs") > 1)
+    pairs = buckets.select("video_id", "xs", F.explode("xs").alias("p")).select("video_id", "p", F.explode(F.filter("xs", lambda x: x > F.col("p"))).alias("q")).distinct()
+    side = lambda s, k: nodes.select("video_id", F.col("node").alias(k), F.struct("node", *EXTENT).alias(s))
+    both = pairs.join(side("a", "p"), ["video_id", "p"]).join(side("b", "q"), ["video_id", "q"])
+    same = [_grid(n, F.col(f"a.lo_{n}"), g) == _grid(n, F.col(f"b.lo_{n}"), g) for n in NUMBERS for g in (0, 1)]
+    shared = reduce(lambda p, q: p + q, [x.cast("int") for x in same])
+    return both.withColumn("jaccard", shared / (F.lit(4 * len(NUMBERS)) - shared)).where(F.col("jaccard") >= MIN_JACCARD).select("video_id", "a", "b", "jaccard")
 
 
 def _verdict() -> Column:
@@ -112,29 +116,9 @@ def _verdict() -> Column:
     return F.when(_all([span(n) <= TOLERANCE[n] for n in NUMBERS]), "linked").when(apart, "apart").otherwise("open")
 
 
-def components(edges: DataFrame, vertices: DataFrame) -> DataFrame:
-    """(video_id, node, root): the smallest node of each node's connected component.
-
-    Large and small stars in turn: neighbours are moved to the smallest node seen, which halves the distance to
-    the root in each round; the edge set is written to the shared checkpoint folder every round.
-    """
-    e = cut(edges.select("video_id", F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    before = None
-    while not e.isEmpty():
-        both = e.unionByName(e.select("video_id", F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("video_id", "u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(least, ["video_id", "u"]).select("video_id", F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.where("u <> v").distinct()
-        low = large.groupBy("video_id", "u").agg(F.min("v").alias("m"))
-        joined = large.join(low, ["video_id", "u"])
-        small = joined.select("video_id", F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(low.select("video_id", "u", F.col("m").alias("v"))).distinct()
-        e = cut(small)
-        now = e.agg(F.count("*"), F.sum(F.col("v").cast("decimal(38,0)")), F.sum(F.col("u").cast("decimal(38,0)"))).first()
-        if now == before:
-            break
-        before = now
-    roots = e.groupBy("video_id", F.col("u").alias("node")).agg(F.min("v").alias("root"))
-    return vertices.join(roots, ["video_id", "node"], "left").select("video_id", "node", F.coalesce("root", "node").alias("root"))
+def members_of(nodes: DataFrame) -> DataFrame:
+    """(video_id, node, cell): the cells of each node."""
+    return nodes.select("video_id", "node", F.explode("members").alias("cell"))
 
 
 def _open_links(pairs: DataFrame, cells: DataFrame, records: DataFrame) -> DataFrame:
@@ -145,7 +129,7 @@ def _open_links(pairs: DataFrame, cells: DataFrame, records: DataFrame) -> DataF
     part.
     """
     side = lambda s, df, keys: df.select("video_id", *[F.col(k).alias(f"{s}_{k}") for k in keys], F.struct(*CELL, *EXTENT).alias(s))
-    own = cells.select("video_id", "node", *CELL, "own.*")
+    own = cells.select("video_id", "node", *CELL, *EXTENT)
     found, level = None, 0
     tried = pairs.withColumnsRenamed({"a": "a_node", "b": "b_node"}).join(side("a", own, ["node"]), ["video_id", "a_node"]).join(side("b", own, ["node"]), ["video_id", "b_node"])
     while True:
@@ -166,11 +150,12 @@ def _open_links(pairs: DataFrame, cells: DataFrame, records: DataFrame) -> DataF
         tried = again.join(side("a", children, parent), ["video_id", *[f"a_{p}" for p in parent]]).join(side("b", children, parent), ["video_id", *[f"b_{p}" for p in parent]])
 
 
-def cluster_cells(detections: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(cells, links, roots): the occupied cells with their nodes, the verified links between nodes and each node's component."""
+def cluster_cells(detections: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(cells, nodes, links, roots): the occupied cells, the nodes they are merged into, the verified links between
+    nodes and each node's component."""
     records = box_records(detections)
-    cells = cut(merge_cells(cells_of(records)))
-    nodes = cells.groupBy("video_id", "node").agg(*[F.first(x).alias(x) for x in EXTENT])
+    cells = cut(cells_of(records))
+    nodes = cut(merge_cells(cells))
     judged = cut(candidate_pairs(nodes).withColumn("verdict", _verdict()).where("verdict <> 'apart'"))
     vertices = nodes.select("video_id", "node")
     links = judged.where("verdict = 'linked'").select("video_id", F.col("a.node").alias("a"), F.col("b.node").alias("b"))
@@ -181,9 +166,10 @@ def cluster_cells(detections: DataFrame) -> tuple[DataFrame, DataFrame, DataFram
         between = is_open.select("video_id", F.col("a.node").alias("a"), F.col("b.node").alias("b")).join(root("a"), ["video_id", "a"]).join(root("b"), ["video_id", "b"])
         between = cut(between.where("root_a <> root_b").select("video_id", "a", "b"))
         if not between.isEmpty():
-            links = cut(links.unionByName(_open_links(between, cells, records)))
+            placed = cells.drop("node").join(members_of(nodes), ["video_id", "cell"])
+            links = cut(links.unionByName(_open_links(between, placed, records)))
             roots = components(links, vertices)
-    return cells, links, roots
+    return cells, nodes, links, roots
 
 
 def similarity_groups(detections: DataFrame) -> DataFrame:
@@ -194,14 +180,13 @@ def similarity_groups(detections: DataFrame) -> DataFrame:
     belong to no group; an id that is repeated is listed once; an empty table gives an empty result. Rows find
     their cell by its 64-bit hash within the video; hot cells are split over HOT_SALTS tasks.
     """
-    cells, _, roots = cluster_cells(detections)
-    rooted = cut(cells.join(roots, ["video_id", "node"]).select("video_id", F.xxhash64(*CELL).alias("cell"), "root", "n"))
-    total = rooted.agg(F.sum("n")).first()[0] or 0
-    salts = F.when(F.col("n") * HOT_SHARE > total, HOT_SALTS).otherwise(1)
-    hot = rooted.where(F.col("n") * HOT_SHARE > total).select("video_id", "cell", F.lit(HOT_SALTS).alias("salts"))
-    members = box_records(detections).select("video_id", "det_id", F.xxhash64(*[c for c in _cells()]).alias("cell"))
-    salted = members.join(F.broadcast(hot), ["video_id", "cell"], "left").select("video_id", "cell", "det_id", F.pmod("det_id", F.coalesce("salts", F.lit(1))).cast("int").alias("salt"))
-    targets = rooted.select("video_id", "cell", "root", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"))
+    cells, nodes, _, roots = cluster_cells(detections)
+    total = cells.agg(F.sum("n")).first()[0] or 0
+    hot = cells.where(F.col("n") * HOT_SHARE > total).select("video_id", "cell", F.lit(HOT_SALTS).alias("salts"))
+    with_salts = lambda df: df.join(F.broadcast(hot), ["video_id", "cell"], "left").withColumn("salts", F.coalesce("salts", F.lit(1)))
+    members = box_records(detections).select("video_id", "det_id", F.xxhash64(*_cells()).alias("cell"))
+    salted = with_salts(members).select("video_id", "cell", "det_id", F.pmod("det_id", "salts").cast("int").alias("salt"))
+    targets = with_salts(members_of(nodes).join(roots, ["video_id", "node"])).select("video_id", "cell", "root", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
     return salted.join(targets, ["video_id", "cell", "salt"]).where("det_id <> root").select(F.col("root").alias("group_det_id"), "det_id").distinct()
 
 
@@ -215,15 +200,14 @@ def group_summary(detections: DataFrame, typical: int = 3, loose: float = 1.0) -
     are counted with their repetitions. ``typical`` lists the smallest ids of up to so many cells nearest the
     medoid.
     """
-    cells, links, roots = cluster_cells(detections)
-    weight = cells.groupBy("video_id", "node").agg(F.sum("n").alias("rows"))
+    cells, nodes, links, roots = cluster_cells(detections)
+    placed = cut(cells.withColumnRenamed("node", "det_id").join(members_of(nodes), ["video_id", "cell"]))
+    weight = placed.groupBy("video_id", "node").agg(F.sum("n").alias("rows"))
     both = links.unionAll(links.select("video_id", F.col("b").alias("a"), F.col("a").alias("b")))
     near = both.join(weight.withColumnRenamed("node", "b"), ["video_id", "b"]).groupBy("video_id", F.col("a").alias("node")).agg(F.sum("rows").alias("linked"))
     degree = weight.join(near, ["video_id", "node"], "left").select("video_id", "node", (F.col("rows") + F.coalesce("linked", F.lit(0))).alias("degree"))
-    records = box_records(detections)
-    ids = cells_of(records).select("video_id", *CELL, F.col("node").alias("det_id"))
-    mid = [((F.col(f"own.lo_{n}") + F.col(f"own.hi_{n}")) / (2.0 * TOLERANCE[n])).alias(f"m_{n}") for n in NUMBERS]
-    seen = cells.join(roots, ["video_id", "node"]).join(degree, ["video_id", "node"]).join(ids, ["video_id", *CELL]).select("video_id", "root", "det_id", "n", "degree", *mid)
+    mid = [((F.col(f"lo_{n}") + F.col(f"hi_{n}")) / (2.0 * TOLERANCE[n])).alias(f"m_{n}") for n in NUMBERS]
+    seen = placed.join(roots, ["video_id", "node"]).join(degree, ["video_id", "node"]).select("video_id", "root", "det_id", "n", "degree", *mid)
 
     def split(rows):
         import numpy as np
