@@ -36,3 +36,8 @@ def tile_boxes(images: DataFrame, size: int = 640, overlap: float = 0.2) -> Data
     low = lambda i, side: F.greatest(F.least(F.col(i) * step, F.col(side) - size), F.lit(0))
     placed = rows.select("*", low("c", "width").alias("x1"), low("r", "height").alias("y1"))
     return placed.select("width", "height", (F.col("r") * F.col("nx") + F.col("c")).alias("tile_no"), "x1", "y1", F.least(F.col("x1") + size, "width").alias("x2"), F.least(F.col("y1") + size, "height").alias("y2"))
+
+
+def to_image(boxes: DataFrame, left: str, top: str) -> DataFrame:
+    """Boxes of a tile shifted to their place in the image."""
+    return boxes.withColumns({"x1": F.col("x1") + F.col(left), "x2": F.col("x2") + F.col(left), "y1": F.col("y1") + F.col(top), "y2": F.col("y2") + F.col(top)})

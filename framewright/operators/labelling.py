@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -61,6 +63,26 @@ def cache_misses(artifacts: DataFrame, responses: DataFrame) -> DataFrame:
     return artifacts.select("artifact_id").distinct().join(responses.where("body is not null").select("artifact_id"), "artifact_id", "left_anti")
 
 
+def ask_missing(artifacts: DataFrame, responses: DataFrame, client: Callable[[str], str | None], vendor: str, parallel: int = 8) -> DataFrame:
+    """(artifact_id, vendor, body): the answers of a labelling service for the artifacts that have none yet.
+
+    ``client`` takes an artifact id and gives a body; it is called in the workers, once for each artifact. A call
+    that fails gives a null body, which a later run asks again.
+    """
+
+    def ask(batches):
+        for batch in batches:
+            bodies = []
+            for artifact in batch["artifact_id"]:
+                try:
+                    bodies.append(client(artifact))
+                except Exception:  # noqa: BLE001
+                    bodies.append(None)
+            yield batch.assign(vendor=vendor, body=bodies)
+
+    return cache_misses(artifacts, responses).repartition(parallel).mapInPandas(ask, "artifact_id string, vendor string, body string")
+
+
 def truth_labels(area_labels: DataFrame) -> DataFrame:
     """(artifact_id, label, is_primary): labels trimmed in upper case, repeated ones once (true if any is), null as false."""
     label = F.upper(F.trim("label"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -49,6 +51,13 @@ def colored_clusters(stats: DataFrame, palette: DataFrame) -> DataFrame:
     return turns.join(F.broadcast(palette.select("idx", "color_name")), "idx").drop("idx", "place")
 
 
+def shuffled_palette(palette: DataFrame, image: bytes) -> DataFrame:
+    """The palette in an order that hangs on an image's bytes only: by the hash of the image and the color."""
+    digest = hashlib.sha256(image).hexdigest()
+    order = F.row_number().over(Window.orderBy(F.sha2(F.concat(F.lit(digest), F.col("idx").cast("string")), 256))) - 1
+    return palette.limit(1000).withColumn("idx", order.cast("int"))
+
+
 def palette_size(palette: DataFrame, limit: int = 1000) -> int:
     """The number of colors; a palette beyond ``limit`` is refused, since it is broadcast."""
     n = palette.limit(limit + 1).count()

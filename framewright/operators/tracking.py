@@ -143,14 +143,7 @@ def chunk_bounds(packed: DataFrame) -> DataFrame:
     return fold(packed, step, "video_id int, chunk_no int, first long, end long")
 
 
-def interest_track(packed: DataFrame) -> DataFrame:
-    """(video_id, frame_id, poi_x, poi_y, aoi) in whole numbers: chosen boxes smoothed chunk by chunk.
-
-    A chunk (see ``chunk_bounds``) is smoothed together with the last OVERLAP_FRAMES smoothed values before it;
-    frames without boxes enter as a placeholder of almost no weight. The first choice of a chunk starts from the
-    last smoothed point.
-    """
-
+def _smoothed_chunks(packed: DataFrame, values: int, whole: bool, schema: str) -> DataFrame:
     def step():
         tail: list[np.ndarray] = []
         chunk: list[tuple] = []
@@ -163,15 +156,15 @@ def interest_track(packed: DataFrame) -> DataFrame:
             for _, boxes in chunk:
                 if len(boxes):
                     last, size = choose(boxes, last)
-                    rows.append(np.array([last[0], last[1], size]))
+                    rows.append(np.array([*last, size][:values]))
                     weight.append(1.0)
                 else:
-                    rows.append(np.array([*PLACEHOLDER, PLACEHOLDER_AREA]))
+                    rows.append(np.array([*PLACEHOLDER, PLACEHOLDER_AREA][:values]))
                     weight.append(EMPTY_WEIGHT)
             y, w = np.array(rows), np.array(weight)
-            smooth = np.column_stack([linear_spline(y[:, c], w, float(len(w))) for c in range(3)])[len(start) :]
+            smooth = np.column_stack([linear_spline(y[:, c], w, float(len(w))) for c in range(values)])[len(start) :]
             tail = (tail + list(smooth))[-OVERLAP_FRAMES:]
-            out = [(frame, int(p[0]), int(p[1]), int(p[2])) for (frame, _), p in zip(chunk, smooth)]
+            out = [(frame, *(int(v) if whole else float(v) for v in p)) for (frame, _), p in zip(chunk, smooth)]
             chunk.clear()
             return out
 
@@ -183,7 +176,22 @@ def interest_track(packed: DataFrame) -> DataFrame:
 
         return advance
 
-    return fold(packed, step, "video_id int, frame_id long, poi_x long, poi_y long, aoi long")
+    return fold(packed, step, schema)
+
+
+def interest_track(packed: DataFrame) -> DataFrame:
+    """(video_id, frame_id, poi_x, poi_y, aoi) in whole numbers: chosen boxes smoothed chunk by chunk.
+
+    A chunk (see ``chunk_bounds``) is smoothed together with the last OVERLAP_FRAMES smoothed values before it;
+    frames without boxes enter as a placeholder of almost no weight. The first choice of a chunk starts from the
+    last smoothed point.
+    """
+    return _smoothed_chunks(packed, 3, True, "video_id int, frame_id long, poi_x long, poi_y long, aoi long")
+
+
+def spline_track(packed: DataFrame) -> DataFrame:
+    """(video_id, frame_id, poi_x, poi_y): as ``interest_track``, without the area and with fractions."""
+    return _smoothed_chunks(packed, 2, False, "video_id int, frame_id long, poi_x double, poi_y double")
 
 
 def heatmap_track(packed: DataFrame, width: int = 192, height: int = 144, scale: float = 10.0, influence: float = 400.0, resolution: int = 1024, rate: int = 256, attack: int = 4) -> DataFrame:

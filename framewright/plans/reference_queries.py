@@ -69,7 +69,7 @@ def frame_cap(spark, d):
 
 
 def frame_spine(spark, d):
-    return B.frame_spine(load(spark, d, "frames"), _distinct(spark, d)).select("video_id", "frame_id", "det_id", "det_ord")
+    return B.frame_spine(load(spark, d, "frames"), _distinct(spark, d)).select("video_id", "frame_id", F.coalesce("det_id", F.lit(-1)).alias("det_id"), F.coalesce("det_ord", F.lit(-1)).alias("det_ord"))
 
 
 def frame_mean_area(spark, d):
@@ -103,7 +103,8 @@ def sectionize(spark, d):
 
 
 def section_counts(spark, d):
-    return sections.section_counts(section_boxes(spark, d))
+    counts = sections.section_counts(section_boxes(spark, d))
+    return counts.withColumns({c: F.coalesce(c, F.lit(-1)) for c in ("video_id", "section_id")})  # -1 stands for all
 
 
 def sample_frames(spark, d):
@@ -210,7 +211,8 @@ def vlm_parse(spark, d):
 
 def vlm_join(spark, d):
     asked = labelling.truth_labels(load(spark, d, "area_labels")).select("artifact_id").distinct()
-    return asked.join(labelling.latest_labels(load(spark, d, "responses")), "artifact_id", "left")
+    joined = asked.join(labelling.latest_labels(load(spark, d, "responses")), "artifact_id", "left")
+    return joined.select("artifact_id", F.coalesce("label", F.lit("")).alias("label"), F.coalesce(F.col("is_primary").cast("string"), F.lit("")).alias("is_primary"))
 
 
 def vlm_cache_miss(spark, d):
@@ -309,6 +311,25 @@ def interest_track(spark, d):
     return tracking.interest_track(_packed(spark, d))
 
 
+def spline_track(spark, d):
+    return _rounded(tracking.spline_track(_packed(spark, d)), "poi_x", "poi_y", digits=3)
+
+
+def tile_merge(spark, d):
+    """Boxes cut into tiles and put back: every box in each tile that holds it, shifted to the tile and back, merged."""
+    videos = load(spark, d, "videos")
+    tiles = crop.tile_boxes(videos.select("width", "height").distinct()).withColumnsRenamed({"x1": "tx1", "y1": "ty1", "x2": "tx2", "y2": "ty2"})
+    held = _distinct(spark, d).join(videos.select("video_id", "width", "height"), "video_id").join(F.broadcast(tiles), ["width", "height"])
+    inside = held.where("x1 >= tx1 and y1 >= ty1 and x2 <= tx2 and y2 <= ty2")
+    local = inside.withColumns({"x1": F.col("x1") - F.col("tx1"), "x2": F.col("x2") - F.col("tx1"), "y1": F.col("y1") - F.col("ty1"), "y2": F.col("y2") - F.col("ty1")})
+    merged = clustering.suppress_tiles(crop.to_image(local, "tx1", "ty1"))
+    return merged.distinct()
+
+
+def encoded_labels(spark, d):
+    return _boxes(spark, d).select("cluster_id", F.base64(F.encode(cluster_letter(F.col("cluster_id")), "UTF-8")).alias("encoded"), F.sha2(F.col("cluster_id").cast("string"), 256).alias("digest")).distinct()
+
+
 def heatmap_poi(spark, d):
     return tracking.heatmap_track(_packed(spark, d))
 
@@ -351,6 +372,6 @@ QUERIES = {
         mask_antijoin, vlm_parse, vlm_join, vlm_cache_miss, parse_ground_truth, score_artifacts, score_overall, letter_bias, color_bias, eps_neighbors, dbscan_play,
         dbscan_static, declustered_boxes, relevant_boxes, merge_clusters, nms_tiles, gaussian_smooth, gaussian_smooth_int, skewed_smooth, joint_smooth, spline_chunks,
         greedy_select, interest_track, heatmap_poi, heatmap_argmax, kalman_track, cluster_heading, label_placement, tile_boxes,
-        stream_section_counts,
+        stream_section_counts, spline_track, tile_merge, encoded_labels,
     )
 }

@@ -86,7 +86,7 @@ ORACLES = {
     "conf_filter": f"WITH {_RAW} SELECT det_id, confidence FROM raw WHERE confidence >= 0.5",
     "declustered_filter": f"WITH {_RAW} SELECT det_id, video_id, frame_id FROM raw WHERE cluster_id = -1",
     "frame_cap": f"WITH {_RAW} SELECT det_id, video_id, frame_id FROM raw WHERE frame_id < 100",
-    "frame_spine": f"WITH {_BOX} SELECT video_id, frame_id, det_id, det_ord FROM frames LEFT JOIN box USING (video_id, frame_id)",
+    "frame_spine": f"WITH {_BOX} SELECT video_id, frame_id, coalesce(det_id, -1) AS det_id, coalesce(det_ord, -1) AS det_ord FROM frames LEFT JOIN box USING (video_id, frame_id)",
     "frame_mean_area": f"WITH {_MEANS} SELECT video_id, frame_id, round(mean_area + 1e-9, 4) AS mean_area FROM means",
     "frame_mean_center": f"WITH {_MEANS} SELECT video_id, frame_id, poi_x, poi_y FROM means",
     "locf_interest": f"WITH {_CARRIED} SELECT video_id, frame_id, poi_x, poi_y, round(aoi + 1e-9, 4) AS aoi FROM carried",
@@ -95,7 +95,7 @@ ORACLES = {
     + _crop("SELECT DISTINCT * FROM interests WHERE NOT isnan(aoi) AND NOT isnan(poi_x) AND NOT isnan(poi_y) AND aoi > 0 AND poi_x BETWEEN 0 AND 100000 AND poi_y BETWEEN 0 AND 100000"),
     "crop_plan": f"WITH {_CARRIED}, " + _crop("SELECT * FROM carried"),
     "sectionize": f"WITH {_SECTIONS} SELECT * FROM sec",
-    "section_counts": f"WITH {_PLACED} SELECT video_id, section_id, count(*) AS n_boxes, count(*) FILTER (WHERE cluster_id <> -1) AS n_clustered FROM placed GROUP BY ROLLUP (video_id, section_id)",
+    "section_counts": f"WITH {_PLACED} SELECT coalesce(video_id, -1) AS video_id, coalesce(section_id, -1) AS section_id, count(*) AS n_boxes, count(*) FILTER (WHERE cluster_id <> -1) AS n_clustered FROM placed GROUP BY ROLLUP (placed.video_id, placed.section_id)",
     "stream_section_counts": f"WITH {_RAW} SELECT video_id, frame_id // (3 * fps) AS section_id, count(*) AS n_boxes FROM raw JOIN videos USING (video_id) GROUP BY 1, 2",
     "sample_frames": f"WITH {_SECTIONS} SELECT video_id, section_id, i - 1 AS sample_no, (start_frame * 5 + i * (end_frame - start_frame)) // 5 - 1 AS frame_id FROM sec, (SELECT unnest(range(1, 6)) AS i) WHERE end_frame - start_frame >= 5",
     "sample_centers": f"WITH {_SECTIONS} SELECT video_id, section_id, i AS sample_no, (start_frame * 10 + (2 * i + 1) * (end_frame - start_frame)) // 10 AS frame_id FROM sec, (SELECT unnest(range(0, 5)) AS i)",
@@ -114,8 +114,8 @@ ORACLES = {
                round({_minmax("span")} * 1.4 + 1e-9, 6) AS ft FROM placed p JOIN span USING (video_id, section_id) JOIN videos USING (video_id)""",
     "cluster_features_v1": f"""WITH {_PLACED}, v AS (SELECT *, (x1 + x2) / 2 AS cx, (y1 + y2) / 2 AS cy, (x2 - x1) * (y2 - y1) AS ar FROM placed),
         span AS (SELECT video_id, section_id, min(frame_id) AS lo, max(frame_id) AS hi, avg(cx) AS mx, avg(cy) AS my, avg(ar) AS ma, stddev_pop(cx) AS sx, stddev_pop(cy) AS sy, stddev_pop(ar) AS sa FROM v GROUP BY 1, 2)
-        SELECT det_id, round(CASE WHEN sx > 1e-9 THEN (cx - mx) / sx ELSE 0 END, 4) AS zx, round(CASE WHEN sy > 1e-9 THEN (cy - my) / sy ELSE 0 END, 4) AS zy,
-               round(CASE WHEN sa > 1e-9 THEN (ar - ma) / sa ELSE 0 END, 4) AS za, round({_minmax("span")} * 4 - 2, 6) AS ft FROM v p JOIN span USING (video_id, section_id)""",
+        SELECT det_id, round(CASE WHEN sx > 1e-9 THEN (cx - mx) / sx ELSE 0 END, 4) + 0.0 AS zx, round(CASE WHEN sy > 1e-9 THEN (cy - my) / sy ELSE 0 END, 4) + 0.0 AS zy,
+               round(CASE WHEN sa > 1e-9 THEN (ar - ma) / sa ELSE 0 END, 4) + 0.0 AS za, round({_minmax("span")} * 4 - 2, 6) + 0.0 AS ft FROM v p JOIN span USING (video_id, section_id)""",
     "small_cluster_cleanup": f"WITH {_PLACED} SELECT det_id, CASE WHEN count(*) OVER (PARTITION BY video_id, section_id, cluster_id) < 15 THEN -1 ELSE cluster_id END AS cluster_id FROM placed",
     "cluster_metadata": f"""WITH {_STATS} SELECT video_id, section_id, cluster_id, round(centroid_x + 1e-9, 4) AS centroid_x, round(centroid_y + 1e-9, 4) AS centroid_y, round(median_size + 1e-9, 4) AS median_size,
             cluster_size, "start", "end", box_label, start_ms, end_ms FROM stats""",
@@ -126,14 +126,15 @@ ORACLES = {
     "detection_label": f"WITH {_RAW} SELECT det_id, printf('%.3f', confidence) || CASE WHEN cluster_id >= 0 THEN ' [' || chr(cluster_id + 65) || ']' ELSE '' END AS label FROM raw",
     "cluster_interval_overlap": f"WITH {_OVERLAPS} SELECT * FROM lap",
     "section_overlaps": f"WITH {_STATS} SELECT video_id, section_id, count(*) AS n_clusters, string_agg(CAST(cluster_id AS VARCHAR), '_' ORDER BY cluster_id) AS clusters FROM stats GROUP BY 1, 2 HAVING count(*) > 1",
-    "overlap_topk": f"WITH {_OVERLAPS} SELECT video_id, section_id, sum(overlap) AS total_overlap FROM lap GROUP BY 1, 2 ORDER BY 3 DESC, 1, 2 LIMIT 20",
-    "zone_build": f"WITH {_PLACED}, {_zones('cluster_id <> -1')} SELECT video_id, section_id, cluster_id, x_lo, x_hi, y_lo, y_hi, round(min_area + 1e-9, 3) AS min_area, round(max_area + 1e-9, 3) AS max_area FROM zones",
+    "overlap_topk": f"WITH {_OVERLAPS} SELECT video_id, section_id, CAST(sum(overlap) AS BIGINT) AS total_overlap FROM lap GROUP BY 1, 2 ORDER BY 3 DESC, 1, 2 LIMIT 20",
+    "zone_build": f"WITH {_PLACED}, {_zones('cluster_id <> -1')} SELECT video_id, section_id, cluster_id, x_lo, x_hi, y_lo, y_hi, round(min_area + 1e-9, 3) + 0.0 AS min_area, round(max_area + 1e-9, 3) AS max_area FROM zones",
     "ignore_zone_antijoin": f"""WITH {_PLACED}, {_zones("cluster_id >= 3")} SELECT det_id FROM placed p WHERE NOT EXISTS (SELECT 1 FROM zones z WHERE z.video_id = p.video_id AND z.section_id < p.section_id
             AND CAST(trunc((x1 + x2) / 2) AS BIGINT) BETWEEN x_lo AND x_hi AND CAST(trunc((y1 + y2) / 2) AS BIGINT) BETWEEN y_lo AND y_hi AND (x2 - x1) * (y2 - y1) BETWEEN min_area AND max_area)""",
     "mask_antijoin": f"""WITH {_BOX}, mask AS (SELECT DISTINCT CAST(trunc((x1 + x2) / 2) AS BIGINT) AS x, CAST(trunc((y1 + y2) / 2) AS BIGINT) AS y FROM raw WHERE class_id = 2)
         SELECT det_id FROM box WHERE NOT EXISTS (SELECT 1 FROM mask WHERE x = CAST(trunc((x1 + x2) / 2) AS BIGINT) AND y = CAST(trunc((y1 + y2) / 2) AS BIGINT))""",
     "vlm_parse": f"WITH {_PARSED} SELECT response_id, label, is_primary FROM labels",
-    "vlm_join": f"WITH {_LATEST} SELECT a.artifact_id, label, is_primary FROM (SELECT DISTINCT artifact_id FROM area_labels WHERE artifact_id IS NOT NULL AND label IS NOT NULL) a LEFT JOIN latest USING (artifact_id)",
+    "vlm_join": f"WITH {_LATEST} SELECT a.artifact_id, coalesce(label, '') AS label, coalesce(CAST(is_primary AS VARCHAR), '') AS is_primary FROM (SELECT DISTINCT artifact_id FROM area_labels WHERE artifact_id IS NOT NULL AND label IS NOT NULL) a LEFT JOIN latest USING (artifact_id)",
+    "encoded_labels": f"WITH {_RAW} SELECT DISTINCT cluster_id, to_base64(encode(chr(cluster_id + 65))) AS encoded, sha256(CAST(cluster_id AS VARCHAR)) AS digest FROM raw",
     "vlm_cache_miss": "SELECT DISTINCT artifact_id FROM responses r WHERE NOT EXISTS (SELECT 1 FROM responses s WHERE s.artifact_id = r.artifact_id AND s.body IS NOT NULL)",
     "parse_ground_truth": f"WITH {_TRUTH} SELECT * FROM truth",
     "score_artifacts": f"WITH {_SCORES} SELECT * FROM scores",
@@ -154,7 +155,7 @@ ORACLES = {
         SELECT video_id, row, col, n FROM cells QUALIFY row_number() OVER (PARTITION BY video_id ORDER BY n DESC, row, col) = 1""",
     "eps_neighbors": f"""WITH {_BOX}, spots AS (SELECT video_id, det_id, CAST(round((x1 + x2) / 2 / width * 1000000 / 250) * 250 AS BIGINT) AS px, CAST(round((y1 + y2) / 2 / height * 1000000 / 250) * 250 AS BIGINT) AS py FROM box JOIN videos USING (video_id)),
         places AS (SELECT video_id, px, py, count(*) AS n, min(det_id) AS p FROM spots GROUP BY 1, 2, 3)
-        SELECT a.video_id, a.p, sum(b.n) AS neighbors FROM places a JOIN places b ON a.video_id = b.video_id AND abs(a.px - b.px) <= 20000 AND (a.px - b.px) ** 2 + (a.py - b.py) ** 2 <= 400000000 GROUP BY 1, 2""",
+        SELECT a.video_id, a.p, CAST(sum(b.n) AS BIGINT) AS neighbors FROM places a JOIN places b ON a.video_id = b.video_id AND abs(a.px - b.px) <= 20000 AND (a.px - b.px) ** 2 + (a.py - b.py) ** 2 <= 400000000 GROUP BY 1, 2""",
     "tile_boxes": """WITH im AS (SELECT DISTINCT width, height, greatest(CAST(ceil((width - 640) / 512.0) AS INTEGER), 0) + 1 AS nx, greatest(CAST(ceil((height - 640) / 512.0) AS INTEGER), 0) + 1 AS ny FROM videos),
         t AS (SELECT *, unnest(range(0, nx * ny)) AS tile_no FROM im),
         u AS (SELECT width, height, tile_no, greatest(least(tile_no % nx * 512, width - 640), 0) AS x1, greatest(least(tile_no // nx * 512, height - 640), 0) AS y1 FROM t)

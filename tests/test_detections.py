@@ -153,3 +153,30 @@ def test_zones_are_strictly_earlier(spark):
 def test_empty_tables(spark, f):
     empty = spark.createDataFrame([], BOX)
     assert f(empty if f is B.distinct_boxes else B.distinct_boxes(empty)).count() == 0
+
+
+def test_service_is_asked_for_what_is_missing(spark):
+    from framewright.operators import labelling
+
+    artifacts = spark.createDataFrame([("a",), ("b",), ("c",), ("a",)], "artifact_id string")
+    stored = spark.createDataFrame([("a", "{}"), ("b", None)], "artifact_id string, body string")
+    client = lambda x: {"b": "[]"}[x]
+    assert {tuple(r) for r in labelling.ask_missing(artifacts, stored, client, "v").collect()} == {("b", "v", "[]"), ("c", "v", None)}
+
+
+def test_palette_order_hangs_on_the_image(spark):
+    palette = spark.createDataFrame([(i, c) for i, c in enumerate("abcdefgh")], "idx int, color_name string")
+    order = lambda image: [r["color_name"] for r in sections.shuffled_palette(palette, image).orderBy("idx").collect()]
+    assert order(b"x") == order(b"x") != order(b"y") and sorted(order(b"x")) == list("abcdefgh")
+
+
+def test_labels_of_awkward_answers(spark):
+    from framewright.operators import labelling
+
+    texts = {
+        1: '```json\n[{"id": " a", "primary": true}, {"id": "A", "primary": false}]\n```', 2: "no list", 3: "] [", 4: None, 5: "[]", 6: '[{"id": "A"}]', 7: '[[{"id": "A", "primary": true}]]',
+        8: '{"areas": [{"id": "B", "primary": true}]}', 9: '[{"id": "A", "primary": "x"}]',
+    }
+    df = spark.createDataFrame(list(texts.items()), "i int, t string")
+    found = {r["i"]: r["labels"] for r in labelling.with_labels(df, "t").collect()}
+    assert found == {1: {"A": False}, 2: None, 3: None, 4: None, 5: {}, 6: None, 7: None, 8: {"B": True}, 9: None}
