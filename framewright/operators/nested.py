@@ -27,9 +27,14 @@ def _digest(text: str) -> str:
     return hashlib.sha256(text.encode()).hexdigest()[:32]
 
 
+def _clean(text: str | None) -> str | None:
+    """Text that can be stored: lone surrogates become question marks."""
+    return text if text is None or text.isascii() else text.encode("utf-8", "replace").decode()
+
+
 def walk(record: object) -> list[tuple]:
     """(path, path of the nearest array-element object around it, kind, ordinal, hash, hash of that parent,
-    canonical form) of each object that is an element of an array, in order of place.
+    canonical form, the object itself) of each object that is an element of an array, in order of place.
 
     ``kind`` is the key of the array it stands in ('' for a bare list). Strings under a key ``arguments`` are
     entered if they are JSON objects or arrays. The walk keeps its own stack, so depth is bounded by memory.
@@ -44,7 +49,7 @@ def walk(record: object) -> list[tuple]:
         if isinstance(value, dict):
             if in_array:
                 row = len(rows)
-                rows.append([path, parent_path, key, index, None, parent_row, None])
+                rows.append([path, parent_path, key, index, None, parent_row, None, value])
             order.append((value, row))
             inner_path, inner_row = (path, row) if in_array else (parent_path, parent_row)
             for k in reversed(list(value)):
@@ -69,7 +74,7 @@ def walk(record: object) -> list[tuple]:
         hashes[id(value)] = f"#{_digest(body)}"
         if row is not None:
             rows[row][4], rows[row][6] = hashes[id(value)][1:], body
-    return [(p, pp, k, i, h, rows[pr][4] if pr is not None else None, c) for p, pp, k, i, h, pr, c in rows]
+    return [(p, pp, k, i, h, rows[pr][4] if pr is not None else None, c, v) for p, pp, k, i, h, pr, c, v in rows]
 
 
 def occurrences(records: DataFrame, id_column: str, json_column: str) -> DataFrame:
@@ -84,14 +89,58 @@ def occurrences(records: DataFrame, id_column: str, json_column: str) -> DataFra
         for batch in batches:
             out = []
             for record_id, body in zip(batch["record_id"], batch["body"]):
-                clean = lambda x: x if x is None or x.isascii() else x.encode("utf-8", "replace").decode()
-                out += [(record_id, clean(p), clean(pp), clean(k), i, h, ph, clean(c)) for p, pp, k, i, h, ph, c in walk(read_json(body))]
+                out += [(record_id, _clean(p), _clean(pp), _clean(k), i, h, ph, _clean(c)) for p, pp, k, i, h, ph, c, _ in walk(read_json(body))]
             frame = pd.DataFrame(out, columns=[x.split()[0] for x in _OCCURRENCES.split(", ")])
             yield frame.astype({"record_id": "int64", "ordinal": "int32"})
 
     return one.mapInPandas(flatten, _OCCURRENCES)
 
 
+def _scalars(node: dict) -> dict[str, str]:
+    """The fields of an object that are no objects of their own table: scalars and arrays without objects, those of
+    objects directly inside it under dotted names. Null fields are left out."""
+    out: dict[str, str] = {}
+    todo = [(node, "")]
+    while todo:
+        value, prefix = todo.pop()
+        for k, v in value.items():
+            if isinstance(v, dict):
+                todo.append((v, f"{prefix}{k}."))
+            elif isinstance(v, list):
+                if not any(isinstance(x, (dict, list)) for x in v):
+                    out[prefix + k] = _scalar(v)
+            elif v is not None:
+                out[prefix + k] = v if isinstance(v, str) else _scalar(v)
+    return out
+
+
+_FLAT = "record_id long, node_path string, parent_path string, kind string, ordinal int, fields string"
+
+
+def flat_tables(records: DataFrame, id_column: str, json_column: str) -> DataFrame:
+    """(record_id, node_path, parent_path, kind, ordinal, fields): one table for each kind of object, told apart by
+    ``kind`` (the key of the array the objects stand in), with their own fields as text.
+
+    The record itself, if it is an object, is the row with an empty path and the kind ``record``; otherwise as
+    ``occurrences``.
+    """
+    one = records.where(F.col(id_column).isNotNull() & F.col(json_column).isNotNull()).groupBy(F.col(id_column).cast("long").alias("record_id")).agg(F.max(json_column).alias("body"))
+
+    def flatten(batches):
+        for batch in batches:
+            out = []
+            for record_id, body in zip(batch["record_id"], batch["body"]):
+                record = read_json(body)
+                places = walk(record)
+                if isinstance(record, dict):
+                    out.append((record_id, "", None, "record", None, _clean(json.dumps(_scalars(record)))))
+                out += [(record_id, _clean(p), _clean(pp), _clean(k), i, json.dumps(_scalars(node))) for p, pp, k, i, *_, node in places]
+            frame = pd.DataFrame(out, columns=[x.split()[0] for x in _FLAT.split(", ")])
+            yield frame.astype({"record_id": "int64", "ordinal": "Int32"})
+
+    return one.mapInPandas(flatten, _FLAT).withColumn("fields", F.from_json("fields", "map<string,string>"))
+
+
 def objects(bridge: DataFrame) -> DataFrame:
     """(object_id, kind, canonical, n_places): each distinct object of a kind once.
 

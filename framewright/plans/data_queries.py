@@ -34,7 +34,11 @@ def p5_objects(spark, sf_dir):
     return nested.objects(nested.occurrences(table(spark, sf_dir, "responses"), "response_id", "body"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_table, p3_found, p4_found, p5_found, p5_bridge, p5_objects)}
+def p5_tables(spark, sf_dir):
+    return nested.flat_tables(table(spark, sf_dir, "responses"), "response_id", "body")
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_table, p3_found, p4_found, p5_found, p5_bridge, p5_objects, p5_tables)}
 
 ORACLES = {
     "p4_found": """

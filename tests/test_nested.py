@@ -42,3 +42,13 @@ def test_equal_objects_are_stored_once(spark):
     assert stored == {("", 3), ("b", 3)}
     ids = {r["object_id"] for r in bridge.collect()}
     assert {r["parent_id"] for r in bridge.where("kind = 'b'").collect()} < ids
+
+
+def test_flat_tables(spark):
+    body = {"id": "r", "usage": {"tokens": 3}, "choices": [{"index": 0, "message": {"role": "x", "content": [{"type": "text", "box": [1, 2]}]}, "empty": None}]}
+    rows = nested.flat_tables(spark.createDataFrame([(1, json.dumps(body), "")], SCHEMA), "response_id", "body").collect()
+    assert {(r["kind"], r["node_path"], r["parent_path"], tuple(sorted(r["fields"].items()))) for r in rows} == {
+        ("record", "", None, (("id", "r"), ("usage.tokens", "3"))),
+        ("choices", "choices[0]", "", (("index", "0"), ("message.role", "x"))),
+        ("content", "choices[0].message.content[0]", "choices[0]", (("box", "[1, 2]"), ("type", "text"))),
+    }
