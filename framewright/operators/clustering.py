@@ -126,9 +126,15 @@ def cluster_videos(boxes: DataFrame, videos: DataFrame, eps: float = STATIC_EPS,
     near = cut(eps_neighbors(places, eps * PIXELS_PER_UNIT))
     core = near.groupBy("video_id", "a").agg(F.sum("n_b").alias("m")).where(F.col("m") >= min_samples).select("video_id", F.col("a").alias("node"))
     core = cut(core.join(places.select("video_id", F.col("p").alias("node"), "rank"), ["video_id", "node"]))
-    is_core = lambda c: core.select("video_id", F.col("node").alias(c))
-    links = near.where("a < b").join(is_core("a"), ["video_id", "a"]).join(is_core("b"), ["video_id", "b"])
-    roots = components(links, core.select("video_id", "node"))
+    # core places in one cell of eps / sqrt 2 are within eps of one another: cells stand for them as nodes
+    side = int(eps * PIXELS_PER_UNIT / 2**0.5)
+    cell = ["video_id", "gx", "gy"]
+    held = core.join(places.select("video_id", F.col("p").alias("node"), F.floor(F.col("px") / side).alias("gx"), F.floor(F.col("py") / side).alias("gy")), ["video_id", "node"])
+    cells = cut(held.join(held.groupBy(*cell).agg(F.min("node").alias("cell")), cell).select("video_id", "node", "cell"))
+    of = lambda c: cells.select("video_id", F.col("node").alias(c), F.col("cell").alias(f"cell_{c}"))
+    links = near.where("a < b").join(of("a"), ["video_id", "a"]).join(of("b"), ["video_id", "b"]).where("cell_a <> cell_b").select("video_id", F.col("cell_a").alias("a"), F.col("cell_b").alias("b")).distinct()
+    by_cell = components(links, cells.select("video_id", F.col("cell").alias("node")).distinct()).withColumnRenamed("node", "cell")
+    roots = cells.join(by_cell, ["video_id", "cell"]).select("video_id", "node", "root")
     first = roots.join(core, ["video_id", "node"]).groupBy("video_id", "root").agg(F.min("rank").alias("rank"))
     numbered = first.withColumn("label", (F.row_number().over(Window.partitionBy("video_id").orderBy("rank")) - 1).cast("int"))
     labels = roots.join(numbered.select("video_id", "root", "label"), ["video_id", "root"]).select("video_id", "node", "label")

@@ -47,15 +47,21 @@ def parsed_responses(responses: DataFrame) -> DataFrame:
     return with_labels(texts, "text").select("response_id", "artifact_id", "labels")
 
 
+def _exploded(parsed: DataFrame, key: str) -> DataFrame:
+    """(key, label, is_primary). Exploding outer keeps Catalyst from pushing a null check below the parsing, where it
+    would be written out once for each step."""
+    return parsed.select(key, F.explode_outer("labels").alias("label", "is_primary")).where("label is not null")
+
+
 def label_rows(responses: DataFrame) -> DataFrame:
-    return parsed_responses(responses).select("response_id", F.explode("labels").alias("label", "is_primary"))
+    """(response_id, label, is_primary) of every response that can be parsed."""
+    return _exploded(parsed_responses(responses), "response_id")
 
 
 def latest_labels(responses: DataFrame) -> DataFrame:
     """(artifact_id, label, is_primary) by the last response of an artifact that can be parsed."""
-    parsed = parsed_responses(responses).where("labels is not null")
-    last = parsed.groupBy("artifact_id").agg(F.max_by("labels", "response_id").alias("labels"))
-    return last.select("artifact_id", F.explode("labels").alias("label", "is_primary"))
+    known = F.when(F.col("labels").isNotNull(), F.col("response_id"))
+    return _exploded(parsed_responses(responses).groupBy("artifact_id").agg(F.max_by("labels", known).alias("labels")), "artifact_id")
 
 
 def cache_misses(artifacts: DataFrame, responses: DataFrame) -> DataFrame:

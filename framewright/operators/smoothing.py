@@ -46,10 +46,7 @@ def smooth(series: DataFrame, key: str, columns: list[str], kernel: np.ndarray,
     reach = len(kernel) // 2
     counted = series.groupBy(key).agg((F.max(place) + 1).alias("n"))
     rows = series.join(counted, key)
-    # the blocks a row is needed in: those its reach touches, and near an end those that mirror it
-    touch = F.array_distinct(F.flatten(F.array(
-        F.sequence(F.greatest(F.col(place) - reach, F.lit(0)).cast("long"), F.least(F.col(place) + reach, F.col("n") - 1).cast("long"), F.lit(1).cast("long")),
-    )))
+    # a mirrored position lies within the reach of the end that mirrors it, so these are all blocks that need a row
     low = F.greatest(F.col(place) - reach, F.lit(0))
     high = F.least(F.col(place) + reach, F.col("n") - 1)
     touch = F.sequence(F.floor(low / BLOCK), F.floor(high / BLOCK))

@@ -91,8 +91,9 @@ def greedy_track(packed: DataFrame, mode: str = "faithful") -> DataFrame:
 def linear_spline(y: np.ndarray, w: np.ndarray, s: float) -> np.ndarray:
     """A smoothing spline of degree 1 at 0..n-1 with the sum of (w * residual)^2 at most ``s``.
 
-    Knots are added where a span between knots has the greatest weighted residual, until the least-squares
-    polyline meets the bound; this is the documented smoothing condition, by an own choice of knots.
+    Each round adds a knot to the half of the spans with the greatest weighted residuals, at the greatest residual
+    within, until the least-squares polyline meets the bound; this is the documented smoothing condition, by an
+    own choice of knots.
     """
     n = len(y)
     x = np.arange(n, dtype=float)
@@ -111,11 +112,12 @@ def linear_spline(y: np.ndarray, w: np.ndarray, s: float) -> np.ndarray:
         miss = (w * (y - fitted)) ** 2
         if miss.sum() <= s or len(knots) >= n:
             return fitted
-        best = max((a for a in range(len(knots) - 1) if knots[a + 1] - knots[a] > 1), key=lambda a: miss[knots[a] : knots[a + 1] + 1].sum(), default=None)
-        if best is None:
+        spans = [a for a in range(len(knots) - 1) if knots[a + 1] - knots[a] > 1]
+        if not spans:
             return fitted
-        lo, hi = knots[best], knots[best + 1]
-        knots.insert(best + 1, lo + 1 + int(np.argmax(miss[lo + 1 : hi])))
+        sums = np.array([miss[knots[a] : knots[a + 1] + 1].sum() for a in spans])
+        worst = [spans[i] for i in np.argsort(-sums, kind="stable")[: max(1, len(spans) // 2)]]
+        knots = sorted({*knots, *(knots[a] + 1 + int(np.argmax(miss[knots[a] + 1 : knots[a + 1]])) for a in worst)})
 
 
 def chunk_bounds(packed: DataFrame) -> DataFrame:
