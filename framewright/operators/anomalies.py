@@ -281,7 +281,7 @@ def implausible_readings(interests: DataFrame, videos: DataFrame) -> DataFrame:
         "block",
         F.explode(F.array_distinct(F.expr(f"array(frame_id div {BLOCK}, greatest(frame_id - {HALO}, 0) div {BLOCK}, (frame_id + {HALO}) div {BLOCK})"))),
     )
-    summary = cut(with_halo.groupBy("video_id", "metric", "block").applyInPandas(_summarise, f"video_id int, metric string, block long, {_SUMMARY}"))
+    summary = cut(with_halo.groupBy("video_id", "metric", "block").applyInPandas(_summarise, f"video_id {dict(valid.dtypes)['video_id']}, metric string, block long, {_SUMMARY}"))
     usual, stuck = _source_limits(summary)
     spikes = (
         summary.where("what = 'spike'")

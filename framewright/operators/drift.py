@@ -205,9 +205,6 @@ def _types(kinds: dict) -> str:
     return ",".join(sorted(kinds))
 
 
-_PARTIAL = "family string, file_id long, written_at timestamp, part string"
-
-
 def _partial_schemas(batches):
     for rows in batches:
         out = []
@@ -223,7 +220,8 @@ def _partial_schemas(batches):
 
 def file_schemas(records: DataFrame) -> DataFrame:
     """(family, file_id, written_at, seq, parts): the schema of each file, in parts, and its place in its family."""
-    parts = records.select("family", "file_id", "written_at", "record_json").where("family is not null and file_id is not null").mapInPandas(_partial_schemas, _PARTIAL)
+    schema = f"family string, file_id long, written_at {dict(records.dtypes)['written_at']}, part string"
+    parts = records.select("family", "file_id", "written_at", "record_json").where("family is not null and file_id is not null").mapInPandas(_partial_schemas, schema)
     files = parts.groupBy("family", "file_id").agg(F.min("written_at").alias("written_at"), F.collect_set("part").alias("parts"))
     files = cut(files)
     place = files.select("family", "file_id", F.row_number().over(Window.partitionBy("family").orderBy("written_at", "file_id")).alias("seq"))

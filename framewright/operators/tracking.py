@@ -2,7 +2,7 @@
 
 A fold's input is repartitioned by video and sorted by frame, and runs as a generator over batches of rows, so a
 video of any length passes through a task without being held in it (the Kalman smoother, which runs backwards,
-and headings hold what their docstrings say).
+holds a segment).
 """
 
 from __future__ import annotations
@@ -237,11 +237,12 @@ def heatmap_track(packed: DataFrame, width: int = 192, height: int = 144, scale:
     return fold(packed, step, "video_id int, frame_id long, x int, y int, value int")
 
 
-def kalman_track(packed: DataFrame, max_frames: int = 1000, fps: float = 30.0) -> DataFrame:
+def kalman_track(packed: DataFrame, fps: float = 30.0, segment: int = 1000, lag: int = 200) -> DataFrame:
     """(video_id, frame_id, x, y, vx, vy): positions and speeds by a Kalman filter and a backward smoother.
 
     A frame with boxes updates by the one nearest the last estimate, without predicting; a frame without boxes
-    predicts, without updating. The backward pass covers the first ``max_frames`` frames, which are held.
+    predicts, without updating. The backward pass runs whenever ``segment`` + ``lag`` frames are held and gives out
+    all but the last ``lag``, so memory is constant; a video of up to that length is smoothed as a whole.
     """
     f = np.eye(4)
     f[0, 2] = f[1, 3] = 1 / fps
@@ -254,9 +255,7 @@ def kalman_track(packed: DataFrame, max_frames: int = 1000, fps: float = 30.0) -
         def advance(frame, boxes):
             nonlocal x, p, last
             if frame is None:
-                return smoothed()
-            if len(kept) >= max_frames:
-                return []
+                return smoothed(len(kept))
             if len(boxes):
                 z = np.array(nearest(boxes, last)[0])
                 gain = p @ h.T @ np.linalg.inv(h @ p @ h.T + r)
@@ -267,18 +266,18 @@ def kalman_track(packed: DataFrame, max_frames: int = 1000, fps: float = 30.0) -
                 x, p = f @ x, f @ p @ f.T + q
             last = (x[0], x[1])
             kept.append((frame, x.copy(), p.copy()))
-            return []
+            return smoothed(segment) if len(kept) >= segment + lag else []
 
-        def smoothed():
-            if not kept:
-                return []
+        def smoothed(n):
             xs, ps = [k[1] for k in kept], [k[2] for k in kept]
             for k in range(len(kept) - 2, -1, -1):
                 ahead = f @ ps[k] @ f.T + q
                 gain = ps[k] @ f.T @ np.linalg.inv(ahead)
                 xs[k] = xs[k] + gain @ (xs[k + 1] - f @ xs[k])
                 ps[k] = ps[k] + gain @ (ps[k + 1] - ahead) @ gain.T
-            return [(k[0], *map(float, v)) for k, v in zip(kept, xs)]
+            out = [(k[0], *map(float, v)) for k, v in zip(kept[:n], xs)]
+            del kept[:n]
+            return out
 
         return advance
 

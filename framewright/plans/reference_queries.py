@@ -57,11 +57,11 @@ def box_center_int(spark, d):
 
 
 def conf_filter(spark, d):
-    return _boxes(spark, d).where("confidence >= 0.5").select("det_id", "confidence")
+    return B.scan_boxes(load(spark, d, "detections").where("confidence >= 0.5")).select("det_id", "confidence")
 
 
 def declustered_filter(spark, d):
-    return _boxes(spark, d).where("cluster_id = -1").select("det_id", "video_id", "frame_id")
+    return B.scan_boxes(load(spark, d, "detections").where("cluster_id is null or cluster_id = -1")).select("det_id", "video_id", "frame_id")
 
 
 def frame_cap(spark, d):
@@ -192,8 +192,10 @@ def zone_build(spark, d):
 
 
 def _zones(spark, d):
-    """Zones of small clusters only: those of cluster 3 and above, so that most boxes stay."""
-    return sections.zones(section_boxes(spark, d).where("cluster_id >= 3"))
+    """The zone of the last cluster of each section."""
+    boxes = section_boxes(spark, d).where("cluster_id <> -1")
+    last = boxes.groupBy("video_id", "section_id").agg(F.max("cluster_id").alias("cluster_id"))
+    return sections.zones(boxes.join(last, ["video_id", "section_id", "cluster_id"], "left_semi"))
 
 
 def ignore_zone_antijoin(spark, d):
@@ -201,6 +203,7 @@ def ignore_zone_antijoin(spark, d):
 
 
 def mask_antijoin(spark, d):
+    """The mask is every pixel on which the center of a box of class 2 lies; all boxes are held against it."""
     mask = _boxes(spark, d).where("class_id = 2").select(F.expr("cast((x1 + x2) / 2 as long)").alias("x"), F.expr("cast((y1 + y2) / 2 as long)").alias("y"))
     return sections.outside_mask(_distinct(spark, d), mask).select("det_id")
 

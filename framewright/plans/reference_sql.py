@@ -128,7 +128,7 @@ ORACLES = {
     "section_overlaps": f"WITH {_STATS} SELECT video_id, section_id, count(*) AS n_clusters, string_agg(CAST(cluster_id AS VARCHAR), '_' ORDER BY cluster_id) AS clusters FROM stats GROUP BY 1, 2 HAVING count(*) > 1",
     "overlap_topk": f"WITH {_OVERLAPS} SELECT video_id, section_id, CAST(sum(overlap) AS BIGINT) AS total_overlap FROM lap GROUP BY 1, 2 ORDER BY 3 DESC, 1, 2 LIMIT 20",
     "zone_build": f"WITH {_PLACED}, {_zones('cluster_id <> -1')} SELECT video_id, section_id, cluster_id, x_lo, x_hi, y_lo, y_hi, round(min_area + 1e-9, 3) + 0.0 AS min_area, round(max_area + 1e-9, 3) AS max_area FROM zones",
-    "ignore_zone_antijoin": f"""WITH {_PLACED}, {_zones("cluster_id >= 3")} SELECT det_id FROM placed p WHERE NOT EXISTS (SELECT 1 FROM zones z WHERE z.video_id = p.video_id AND z.section_id < p.section_id
+    "ignore_zone_antijoin": f"""WITH {_PLACED}, {_zones("cluster_id <> -1 AND (video_id, section_id, cluster_id) IN (SELECT (video_id, section_id, max(cluster_id)) FROM placed WHERE cluster_id <> -1 GROUP BY video_id, section_id)")} SELECT det_id FROM placed p WHERE NOT EXISTS (SELECT 1 FROM zones z WHERE z.video_id = p.video_id AND z.section_id < p.section_id
             AND CAST(trunc((x1 + x2) / 2) AS BIGINT) BETWEEN x_lo AND x_hi AND CAST(trunc((y1 + y2) / 2) AS BIGINT) BETWEEN y_lo AND y_hi AND (x2 - x1) * (y2 - y1) BETWEEN min_area AND max_area)""",
     "mask_antijoin": f"""WITH {_BOX}, mask AS (SELECT DISTINCT CAST(trunc((x1 + x2) / 2) AS BIGINT) AS x, CAST(trunc((y1 + y2) / 2) AS BIGINT) AS y FROM raw WHERE class_id = 2)
         SELECT det_id FROM box WHERE NOT EXISTS (SELECT 1 FROM mask WHERE x = CAST(trunc((x1 + x2) / 2) AS BIGINT) AND y = CAST(trunc((y1 + y2) / 2) AS BIGINT))""",

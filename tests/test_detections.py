@@ -105,6 +105,17 @@ def test_folds_on_awkward_frames(spark):
     assert tracking.greedy_track(packed).count() == some.count()
 
 
+def test_kalman_segments_agree_with_one_pass(spark):
+    rng = np.random.default_rng(4)
+    frames = spark.createDataFrame([(1, i) for i in range(400)], "video_id int, frame_id long")
+    some = spark.createDataFrame([box(i + 1, i, float(500 + 3 * i + rng.normal()), float(300 + rng.normal())) for i in range(400) if i % 4], BOX)
+    packed = tracking.packed_frames(frames, some)
+    track = lambda **k: np.array([[r["x"], r["y"]] for r in tracking.kalman_track(packed, **k).orderBy("frame_id").collect()])
+    whole = track()
+    off = {lag: np.abs(track(segment=100, lag=lag) - whole).max() for lag in (20, 60, 120)}
+    assert len(whole) == 400 and off[20] > off[60] > off[120] and off[120] < 1e-4  # what a segment does not see fades with the lag
+
+
 def test_sections_of_short_videos(spark):
     frames = spark.createDataFrame([(1, i) for i in range(200)] + [(2, 0)], "video_id int, frame_id long")
     found = {tuple(r) for r in B.sections(frames, videos(spark)).collect()}
