@@ -225,4 +225,4 @@ def group_summary(detections: DataFrame, typical: int = 3, loose: float = 1.0) -
             out.append((rows["video_id"].iloc[0], int(ids[own].min()), int(ids[medoid]), int(n[own].sum()), ids[nearest].tolist()))
         return pd.DataFrame(out, columns=["video_id", "group_det_id", "medoid_det_id", "size", "typical"])
 
-    return seen.groupBy("video_id", "root").applyInPandas(lambda rows: split(rows), "video_id int, group_det_id long, medoid_det_id long, size long, typical array<long>")
+    return seen.groupBy("video_id", "root").applyInPandas(lambda rows: split(rows), f"video_id {dict(seen.dtypes)['video_id']}, group_det_id long, medoid_det_id long, size long, typical array<long>")
