@@ -6,7 +6,7 @@ checked for each answer by itself.
 
 Refusals are found over the whole corpus. The sentences of the openings of prose answers are collapsed to
 distinct normalised ones, clustered by MinHash over word shingles (five words, similarity 0.8, candidates
-verified), and the clusters become templates. A template declines if one of its members stands in a field
+verified, pairs it leaves out added exactly), and the clusters become templates. A template declines if one of its members stands in a field
 for refusals or errors or has the wording of one, and if it recurs, for unrelated prompts, in answers that say
 nothing else of substance. What is said with substance is learned too: a sentence most of whose word pairs
 also stand in answers without any sign of refusal. An answer with a declining template and no sentence of
@@ -31,7 +31,7 @@ from framewright.session import cut
 
 SHINGLE_WORDS = 5
 SIMILARITY = 0.8
-BANDS, ROWS = 20, 4  #: a pair of similarity 0.8 is missed with a probability of 3e-5
+BANDS, ROWS = 20, 4  #: of the MinHash rounds, which need not be complete: ``_missed_pairs`` adds every pair they leave out
 OPENING = 3  #: sentences of an answer's opening
 COVERED = 0.6  #: share of a sentence's word pairs, known from answers without sign of refusal, that makes it one of substance
 SAMPLE_ANSWERS = 3000  #: responses, by the hash of their id, whose answers help to fit the language model
@@ -328,26 +328,59 @@ def _signatures(batches):
             shingles = np.array(sorted(hash_text(g) for g in grams), np.int64)
             mixed = (shingles.astype(np.uint64)[:, None] * a + b) >> np.uint64(3)
             least = mixed.min(axis=0).reshape(BANDS, ROWS)
-            out.append((key, shingles.tolist(), [hash_text(f"{i}:{row.tolist()}") for i, row in enumerate(least)]))
-        yield pd.DataFrame(out, columns=["key", "shingles", "bands"]).astype({"key": "int64"})
+            marks = np.bitwise_xor.reduce(np.uint64(1) << (shingles.astype(np.uint64) & np.uint64(63))).astype(np.int64)
+            out.append((key, shingles.tolist(), [hash_text(f"{i}:{row.tolist()}") for i, row in enumerate(least)], marks))
+        yield pd.DataFrame(out, columns=["key", "shingles", "bands", "marks"]).astype({"key": "int64", "marks": "int64"})
+
+
+def _missed_pairs(signed: DataFrame, roots: DataFrame) -> DataFrame:
+    """(a, b): every pair of sentences in different components that can have a similarity of SIMILARITY.
+
+    Two such sentences share one of the rarest shingles of each, of which as many are taken as a sentence can lack
+    and one more (a prefix filter), their numbers of shingles are in that proportion, and their marks, the parities
+    of 64 classes of shingles, differ in no more places than the shingles that one of them lacks. None of these
+    filters loses a pair. Components meet before their members do, so near copies that are joined already are not
+    paired again.
+    """
+    said = signed.select("key", F.explode("shingles").alias("shingle"))
+    ranked = said.join(said.groupBy("shingle").agg(F.count("*").alias("n")), "shingle").groupBy("key").agg(F.array_sort(F.collect_list(F.struct("n", "shingle"))).alias("rarest"))
+    size = F.size("rarest")
+    rare = ranked.select("key", size.alias("size"), F.explode(F.slice("rarest", 1, size - F.ceil(size * SIMILARITY - 1e-9).cast("int") + 1)).alias("s")).where("s.n > 1")
+    held = cut(rare.join(roots, "key").join(signed.select("key", "marks"), "key").select("s.shingle", "root", "size", "key", "marks"))
+    group = held.select("shingle", "root", "size").distinct()
+    left = group.withColumnsRenamed({"root": "ra", "size": "na"})
+    right = group.withColumnsRenamed({"root": "rb", "size": "nb"})
+    met = left.join(right, "shingle").where((F.col("ra") < F.col("rb")) & (F.least("na", "nb") >= F.greatest("na", "nb") * SIMILARITY - 1e-9))
+    member = lambda s: held.select("shingle", F.col("root").alias(f"r{s}"), F.col("size").alias(f"n{s}"), F.col("key").alias(s), F.col("marks").alias(f"m{s}"))
+    differ = (F.col("na") + F.col("nb")) * ((1 - SIMILARITY) / (1 + SIMILARITY)) + 1e-9
+    both = met.join(member("a"), ["shingle", "ra", "na"]).join(member("b"), ["shingle", "rb", "nb"])
+    return both.where(F.bit_count(F.col("ma").bitwiseXOR(F.col("mb"))) <= differ).select("a", "b").distinct()
 
 
 def template_clusters(sentences: DataFrame) -> DataFrame:
     """(key, template): the cluster of each distinct sentence of (key, text), named by its smallest key.
 
-    In a band's bucket each sentence is held against the smallest one and against the next one by key, not
-    against all, so a bucket of any size costs as much as it has members.
+    In a band's bucket each sentence is first held against the smallest one and against the next one by key, so a
+    bucket of any size costs as much as it has members. That joins near copies; what a bucket that mixes templates
+    leaves apart is then found among the components by ``_missed_pairs``, so every pair of similarity SIMILARITY
+    is joined.
     """
-    signed = cut(sentences.mapInPandas(_signatures, "key long, shingles array<long>, bands array<long>"))
+    signed = cut(sentences.mapInPandas(_signatures, "key long, shingles array<long>, bands array<long>, marks long"))
     bucket = signed.select("key", F.explode("bands").alias("band"))
     w = Window.partitionBy("band").orderBy("key")
     near = bucket.select("key", F.first("key").over(w).alias("least"), F.lag("key").over(w).alias("prior"))
     pairs = near.select(F.col("key").alias("a"), F.explode(F.array("least", "prior")).alias("b")).where("b is not null and a <> b").distinct()
     side = lambda s: signed.select(F.col("key").alias(s), F.col("shingles").alias(f"s{s}"))
     shared = F.size(F.array_intersect("sa", "sb"))
-    verified = pairs.join(side("a"), "a").join(side("b"), "b").where(shared / (F.size("sa") + F.size("sb") - shared) >= SIMILARITY)
-    roots = components(verified.select(F.lit(0).alias("video_id"), "a", "b"), signed.select(F.lit(0).alias("video_id"), F.col("key").alias("node")))
-    return roots.select(F.col("node").alias("key"), F.col("root").alias("template"))
+    similar = lambda pairs: pairs.join(side("a"), "a").join(side("b"), "b").where(shared / (F.size("sa") + F.size("sb") - shared) >= SIMILARITY).select("a", "b")
+    whole = F.lit(0).alias("video_id")
+    roots = components(similar(pairs).select(whole, "a", "b"), signed.select(whole, F.col("key").alias("node"))).select(F.col("node").alias("key"), "root")
+    roots = cut(roots)
+    missed = similar(_missed_pairs(signed, roots))
+    of = lambda s: roots.select(F.col("key").alias(s), F.col("root").alias(f"r{s}"))
+    links = missed.join(of("a"), "a").join(of("b"), "b").select(whole, F.col("ra").alias("a"), F.col("rb").alias("b")).distinct()
+    merged = components(links, roots.select(whole, F.col("root").alias("node")).distinct())
+    return roots.join(merged.select(F.col("node").alias("root"), F.col("root").alias("template")), "root").select("key", "template")
 
 
 def opening_templates(judged: DataFrame) -> DataFrame:

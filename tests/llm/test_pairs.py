@@ -86,3 +86,24 @@ def test_clusters_join_near_copies(spark):
     rows = [(1, base), (2, base + " x"), (3, "the wide camera follows the long pass without any trouble at the far goal"), (4, "hello")]
     found = {r["key"]: r["template"] for r in pairs.template_clusters(spark.createDataFrame(rows, "key long, text string")).collect()}
     assert found == {1: 1, 2: 1, 3: 3, 4: 4}
+
+
+def test_clusters_are_those_of_all_pairs(spark):
+    import random
+
+    rng = random.Random(1)
+    word = lambda: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=6))
+    words = lambda n: [word() for _ in range(n)]
+    common, texts = words(60), set()  # a hundred pairs of similarity 0.81 amid others of 0.74
+    for _ in range(100):
+        texts |= {" ".join([*common, *pair, *words(7)]) for pair in [words(3)] * 2}
+    rows = [(pairs.hash_text(x), x) for x in sorted(texts)]
+    grams = {k: {tuple(x.split()[i : i + 5]) for i in range(len(x.split()) - 4)} for k, x in rows}
+    root = {k: k for k in grams}
+    for a in grams:
+        for b in grams:
+            if a < b and root[a] != root[b] and len(grams[a] & grams[b]) / len(grams[a] | grams[b]) >= pairs.SIMILARITY:
+                low, high = sorted((root[a], root[b]))
+                root = {k: low if r == high else r for k, r in root.items()}
+    found = {r["key"]: r["template"] for r in pairs.template_clusters(spark.createDataFrame(rows, "key long, text string")).collect()}
+    assert found == root
