@@ -2,7 +2,9 @@
 
 Every object is canonicalised bottom-up (sorted keys, child objects and arrays replaced by their hashes) and
 hashed; equal objects have equal hashes wherever they stand. ``occurrences`` is the bridge: one row per place
-with its path, ordinal, own hash and that of the object around it. ``objects`` stores each distinct object once.
+with its path, ordinal, own hash and that of the object around it, and with ``every`` also one for each object under
+a key and each array, so that every hash in a canonical form can be looked up. ``objects`` stores each distinct
+object once.
 """
 
 from __future__ import annotations
@@ -17,6 +19,7 @@ from pyspark.sql import functions as F
 from framewright.operators.drift import read_json
 
 _OCCURRENCES = "record_id long, node_path string, parent_path string, kind string, ordinal int, object_id string, parent_id string, canonical string"
+_EVERY = f"{_OCCURRENCES}, form string, container_id string"
 
 
 def _scalar(value: object) -> str:
@@ -32,26 +35,28 @@ def _clean(text: str | None) -> str | None:
     return text if text is None or text.isascii() else text.encode("utf-8", "replace").decode()
 
 
-def walk(record: object) -> list[tuple]:
+def walk(record: object, every: bool = False) -> list[tuple]:
     """(path, path of the nearest array-element object around it, kind, ordinal, hash, hash of that parent,
-    canonical form, the object itself) of each object that is an element of an array, in order of place.
+    canonical form, hash of the object or array it stands in directly, the object itself) of each object that is an
+    element of an array, in order of place; with ``every`` of every object and array, the record among them.
 
-    ``kind`` is the key of the array it stands in ('' for a bare list). Strings under a key ``arguments`` are
+    ``kind`` is the key of the array it stands in ('' for a bare list), or the key it stands under itself. Strings under a key ``arguments`` are
     entered if they are JSON objects or arrays. The walk keeps its own stack, so depth is bounded by memory.
     """
     rows: list[list] = []
     hashes: dict[int, str] = {}
-    todo: list[tuple] = [(record, "", "", None, "", None, False)]
+    todo: list[tuple] = [(record, "", "", None, "", None, None)]
     order: list[tuple] = []
     while todo:
-        value, path, key, index, parent_path, parent_row, in_array = todo.pop()
+        value, path, key, index, parent_path, parent_row, container = todo.pop()
         row = None
+        element = index is not None and isinstance(value, dict)
+        if element or (every and isinstance(value, (dict, list))):
+            row = len(rows)
+            rows.append([path, parent_path, key, index, None, parent_row, None, container, value])
         if isinstance(value, dict):
-            if in_array:
-                row = len(rows)
-                rows.append([path, parent_path, key, index, None, parent_row, None, value])
             order.append((value, row))
-            inner_path, inner_row = (path, row) if in_array else (parent_path, parent_row)
+            inner_path, inner_row = (path, row) if element else (parent_path, parent_row)
             for k in reversed(list(value)):
                 v = value[k]
                 if k == "arguments" and isinstance(v, str):
@@ -60,12 +65,12 @@ def walk(record: object) -> list[tuple]:
                         continue
                     value[k] = v = inside
                 if isinstance(v, (dict, list)):
-                    todo.append((v, f"{path}.{k}" if path else k, k, None, inner_path, inner_row, False))
+                    todo.append((v, f"{path}.{k}" if path else k, k, None, inner_path, inner_row, row))
         elif isinstance(value, list):
-            order.append((value, None))
+            order.append((value, row))
             for i in range(len(value) - 1, -1, -1):
                 if isinstance(value[i], (dict, list)):
-                    todo.append((value[i], f"{path}[{i}]", key, i, parent_path, parent_row, True))
+                    todo.append((value[i], f"{path}[{i}]", key, i, parent_path, parent_row, row))
     for value, row in reversed(order):
         if isinstance(value, dict):
             body = "{" + ",".join(f"{_scalar(k)}:{hashes[id(v)] if isinstance(v, (dict, list)) else _scalar(v)}" for k, v in sorted(value.items())) + "}"
@@ -74,12 +79,15 @@ def walk(record: object) -> list[tuple]:
         hashes[id(value)] = f"#{_digest(body)}"
         if row is not None:
             rows[row][4], rows[row][6] = hashes[id(value)][1:], body
-    return [(p, pp, k, i, h, rows[pr][4] if pr is not None else None, c, v) for p, pp, k, i, h, pr, c, v in rows]
+    hash_of = lambda row: rows[row][4] if row is not None else None
+    return [(p, pp, k, i, h, hash_of(pr), c, hash_of(at), v) for p, pp, k, i, h, pr, c, at, v in rows]
 
 
-def occurrences(records: DataFrame, id_column: str, json_column: str) -> DataFrame:
+def occurrences(records: DataFrame, id_column: str, json_column: str, every: bool = False) -> DataFrame:
     """The bridge table of all readable records: every array-element object with its place and its parent's.
 
+    With ``every``, each object and array has a row, told apart by ``form``, with the hash of what it stands in
+    directly (``container_id``, null for the record itself); those under a key have no ordinal and the key as kind.
     Repeated rows of an id are read once (the largest text, should they differ). Null ids and null or
     unreadable texts have no objects; an empty table gives an empty result; other columns are ignored.
     """
@@ -89,11 +97,14 @@ def occurrences(records: DataFrame, id_column: str, json_column: str) -> DataFra
         for batch in batches:
             out = []
             for record_id, body in zip(batch["record_id"], batch["body"]):
-                out += [(record_id, _clean(p), _clean(pp), _clean(k), i, h, ph, _clean(c)) for p, pp, k, i, h, ph, c, _ in walk(read_json(body))]
-            frame = pd.DataFrame(out, columns=[x.split()[0] for x in _OCCURRENCES.split(", ")])
-            yield frame.astype({"record_id": "int64", "ordinal": "int32"})
+                for p, pp, k, i, h, ph, c, at, node in walk(read_json(body), every):
+                    row = (record_id, _clean(p), _clean(pp), _clean(k), i, h, ph, _clean(c))
+                    out.append((*row, "array" if isinstance(node, list) else "object", at) if every else row)
+            frame = pd.DataFrame(out, columns=[x.split()[0] for x in schema.split(", ")])
+            yield frame.astype({"record_id": "int64", "ordinal": "Int32"})
 
-    return one.mapInPandas(flatten, _OCCURRENCES)
+    schema = _EVERY if every else _OCCURRENCES
+    return one.mapInPandas(flatten, schema)
 
 
 def _scalars(node: dict) -> dict[str, str]:

@@ -27,11 +27,11 @@ def p5_found(spark, sf_dir):
 
 
 def p5_bridge(spark, sf_dir):
-    return nested.occurrences(table(spark, sf_dir, "responses"), "response_id", "body").drop("canonical")
+    return nested.occurrences(table(spark, sf_dir, "responses"), "response_id", "body", every=True).drop("canonical")
 
 
 def p5_objects(spark, sf_dir):
-    return nested.objects(nested.occurrences(table(spark, sf_dir, "responses"), "response_id", "body"))
+    return nested.objects(nested.occurrences(table(spark, sf_dir, "responses"), "response_id", "body", every=True))
 
 
 def p5_tables(spark, sf_dir):

@@ -1,4 +1,5 @@
 import json
+import re
 
 from framewright.operators import nested
 
@@ -52,3 +53,18 @@ def test_flat_tables(spark):
         ("choices", "choices[0]", "", (("index", "0"), ("message.role", "x"))),
         ("content", "choices[0].message.content[0]", "choices[0]", (("box", "[1, 2]"), ("type", "text"))),
     }
+
+
+def test_every_hash_can_be_resolved(spark):
+    body = {"usage": {"n": 1}, "choices": [{"message": {"role": "x", "tags": ["a", None], "arguments": '{"k": [[{"z": 2}]]}'}}]}
+    bridge = nested.occurrences(spark.createDataFrame([(1, json.dumps(body), ""), (2, "[[], {}]", "")], SCHEMA), "response_id", "body", every=True)
+    rows, stored = bridge.collect(), {r["object_id"]: r["canonical"] for r in nested.objects(bridge).collect()}
+
+    def whole(object_id):
+        return json.loads(re.sub(r"#([0-9a-f]{32})", lambda m: json.dumps(whole(m[1])), stored[object_id]))
+
+    body["choices"][0]["message"]["arguments"] = {"k": [[{"z": 2}]]}
+    assert [whole(r["object_id"]) for r in rows if r["container_id"] is None] == [body, [[], {}]]
+    places = {(r["node_path"], r["kind"], r["ordinal"], r["form"]) for r in rows if r["record_id"] == 1}
+    assert {("", "", None, "object"), ("usage", "usage", None, "object"), ("choices", "choices", None, "array"), ("choices[0].message.arguments.k[0]", "k", 0, "array")} < places
+    assert len(places) == 10 and {r["container_id"] for r in rows} - {None} <= set(stored)
