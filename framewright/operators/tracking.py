@@ -196,11 +196,12 @@ def spline_track(packed: DataFrame) -> DataFrame:
     return _smoothed_chunks(packed, 2, False, "video_id int, frame_id long, poi_x double, poi_y double")
 
 
-def heatmap_track(packed: DataFrame, width: int = 192, height: int = 144, scale: float = 10.0, influence: float = 400.0, resolution: int = 1024, rate: int = 256, attack: int = 4) -> DataFrame:
+def heatmap_track(packed: DataFrame, width: int = 1920, height: int = 1440, scale: float = 1.0, influence: float = 400.0, resolution: int = 1024, rate: int = 256, attack: int = 4) -> DataFrame:
     """(video_id, frame_id, x, y, value): the hottest cell of a decaying heat map, first in row order of equals.
 
     The map has cells of ``scale`` pixels. Each frame it decays by v - (v / (resolution - 1))^attack * rate and
-    every box adds a Gaussian of ``rate``; an all-cold map keeps the last point, at first the middle.
+    every box adds a Gaussian of ``rate``; an all-cold map keeps the last point, at first the middle. Only the
+    rectangle around all stamps since the map was last cold is decayed and searched.
     """
     levels = np.arange(resolution)
     decay = np.clip(levels - (levels**attack) / ((resolution - 1) ** attack) * rate, 0, resolution - 1).astype(np.uint16)
@@ -208,11 +209,13 @@ def heatmap_track(packed: DataFrame, width: int = 192, height: int = 144, scale:
     def step():
         heat = np.zeros((height, width), np.uint16)
         point = [(width // 2, height // 2)]
+        warm = [width, height, 0, 0]
 
         def advance(frame, boxes):
             if frame is None:
                 return []
-            heat[:] = decay[heat]
+            part = heat[warm[1] : warm[3], warm[0] : warm[2]]
+            part[:] = decay[part]
             for x1, y1, x2, y2 in boxes / scale:
                 side = max(x2 - x1, y2 - y1)
                 cx, cy = (x1 + x2) / 2, (y1 + y2) / 2
@@ -225,11 +228,17 @@ def heatmap_track(packed: DataFrame, width: int = 192, height: int = 144, scale:
                 gx = np.exp(-((np.arange(l, r) - cx) ** 2) / (2 * sigma**2))
                 gy = np.exp(-((np.arange(t, b) - cy) ** 2) / (2 * sigma**2))
                 heat[t:b, l:r] += (gy[:, None] * gx * rate).astype(np.uint16)
-            np.clip(heat, 0, resolution - 1, heat)
-            k = int(np.argmax(heat))
-            value = int(heat.flat[k])
+                warm[:] = min(warm[0], l), min(warm[1], t), max(warm[2], r), max(warm[3], b)
+            part = heat[warm[1] : warm[3], warm[0] : warm[2]]
+            value = 0
+            if part.size:
+                np.clip(part, 0, resolution - 1, part)
+                row, col = divmod(int(np.argmax(part)), part.shape[1])
+                value = int(part[row, col])
             if value:
-                point[0] = (k % width, k // width)
+                point[0] = (warm[0] + col, warm[1] + row)
+            else:
+                warm[:] = width, height, 0, 0
             return [(frame, point[0][0], point[0][1], value)]
 
         return advance

@@ -191,3 +191,24 @@ def test_labels_of_awkward_answers(spark):
     df = spark.createDataFrame(list(texts.items()), "i int, t string")
     found = {r["i"]: r["labels"] for r in labelling.with_labels(df, "t").collect()}
     assert found == {1: {"A": False}, 2: None, 3: None, 4: None, 5: {}, 6: None, 7: None, 8: {"B": True}, 9: None}
+
+
+def test_heatmap_has_the_pixels_of_the_whole_map(spark):
+    frames = spark.createDataFrame([(1, i) for i in range(8)], "video_id int, frame_id long")
+    places = {1: [(603.0, 407.0), (1901.0, 1433.0)], 2: [(611.0, 409.0)], 6: [(15.0, 9.0)]}
+    packed = tracking.packed_frames(frames, spark.createDataFrame([box(1, f, x, y) for f, v in places.items() for x, y in v], BOX))
+    boxes = {r["frame_id"]: np.asarray(r["boxes"], float).reshape(-1, 4) for r in packed.collect()}
+    heat, point, expected = np.zeros((1440, 1920)), (960, 720), []
+    for f in range(8):
+        heat = np.floor(heat - heat**4 / 1023**4 * 256)
+        for x1, y1, x2, y2 in boxes[f]:
+            side, cx, cy = max(x2 - x1, y2 - y1), (x1 + x2) / 2, (y1 + y2) / 2
+            pad = side * 19 / 2
+            l, t, r, b = int(max(cx - side / 2 - pad, 0)), int(max(cy - side / 2 - pad, 0)), int(min(cx + side / 2 + pad, 1920)), int(min(cy + side / 2 + pad, 1440))
+            bell = lambda a, b, c: np.exp(-((np.arange(a, b) - c) ** 2) / (2 * (pad / 3.5) ** 2))
+            heat[t:b, l:r] += np.floor(bell(t, b, cy)[:, None] * bell(l, r, cx) * 256)
+        heat = np.clip(heat, 0, 1023)
+        if heat.max():
+            point = tuple(int(k) for k in np.unravel_index(np.argmax(heat), heat.shape))[::-1]
+        expected.append((f, *point, int(heat.max())))
+    assert [tuple(r)[1:] for r in tracking.heatmap_track(packed).orderBy("frame_id").collect()] == expected
