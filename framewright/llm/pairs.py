@@ -2,15 +2,18 @@
 
 Each answer is read from one of three body shapes and gets at most one defect: ``empty``, ``copied``,
 ``refusal``, ``truncated`` or ``other_language``, tried in this order. Copies, terminations and languages are
-checked for each answer by itself.
-
-Refusals are found over the whole corpus. The sentences of the openings of prose answers are collapsed to
-distinct normalised ones, clustered by MinHash over word shingles (five words, similarity 0.8, candidates
-verified, pairs it leaves out added exactly), and the clusters become templates. A template declines if one of its members stands in a field
-for refusals or errors or has the wording of one, and if it recurs, for unrelated prompts, in answers that say
-nothing else of substance. What is said with substance is learned too: a sentence most of whose word pairs
-also stand in answers without any sign of refusal. An answer with a declining template and no sentence of
-substance is a refusal; doubts within a real answer are not.
+checked for each answer by itself; what stands in a field for refusals is one.
+
+Other refusals are found over the whole corpus, by recurrence and without any list of wordings. The sentences of
+the openings of prose answers are collapsed to distinct normalised ones and clustered by MinHash over word
+shingles (five words, similarity 0.8, candidates verified, pairs it leaves out added exactly); the clusters are
+templates. A short answer given whole, template for template, to several unrelated prompts answers none of them:
+where that happens more often than its templates would meet by chance, they are *revealed*, unless most of their
+answers say other things too. A sentence is one of *substance* if most of its word pairs also stand in other
+sentences of answers without any revealed template. A template declines if at least half of its answers say
+nothing of substance and those belong to several unrelated prompts; an answer with such a template and no sentence
+of substance is a refusal. So a doubt within a real answer is none, and neither is one said under a single prompt.
+Prompts are unrelated if their requests, without the lines of their tables, are in different clusters.
 """
 
 from __future__ import annotations
@@ -33,26 +36,18 @@ SHINGLE_WORDS = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 20, 4  #: of the MinHash rounds, which need not be complete: ``_missed_pairs`` adds every pair they leave out
 OPENING = 3  #: sentences of an answer's opening
-COVERED = 0.6  #: share of a sentence's word pairs, known from answers without sign of refusal, that makes it one of substance
+SHORT = 4  #: sentences of the longest answer that may recur as a whole
+MIN_PROMPTS = 2  #: unrelated prompts that a template must recur for
+CHANCE = 1e-3  #: probability by chance below which recurring as a whole reveals
+COVERED = 0.6  #: share of a sentence's word pairs, known from other sentences of answers without a revealed template, that makes it one of substance
+HALF = 0.5  #: share of a template's answers without substance from which it declines
+FRAGMENT_WORDS = 5  #: words of the shortest last line that is taken as cut without a sign of it
+LIMIT_REASONS = ("length", "max_tokens", "model_length", "max_output_tokens")  #: finish reasons of an answer that ran into its limit
 SAMPLE_ANSWERS = 3000  #: responses, by the hash of their id, whose answers help to fit the language model
 LANGUAGE_MARGIN = 3.0  #: log-likelihood by which another language must lead
 TERMINAL = ".!?…。！？।"
 CLOSING = "\"'”’»)]}」』*_`"
 
-# Wordings of declining in the first person, as stems in lower case.
-DECLINE_WORDINGS = [
-    r"\bi(?:'m| am)? (?:can'?t|cannot|can not|unable|not able|won'?t|must decline|have to (?:pass|decline)|do not have the ability|don't have the ability)",
-    r"\bi(?:'m| am) (?:sorry|unable|not able|not allowed|not permitted)|\bunfortunately i\b|\bapologies\b|\bi apologi[sz]e",
-    r"\bmy guidelines\b|\bno answer can be given\b|\bappropriate for me\b|\bnot (?:something i'm|permitted|allowed)|\boutside what i can\b|^sorry, (?:this|but|i)",
-    r"\blo siento\b|\bno (?:puedo|tengo permitido|me es posible|estoy autorizad)|\bdebo (?:rechazar|declinar)",
-    r"\b(?:desculpe|lamento|sinto muito)\b|\bnão (?:posso|consigo|tenho permissão|me é possível|estou autorizad)|\bpreciso recusar|\bdevo recusar",
-    r"\bdésolée?\b|\bje ne (?:peux|suis) pas\b|\bje dois (?:refuser|décliner)|\bm'est impossible",
-    r"\btut mir leid\b|\b(?:kann|darf) ich\b.*\bnicht\b|\bich (?:kann|darf)\b.*\bnicht\b|\bich bin nicht\b|\bmuss ich ablehnen|\bdarf ich\b",
-    r"\bmi dispiace\b|\bnon (?:posso|mi è possibile|sono in grado|sono autorizzat)|\bdevo rifiutare",
-    r"\bhet spijt me\b|\bik (?:kan|mag)\b.*\bniet\b|\bik moet\b.*\bweigeren",
-    r"\btyvärr\b|\bjag (?:kan|får) inte\b|\bprzykro mi\b|\bnie mogę\b|\bизвините\b|\bя не могу\b|申し訳|できません",
-]
-
 # Stems of language names as prompts write them.
 NAMED_LANGUAGES = {
     "de": "german deutsch alemán alemão allemand tedesco duits tysk niemieck немецк ドイツ語",
@@ -70,6 +65,9 @@ NAMED_LANGUAGES = {
 
 _FENCE = re.compile(r"^\s*```[\w+-]*[ \t]*\n?|\n?\s*```\s*$")
 _QUOTES = re.compile(r"[\s\"'`´“”„‘’‚«»‹›「」『』]+")
+_ENTRY = re.compile(r"\s*(?:[-*•#]|\d+[.)])\s")
+_CLOSED = re.compile(r"[.!?…][\"'”’»)\]}]*\s|[。！？]")
+_LABELLED = re.compile(r"\S\s+[-–—]\s+\S|\S:\s+\S")
 _TABLE_LINE = re.compile(r"(?m)^\s*\w{1,4}\s*,\s*\w+\s*$|^\s*id\s*,.*$")
 
 
@@ -145,12 +143,27 @@ def json_part(text: str) -> tuple[str, object]:
         return "cut", None
 
 
-def ends_within(text: str) -> bool:
-    """Whether prose stops inside a word or a sentence."""
+def ends_within(text: str, reason: str = "") -> bool:
+    """Whether prose stops inside a word or a sentence.
+
+    Text that ends with a closing sign does not. Without one it is judged by its own habit and its finish reason:
+    it stops inside if the reason is a limit, or if an earlier sentence of it is closed. Text without any closed
+    sentence and without such a reason stops inside only if its last line is a phrase of FRAGMENT_WORDS words or
+    more, and no list entry, heading, or entry with a dash or colon in the middle.
+    """
     end = text.rstrip()
     while end and (_invisible(end[-1]) or end[-1] in CLOSING):
         end = end[:-1]
-    return not end or end[-1] not in TERMINAL
+    if end and end[-1] in TERMINAL:
+        return False
+    if not end or reason.lower() in LIMIT_REASONS:
+        return True
+    last = end.rpartition("\n")[2]
+    if _ENTRY.match(last):
+        return False
+    if _CLOSED.search(end):
+        return True
+    return end[-1] in ":,;(-" or (len(last.split()) >= FRAGMENT_WORDS and not _LABELLED.search(last))
 
 
 def _strings(value: object, keys: tuple[str, ...] | None, out: list[str]) -> list[str]:
@@ -180,7 +193,6 @@ def only_message(value: object) -> str:
     return ""
 
 
-_WORDINGS = re.compile("|".join(f"(?:{p})" for p in DECLINE_WORDINGS))
 _NAMED = re.compile("|".join(f"(?P<{code}>" + "|".join((r"\b" if x[0].isalpha() and x[0] < "\u2fff" else "") + re.escape(x) for x in stems.split()) + ")" for code, stems in NAMED_LANGUAGES.items()))
 
 
@@ -199,11 +211,6 @@ def normalise(sentence: str) -> str:
     return " ".join("x" if len(w) == 1 and w.isalpha() and w.isascii() and w not in "ai" else w for w in re.findall(r"[\w'’]+", low))
 
 
-def says_no(sentence: str) -> bool:
-    low = sentence.lower().replace("’", "'")
-    return _WORDINGS.search(low) is not None
-
-
 def _language_text(kind: str, value: object, text: str) -> str:
     """What of an answer tells its language, as the model sees it: the reasons of JSON, or the prose; else ''."""
     words = "\n".join(reasons(value)) if kind == "json" else text
@@ -247,12 +254,15 @@ def fit_languages(responses: DataFrame, documents: DataFrame) -> np.ndarray:
     return langid.fit(labelled, phrases)
 
 
-_ANSWERS = "response_id long, choice_index long, prompt_key long, defect string, later string, sentences array<struct<text:string,key:long,no:boolean,open:boolean,quiet:boolean>>"
+_ANSWERS = "response_id long, choice_index long, prompt_key long, request string, defect string, later string, sentences array<struct<text:string,key:long,field:boolean,open:boolean>>"
 
 
 def judge_answers(responses: DataFrame, table: np.ndarray) -> DataFrame:
-    """One row per answer: its defect as far as the answer alone tells (``defect`` before a refusal, ``later``
-    after one), and the normalised sentences of prose answers for the search for refusals."""
+    """One row per answer: its defect as far as the answer alone tells (``defect`` before a refusal found by
+    recurrence, ``later`` after one), and the normalised sentences of prose answers for the search for those.
+
+    ``request`` is the normalised prompt without its table, given once for each batch; ``prompt_key`` is its hash.
+    """
     shared = responses.sparkSession.sparkContext.broadcast(table)
 
     def judge(batches):
@@ -260,28 +270,29 @@ def judge_answers(responses: DataFrame, table: np.ndarray) -> DataFrame:
             rows, check, known = [], [], {}
             prompts = [p if isinstance(p, str) else "" for p in batch["prompt"]]
             requests = [request_of(p) for p in prompts]
-            keys = {r: hash_text(normalise(r)) for r in set(requests)}
+            norms = {r: normalise(r) for r in set(requests)}
+            keys = {r: hash_text(norm) for r, norm in norms.items()}
             wanted = expected_languages(requests, shared.value)
             for response_id, prompt, request, want, body in zip(batch["response_id"], prompts, requests, wanted, batch["body"]):
-                prompt_key = keys[request]
-                for index, text, called, refusal, _ in answers(read_json(body)):
-                    row = [response_id, index, prompt_key, None, None, []]
+                for index, text, called, refusal, reason in answers(read_json(body)):
+                    row = [response_id, index, keys[request], None, None, None, []]
                     rows.append(row)
                     if not is_blank(refusal):
-                        row[5] = _opening(refusal, True, known)
+                        row[4], row[6] = "refusal", _opening(refusal, True, known)
                         continue
                     if is_blank(text):
-                        row[3] = None if called else "empty"
+                        row[4] = None if called else "empty"
                         continue
                     if is_copy(text, prompt):
-                        row[3] = "copied"
+                        row[4] = "copied"
                         continue
                     kind, value = json_part(text)
                     message = only_message(value) if kind == "json" else ""
                     if message or kind == "prose":
-                        row[5] = _opening(message or text, bool(message), known)
-                    if kind == "cut" or (kind == "prose" and ends_within(text)):
-                        row[4] = "truncated"
+                        row[6] = _opening(message or text, False, known)
+                        row[3] = norms.pop(request, None)
+                    if kind == "cut" or (kind == "prose" and ends_within(text, reason)):
+                        row[5] = "truncated"
                         continue
                     if want and (words := _language_text(kind, value, message or text)):
                         check.append((row, langid.LANGUAGES.index(want), words))
@@ -290,30 +301,29 @@ def judge_answers(responses: DataFrame, table: np.ndarray) -> DataFrame:
                 best = ll.max(axis=1)
                 for (row, want, _), top, own in zip(check, best, ll):
                     if top - own[want] > LANGUAGE_MARGIN:
-                        row[4] = "other_language"
-            yield pd.DataFrame(rows, columns=["response_id", "choice_index", "prompt_key", "defect", "later", "sentences"]).astype({"response_id": "int64", "choice_index": "int64", "prompt_key": "int64"})
+                        row[5] = "other_language"
+            yield pd.DataFrame(rows, columns=["response_id", "choice_index", "prompt_key", "request", "defect", "later", "sentences"]).astype({"response_id": "int64", "choice_index": "int64", "prompt_key": "int64"})
 
     return responses.mapInPandas(judge, _ANSWERS)
 
 
 def hash_text(text: str) -> int:
+    """64 bits of a text; among 10^10 distinct texts about three pairs are expected to share them."""
     import xxhash
 
     return xxhash.xxh64_intdigest(text) - (1 << 63)
 
 
-def _opening(text: str, seed: bool, known: dict) -> list[dict]:
-    """The sentences of a prose answer; ``known`` remembers what is the same for equal normalised sentences."""
+def _opening(text: str, field: bool, known: dict) -> list[dict]:
+    """The sentences of a prose answer; ``known`` remembers the hashes of normalised sentences."""
     out = []
     for i, s in enumerate(x for x in langid.sentences(text) if any(map(str.isalnum, x))):
         norm = normalise(s)
         if norm:
             if norm not in known:
-                known[norm] = (hash_text(norm), says_no(s))
-            key, no = known[norm]
-            out.append({"text": norm, "key": key, "no": seed or no, "open": i < OPENING})
-    quiet = not any(x["no"] for x in out)
-    return [x | {"quiet": quiet} for x in out]
+                known[norm] = hash_text(norm)
+            out.append({"text": norm, "key": known[norm], "field": field, "open": i < OPENING})
+    return out
 
 
 def _signatures(batches):
@@ -383,39 +393,77 @@ def template_clusters(sentences: DataFrame) -> DataFrame:
     return roots.join(merged.select(F.col("node").alias("root"), F.col("root").alias("template")), "root").select("key", "template")
 
 
-def opening_templates(judged: DataFrame) -> DataFrame:
-    """(key, text, no, template, substance, n): each distinct sentence of prose answers with its template, whether
-    it has the wording of declining, whether it is one of substance, and how often it is said."""
+_ANSWER = ["response_id", "choice_index"]
+
+
+def opening_templates(judged: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(facts, prompts): (key, text, field, template, n) of each distinct sentence of prose answers, with whether it
+    stands in a field for refusals and how often it is said; and (prompt_key, prompt), the cluster of each request."""
     said = judged.select(F.explode("sentences").alias("s")).select("s.*")
-    distinct = cut(said.groupBy("key").agg(F.min("text").alias("text"), F.max("no").alias("no"), F.max("open").alias("open"), F.max("quiet").alias("quiet"), F.count("*").alias("n")))
+    distinct = cut(said.groupBy("key").agg(F.min("text").alias("text"), F.max("field").alias("field"), F.max("open").alias("open"), F.count("*").alias("n")))
+    requests = judged.where("request is not null").groupBy(F.col("prompt_key").alias("key")).agg(F.min("request").alias("text"))
+    clusters = cut(template_clusters(distinct.where("open").select("key", "text").unionByName(requests).groupBy("key").agg(F.min("text").alias("text"))))
+    facts = distinct.join(clusters, "key", "left").select("key", "text", "field", F.coalesce("template", "key").alias("template"), "n")
+    return facts, requests.select("key").join(clusters, "key").select(F.col("key").alias("prompt_key"), F.col("template").alias("prompt"))
+
+
+def revealed_templates(said: DataFrame, facts: DataFrame, prompts: DataFrame) -> DataFrame:
+    """(template): those of short answers that recur whole for unrelated prompts more often than by chance, and of
+    sentences in fields for refusals, if at least half of the answers they stand in consist of such templates.
+
+    By chance, an answer of k sentences is k templates drawn by how often each is said. That as many prompts as
+    were seen get the same one has at most the probability exp(n - e - n ln(n / e)), e being the expected number.
+    """
+    template = facts.groupBy("template").agg(F.sum("n").alias("n"), F.max("field").alias("field"))
+    held = said.where(F.col("size") <= SHORT).join(facts.select("key", "template"), "key").join(prompts, "prompt_key", "left")
+    whole = held.groupBy(*_ANSWER, "size").agg(F.array_sort(F.collect_list(F.struct("place", "template"))).alias("lead"), F.min("prompt").alias("prompt")).select("size", F.col("lead.template").alias("lead"), "prompt")
+    whole = cut(whole.groupBy("size", "lead", "prompt").agg(F.count("*").alias("n")))
+    total = facts.agg(F.sum("n")).first()[0] or 1
+    lengths = whole.groupBy("size").agg(F.sum("n").alias("answers"))  # SHORT rows
+    again = whole.groupBy("size", "lead").agg(F.count("prompt").alias("seen")).where(F.col("seen") >= MIN_PROMPTS).withColumn("no", F.xxhash64("size", "lead"))
+    parts = again.select("no", "size", "seen", F.explode("lead").alias("template")).join(template, "template")
+    odds = parts.groupBy("no", "size", "seen").agg(F.sum(F.log(F.col("n") / total)).alias("odds"), F.collect_set("template").alias("templates")).join(F.broadcast(lengths), "size")
+    e = F.col("answers") * F.exp("odds")
+    beyond = odds.where((F.col("seen") > e) & (F.col("seen") * F.log(F.col("seen") / e) - F.col("seen") + e >= -float(np.log(CHANCE))))
+    first = cut(beyond.select(F.explode("templates").alias("template")).unionByName(template.where("field").select("template")).distinct())
+    hits = said.join(facts.join(first, "template", "left_semi").select("key", "template"), "key")
+    inside = hits.groupBy(*_ANSWER, "size").agg(F.count("*").alias("revealed"), F.collect_set("template").alias("templates"))
+    share = inside.select(F.explode("templates").alias("template"), (F.col("revealed") == F.col("size")).cast("int").alias("wholly")).groupBy("template").agg(F.avg("wholly").alias("share"))
+    return share.where(F.col("share") >= HALF).select("template")
+
+
+def plain_sentences(said: DataFrame, facts: DataFrame, revealed: DataFrame) -> DataFrame:
+    """(key, template): the sentences that are none of substance."""
+    loud = said.join(facts.join(revealed, "template", "left_semi").select("key"), "key", "left_semi").select(*_ANSWER).distinct()
+    spoilt = said.join(loud, _ANSWER, "left_semi").groupBy("key").agg(F.count("*").alias("loud"))
+    quiet = (F.col("n") > F.coalesce("loud", F.lit(0))).alias("quiet")
     words = F.split("text", " ")
     pairs = F.transform(F.slice(words, 1, F.size(words) - 1), lambda w, i: F.concat_ws(" ", w, F.element_at(words, i + 2)))
-    couples = distinct.select("key", "quiet", F.explode(F.array_distinct(F.when(F.size(words) > 1, pairs).otherwise(words))).alias("couple"))
-    known = couples.groupBy("couple").agg(F.max("quiet").alias("known"))
-    covered = couples.join(known, "couple").groupBy("key").agg(F.avg(F.col("known").cast("int")).alias("covered"))
-    clusters = template_clusters(distinct.where("open").select("key", "text"))
-    facts = distinct.join(covered, "key").join(clusters, "key", "left")
-    return facts.select("key", "text", "no", F.coalesce("template", "key").alias("template"), ((F.col("covered") >= COVERED) & ~F.col("no")).alias("substance"), "n")
-
-
-def declining(judged: DataFrame, facts: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(declining templates, answers): the templates that decline, and each answer that has a template with such
-    wording, with whether it says anything of substance. Only those answers are looked at again."""
-    answer = ["response_id", "choice_index"]
-    said = judged.where("size(sentences) > 0").select(*answer, "prompt_key", F.explode("sentences.key").alias("key"))
-    wording = facts.groupBy("template").agg(F.max("no").alias("wording")).where("wording").select("template")
-    suspects = facts.join(wording, "template", "left_semi").select("key", "template")
-    hits = cut(said.join(suspects, "key").select(*answer, "prompt_key", "template").distinct())
-    spoken = said.join(hits.select(*answer).distinct(), answer, "left_semi").join(facts.where("substance").select("key"), "key", "left_semi").select(*answer).distinct()
-    answers_ = hits.join(spoken.withColumn("spoken", F.lit(True)), answer, "left").withColumn("spoken", F.coalesce("spoken", F.lit(False)))
-    templates = answers_.groupBy("template").agg(F.countDistinct("prompt_key").alias("n_prompts"), F.count("*").alias("n_answers"), F.avg(F.when(F.col("spoken"), 0.0).otherwise(1.0)).alias("alone"))
-    return templates.where("alone >= 0.5"), answers_
+    couples = facts.join(spoilt, "key", "left").select("key", "template", quiet, F.explode(F.array_distinct(F.when(F.size(words) > 1, pairs).otherwise(words))).alias("couple"))
+    known = couples.where("quiet").groupBy("couple").agg(F.min("template").alias("one"), F.max("template").alias("other"))
+    covered = couples.join(known, "couple", "left").groupBy("key", "template").agg(F.avg(F.coalesce((F.col("one") != F.col("template")) | (F.col("other") != F.col("template")), F.lit(False)).cast("int")).alias("covered"))
+    return covered.where(F.col("covered") < COVERED).select("key", "template")
+
+
+def declining(judged: DataFrame, facts: DataFrame, prompts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(templates, answers): (template, alone, n_prompts, n_answers) of the templates that decline, and
+    (response_id, choice_index, template) of the answers that say nothing of substance."""
+    said = cut(judged.select(*_ANSWER, "prompt_key", F.size("sentences").alias("size"), F.posexplode("sentences.key").alias("place", "key")))
+    revealed = cut(revealed_templates(said, facts, prompts))
+    plain = cut(plain_sentences(said, facts, revealed))
+    spoken = said.join(plain, "key").groupBy(*_ANSWER, "prompt_key", "size").agg(F.count("*").alias("plain"), F.collect_list("template").alias("templates"))
+    silent = cut(spoken.where("plain = size").join(prompts, "prompt_key", "left").select(*_ANSWER, "prompt", F.explode("templates").alias("template")))
+    alone = silent.groupBy("template").agg(F.count("*").alias("silent"), F.countDistinct("prompt").alias("n_prompts"), F.countDistinct(*_ANSWER).alias("n_answers"))
+    often = facts.groupBy("template").agg(F.sum("n").alias("n"))
+    templates = alone.join(often, "template").withColumn("alone", F.col("silent") / F.col("n")).where((F.col("alone") >= HALF) & (F.col("n_prompts") >= MIN_PROMPTS))
+    return templates.select("template", "alone", "n_prompts", "n_answers"), silent.select(*_ANSWER, "template")
 
 
 def refused_answers(judged: DataFrame) -> DataFrame:
-    """(response_id, choice_index) of the answers that decline and say nothing of substance."""
-    templates, found = declining(judged, cut(opening_templates(judged)))
-    return found.where("not spoken").join(templates.select("template"), "template", "left_semi").select("response_id", "choice_index").distinct()
+    """(response_id, choice_index) of the answers that decline by recurrence and say nothing of substance."""
+    facts, prompts = opening_templates(judged)
+    templates, silent = declining(judged, cut(facts), prompts)
+    return silent.join(templates.select("template"), "template", "left_semi").select(*_ANSWER).distinct()
 
 
 def read_once(responses: DataFrame) -> DataFrame:
@@ -438,9 +486,10 @@ def defective_answers(responses: DataFrame, documents: DataFrame) -> DataFrame:
 
 def refusal_templates(responses: DataFrame, documents: DataFrame) -> DataFrame:
     """(template, text, n_sentences, declines, n_answers, n_prompts) of every template of openings; the last two
-    for those with the wording of declining."""
+    for those that decline: their answers without substance and the unrelated prompts of these."""
     judged = cut(judge_answers(read_once(responses), fit_languages(responses, documents)))
-    facts = cut(opening_templates(judged))
-    templates, _ = declining(judged, facts)
+    facts, prompts = opening_templates(judged)
+    facts = cut(facts)
+    templates, _ = declining(judged, facts, prompts)
     every = facts.groupBy("template").agg(F.min("text").alias("text"), F.sum("n").alias("n_sentences"))
     return every.join(templates, "template", "left").select("template", "text", "n_sentences", F.col("alone").isNotNull().alias("declines"), "n_answers", "n_prompts")

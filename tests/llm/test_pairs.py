@@ -25,7 +25,9 @@ def test_ends():
     assert pairs.json_part('[{"id": "A", "pri')[0] == "cut" and pairs.json_part('```json\n[{"id"')[0] == "cut"
     assert pairs.json_part(GOOD)[0] == "prose"
     assert not pairs.ends_within(GOOD) and not pairs.ends_within('He said "no."') and not pairs.ends_within("終わった。")
-    assert pairs.ends_within("The wide camera giv") and pairs.ends_within("It holds:")
+    assert pairs.ends_within("The wide camera gives way to the lo") and pairs.ends_within("It holds:") and pairs.ends_within("It is over. The keep", "stop")
+    assert not pairs.ends_within("The left goal - 3 shots") and not pairs.ends_within("Area A") and not pairs.ends_within("It holds:\n- area A\n- area B", "stop")
+    assert pairs.ends_within("Area A", "length") and pairs.ends_within("The left goal - 3 shots", "max_tokens")
 
 
 def test_blank():
@@ -77,6 +79,33 @@ def test_each_defect(spark, documents):
     }
 
 
+REQUESTS = ["Say where the ball is.", "Name the players you see.", "Which camera moved first?", "Count the goals of the second half.", "Tell us about the weather.", "Is the pitch wet or dry today?"]
+SUBJECTS = ["The wide camera", "A young keeper", "Our second detector", "The coach of the guests", "One spare ball", "The man at the mast"]
+PREDICATES = ["follows the long pass without trouble", "stays on the line while the match goes on", "loses the track for nine frames", "needs another look by hand", "moves slowly towards the wrong goal"]
+PARAPHRASED = ["That lies beyond what this service offers.", "We leave such matters to the referee and his team.", "Let us talk about something else."]
+
+
+def test_refusals_recur_without_a_list(spark, documents):
+    """Wordings that no list holds are refusals where they recur for unrelated prompts; a single doubt is none."""
+    import itertools
+    import random
+
+    rng = random.Random(3)
+    real = list(itertools.product(SUBJECTS, PREDICATES))
+    rows, expected = [], set()
+    for i in range(150):
+        rows.append((i, REQUESTS[i % 6], gpt({"content": " ".join(f"{a} {b}." for a, b in rng.sample(real, rng.randint(2, 5)))})))
+    for i, (request, text) in enumerate(itertools.product(REQUESTS, PARAPHRASED), 200):
+        rows.append((i, request, gpt({"content": f"Good day. {text}" if i % 4 == 0 else text})))
+        expected.add(i)
+    rows.append((300, REQUESTS[0], gpt({"content": "I am not able to see any ball."})))
+    rows += [(310 + i, REQUESTS[1], gpt({"content": "Nobody can be named from so far away."})) for i in range(6)]  # one prompt only
+    rows += [(320 + i, r, gpt({"content": f"I cannot be sure about every single frame of it. {SUBJECTS[i]} {PREDICATES[i % 5]}."})) for i, r in enumerate(REQUESTS)]
+    df = spark.createDataFrame([(*r, "v", "x") for r in rows], SCHEMA)
+    refused = {r["response_id"] for r in pairs.defective_answers(df, documents).where("defect = 'refusal'").collect()}
+    assert refused <= expected and len(refused) >= 0.9 * len(expected)
+
+
 def test_empty(spark, documents):
     assert pairs.defective_answers(spark.createDataFrame([], SCHEMA), documents).count() == 0
 
