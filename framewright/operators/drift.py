@@ -1,48 +1,45 @@
 """Schemas that drift between the files of a family.
 
 Each file's schema is a tree of keys (arrays are not entered). Between successive files of a family the
-cheapest edit script is found: keys that stay are matched, and of the keys that end and begin a minimum-cost
-assignment decides which are renamed (or moved, which renames the path) and which are deleted and added. A
-rename costs the distance between the kinds of values plus a little for the distance of the names; a matched
-object's children are edited recursively. The scripts are compiled into one projection per file.
-
-Files of a family are taken in the order of ``written_at``, then ``file_id``. They are worked on in chunks of
-``CHUNK`` files with the last file of the chunk before as a halo; what a chunk cannot know (the types a field
-had before it) is filled in from a small summary of the chunks, so no task holds a whole family.
+cheapest edit script is found. A key that both files have under matched objects stays, at no cost. Of the keys that
+end and begin below any matched objects one minimum-cost assignment decides which are renamed, which are moved
+(the same name below another object) and which are deleted and added; objects it matches are entered in turn. A
+rename costs the distance between the kinds of values plus a little for the distance of the names, a move that of the
+kinds and MOVE_COST. Siblings are unordered and keys unique, so no general tree edit algorithm is needed.
+
+Files of a family are taken in the order of ``written_at``, then ``file_id``, and numbered by counts of hours. They
+are worked on in chunks of ``CHUNK`` files with the last file of the chunk before as a halo. What a chunk cannot
+know (the types a field had before it, and the name it began with) comes from a prefix scan over what the chunks
+leave behind: summaries of FAN chunks are composed, those of FAN such groups again, and the known fields are
+handed down the same way, so no task holds a family, however many files it has.
+
+The scripts are compiled into one projection per file, from the paths in it to canonical names.
 """
 
 from __future__ import annotations
 
-import json
 import math
 import re
 from difflib import SequenceMatcher
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from framewright.functions.jsontext import read_json, write_json
+from framewright.operators.graph import components
 from framewright.session import cut
 
 CHUNK = 128  #: files of a family handled together
+FAN = 128  #: chunks, or groups of chunks, whose summaries are composed together
 RENAME_LIMIT = 0.5  #: greatest distance between kinds of values that a rename may have, more for names alike
 NAME_WEIGHT = 0.2  #: what names wholly unlike cost, and names wholly alike are worth
 MOVE_COST = 0.3
-
-
-def _no_constant(text: str) -> float:
-    raise ValueError(f"not JSON: {text}")
-
-
-def read_json(text: str | None) -> object | None:
-    """The value of a JSON text; None if there is none that can be read (NaN and Infinity are not JSON)."""
-    if text is None:
-        return None
-    try:
-        return json.loads(text, parse_constant=_no_constant)
-    except (ValueError, RecursionError):
-        return None
+FAMILIES = 2  #: families that must agree on a rename before it joins names of other families
+MAX_COLUMNS = 500  #: typed columns of the consistent table; fields beyond the most frequent ones are kept in its map
+SEP = "\x1f"
 
 
 def _type_of(value: object) -> str | None:
@@ -51,6 +48,9 @@ def _type_of(value: object) -> str | None:
     return {bool: "boolean", int: "number", float: "number", str: "string", list: "array", dict: "object"}[type(value)]
 
 
+_NUMERIC = re.compile(r"\s*[-+]?\d+(\.\d+)?\s*")
+
+
 def _number_kind(value: float, whole: bool) -> dict:
     return {"n": 1, "whole": int(whole), "log": math.log10(1 + min(abs(value), 1e300))}
 
@@ -62,7 +62,7 @@ def _kind_of(value: object) -> tuple[str, dict]:
     if isinstance(value, (int, float)):
         return "number", _number_kind(float(value) if abs(value) < 1e300 else 1e300, isinstance(value, int))
     if isinstance(value, str):
-        numeric = bool(re.fullmatch(r"\s*[-+]?\d+(\.\d+)?\s*", value)) and len(value) < 40
+        numeric = len(value) < 40 and _NUMERIC.fullmatch(value) is not None
         kind = {"n": 1, "numeric": int(numeric), "space": int(" " in value.strip()), "digit": int(" " not in value.strip() and any(x.isdigit() for x in value)), "upper": int(value[:1].isupper()), "length": math.log1p(len(value))}
         return "string", kind | ({"log": math.log10(1 + abs(float(value))), "whole": int("." not in value)} if numeric else {})
     if isinstance(value, list):
@@ -70,22 +70,25 @@ def _kind_of(value: object) -> tuple[str, dict]:
     return "object", {"n": 1} | {f"key {k}": 1 for k in value}
 
 
-def _add_record(schema: dict, record: dict, prefix: str = "") -> None:
-    for key, value in record.items():
-        kinds = schema.setdefault(prefix + key, {})
-        if value is None:
-            continue
-        name, kind = _kind_of(value)
-        into = kinds.setdefault(name, {})
-        for k, v in kind.items():
-            into[k] = into.get(k, 0) + v
-        if isinstance(value, dict):
-            _add_record(schema, value, prefix + key + "\x1f")
+def _add_record(schema: dict, record: dict) -> None:
+    todo = [("", record)]
+    while todo:
+        prefix, fields = todo.pop()
+        for key, value in fields.items():
+            kinds = schema.setdefault(prefix + key, {})
+            if value is None:
+                continue
+            name, kind = _kind_of(value)
+            into = kinds.setdefault(name, {})
+            for k, v in kind.items():
+                into[k] = into.get(k, 0) + v
+            if isinstance(value, dict):
+                todo.append((prefix + key + SEP, value))
 
 
 def _merge(parts: list[str]) -> dict:
     schema: dict = {}
-    for part in map(json.loads, parts):
+    for part in map(read_json, parts):
         for path, kinds in part.items():
             have = schema.setdefault(path, {})
             for name, kind in kinds.items():
@@ -120,6 +123,7 @@ def kind_distance(a: dict, b: dict) -> float:
     return worst
 
 
+@lru_cache(maxsize=1 << 16)
 def name_distance(a: str, b: str) -> float:
     words = lambda x: " ".join(re.findall(r"[a-z]+|\d+", re.sub(r"([a-z])([A-Z])", r"\1 \2", x).lower()))
     return 1 - SequenceMatcher(None, words(a), words(b)).ratio()
@@ -154,50 +158,61 @@ def assign(cost: np.ndarray) -> list[tuple[int, int]]:
     return [(match[j] - 1, j - 1) for j in range(1, m + 1) if match[j]]
 
 
-def _children(schema: dict, parent: str) -> set[str]:
-    depth = parent.count("\x1f") + 1 if parent else 0
-    return {p for p in schema if p.count("\x1f") == depth and (not parent or p.startswith(parent + "\x1f"))}
+def _children(schema: dict) -> dict[str, dict[str, str]]:
+    """parent path -> {key: path} of each object's fields; the record itself is ''."""
+    out: dict[str, dict[str, str]] = {}
+    for path in schema:
+        parent, _, key = path.rpartition(SEP)
+        out.setdefault(parent, {})[key] = path
+    return out
 
 
 def edit_script(old: dict, new: dict) -> tuple[dict[str, str], list[str], list[str]]:
-    """The cheapest script between two schemas: {old path: new path} of what stays or is renamed, what is
-    deleted and what is added; fields of objects that only one of them has are in none."""
+    """The cheapest script between two schemas: {old path: new path} of what is renamed, moved or carried along below
+    such an object, what is deleted and what is added; fields of objects that only one of them has are in none."""
+    if old.keys() == new.keys():
+        return {}, [], []
+    left, right = _children(old), _children(new)
     kept: dict[str, str] = {}
-    ended, begun = [], []
+    ended: list[str] = []
+    begun: list[str] = []
     todo = [("", "")]
     while todo:
-        a, b = todo.pop()
-        cut_a, cut_b = len(a) + bool(a), len(b) + bool(b)
-        left, right = {p[cut_a:]: p for p in _children(old, a)}, {p[cut_b:]: p for p in _children(new, b)}
-        for key in left.keys() & right.keys():
-            kept[left[key]] = right[key]
-            if "object" in old[left[key]] and "object" in new[right[key]]:
-                todo.append((left[key], right[key]))
-        pairs = _renames(old, new, [left[k] for k in sorted(left.keys() - right.keys())], [right[k] for k in sorted(right.keys() - left.keys())])
-        for x, y in pairs.items():
+        while todo:
+            a, b = todo.pop()
+            mine, yours = left.get(a, {}), right.get(b, {})
+            for key in mine.keys() & yours.keys():
+                kept[mine[key]] = yours[key]
+                if "object" in old[mine[key]] and "object" in new[yours[key]]:
+                    todo.append((mine[key], yours[key]))
+            ended += [mine[k] for k in mine.keys() - yours.keys()]
+            begun += [yours[k] for k in yours.keys() - mine.keys()]
+        for x, y in _renames(old, new, kept, sorted(ended), sorted(begun)).items():
             kept[x] = y
+            ended.remove(x)
+            begun.remove(y)
             if "object" in old[x] and "object" in new[y]:
                 todo.append((x, y))
-        ended += [left[k] for k in left.keys() - right.keys() if left[k] not in pairs]
-        begun += [right[k] for k in right.keys() - left.keys() if right[k] not in pairs.values()]
-    leaf = lambda p: p.rpartition("\x1f")[2]
-    same_leaf = {x: y for x in ended for y in begun if leaf(x) == leaf(y) and kind_distance(old[x], new[y]) + MOVE_COST <= RENAME_LIMIT and set(old[x]) & set(new[y])}
-    moved = {x: y for x, y in same_leaf.items() if list(same_leaf.values()).count(y) == 1}
-    kept |= moved
-    return kept, sorted(set(ended) - set(moved)), sorted(set(begun) - set(moved.values()))
+    return {x: y for x, y in kept.items() if x != y}, sorted(ended), sorted(begun)
 
 
-def _renames(old: dict, new: dict, ended: list[str], begun: list[str]) -> dict[str, str]:
+def _renames(old: dict, new: dict, kept: dict[str, str], ended: list[str], begun: list[str]) -> dict[str, str]:
+    """The cheapest assignment of keys that end to keys that begin, those left out being deleted and added."""
     if not ended or not begun:
         return {}
     n, m = len(ended), len(begun)
     give_up = RENAME_LIMIT + NAME_WEIGHT  # what deleting the one and adding the other costs
     cost = np.full((n, m + n), give_up)
     for i, x in enumerate(ended):
+        above, _, mine = x.rpartition(SEP)
         for j, y in enumerate(begun):
-            names = name_distance(x.rpartition("\x1f")[2], y.rpartition("\x1f")[2])
+            below, _, yours = y.rpartition(SEP)
+            names = name_distance(mine, yours)
             kinds = kind_distance(old[x], new[y]) if old[x] and new[y] else names
-            cost[i, j] = kinds + NAME_WEIGHT * names if kinds <= RENAME_LIMIT + NAME_WEIGHT * (1 - names) else 10.0
+            if (not above and not below) or kept.get(above) == below:
+                cost[i, j] = kinds + NAME_WEIGHT * names if kinds <= RENAME_LIMIT + NAME_WEIGHT * (1 - names) else 10.0
+            else:
+                cost[i, j] = kinds + MOVE_COST if mine == yours and kinds + MOVE_COST <= RENAME_LIMIT and set(old[x]) & set(new[y]) else 10.0
     return {ended[i]: begun[j] for i, j in assign(cost) if j < m and cost[i, j] < give_up}
 
 
@@ -207,105 +222,160 @@ def _types(kinds: dict) -> str:
 
 def _partial_schemas(batches):
     for rows in batches:
-        out = []
-        for (family, file_id), group in rows.groupby(["family", "file_id"], sort=False):
-            schema: dict = {}
-            for text in group["record_json"]:
-                record = read_json(text)
-                if isinstance(record, dict):
-                    _add_record(schema, record)
-            out.append((family, file_id, group["written_at"].min(), json.dumps(schema)))
+        schemas: dict = {}
+        for family, file_id, at, text in zip(rows["family"], rows["file_id"], rows["written_at"], rows["record_json"]):
+            entry = schemas.get((family, file_id))
+            if entry is None:
+                entry = schemas[family, file_id] = [at, {}]
+            elif at < entry[0] or (entry[0] != entry[0] and at == at):
+                entry[0] = at  # the earliest; rows without a time do not count
+            record = read_json(text)
+            if isinstance(record, dict):
+                _add_record(entry[1], record)
+        out = [(family, file_id, at, write_json(schema)) for (family, file_id), (at, schema) in schemas.items()]
         yield pd.DataFrame(out, columns=["family", "file_id", "written_at", "part"]).astype({"file_id": "int64", "written_at": "datetime64[us]"})
 
 
 def file_schemas(records: DataFrame) -> DataFrame:
-    """(family, file_id, written_at, seq, parts): the schema of each file, in parts, and its place in its family."""
+    """(family, file_id, seq, files, parts): the schema of each file, in parts, its place in its family from 0, and how
+    many files that has. Files are counted by hour, so a task numbers the files of an hour, not of a family."""
     schema = f"family string, file_id long, written_at {dict(records.dtypes)['written_at']}, part string"
     parts = records.select("family", "file_id", "written_at", "record_json").where("family is not null and file_id is not null").mapInPandas(_partial_schemas, schema)
-    files = parts.groupBy("family", "file_id").agg(F.min("written_at").alias("written_at"), F.collect_set("part").alias("parts"))
-    files = cut(files)
-    place = files.select("family", "file_id", F.row_number().over(Window.partitionBy("family").orderBy("written_at", "file_id")).alias("seq"))
-    return files.join(place, ["family", "file_id"])
+    files = cut(parts.groupBy("family", "file_id").agg(F.min("written_at").alias("written_at"), F.collect_set("part").alias("parts")))
+    hour = F.coalesce(F.floor(F.unix_micros(F.col("written_at").cast("timestamp")) / 3_600_000_000), F.lit(-(1 << 40))).alias("hour")
+    held = files.select("family", "file_id", "written_at", hour)
+    counts = held.groupBy("family", "hour").agg(F.count("*").alias("c"))
+    whole = Window.partitionBy("family")
+    before = counts.select("family", "hour", (F.sum("c").over(whole.orderBy("hour")) - F.col("c")).alias("start"), F.sum("c").over(whole).alias("files"))
+    within = held.select("family", "file_id", "hour", (F.row_number().over(Window.partitionBy("family", "hour").orderBy("written_at", "file_id")) - 1).alias("i"))
+    place = within.join(before, ["family", "hour"]).select("family", "file_id", (F.col("start") + F.col("i")).alias("seq"), "files")
+    return files.join(place, ["family", "file_id"]).select("family", "file_id", "seq", "files", "parts")
 
 
-_EVENTS = "family string, chunk long, seq long, file_id long, what string, old_path string, field_path string, types string, inherits string"
+_EVENTS = "family string, chunk long, seq long, file_id long, what string, old_path string, field_path string, types string, root string"
+_FRESH = "\x1e"  # joins a path that a rename has set free to the file of the rename, and so tells a later field there from the earlier one
 
 
-def _chunk_events(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+def _chunk_events(key: tuple, rows: pd.DataFrame, fields: bool, size: int) -> pd.DataFrame:
     """Edit scripts of a chunk of files. Beside the drift: 'first' rows hold the types of a field whose earlier
-    types lie before the chunk, 'state' rows what the chunk leaves behind of each field, 'rename' rows the script."""
+    types lie before the chunk, 'state' rows what the chunk leaves behind of each field, and, with ``fields``, 'field' rows each path of each file.
+
+    ``root`` is the path a field had before the chunk, as '<path', or a new one where a field that was renamed away
+    left its path to another.
+    """
     rows = rows.sort_values("seq")
     out: list[tuple] = []
     before: dict | None = None
-    state: dict[str, tuple[str, str]] = {}  # path -> (types last seen in this chunk or '', path before the chunk)
-    for seq, file_id, chunk, parts in zip(rows["seq"], rows["file_id"], rows["chunk"], rows["parts"]):
+    state: dict[str, tuple[str, str]] = {}  # path -> (types last seen in this chunk or '', root)
+    one = int(rows["files"].iloc[0]) <= size
+    for seq, file_id, parts in zip(rows["seq"], rows["file_id"], rows["parts"]):
         schema = _merge(parts)
-        halo = chunk != key[1]
-        add = lambda what, path, old="", types="", inherits="": out.append((key[0], key[1], seq, file_id, what, old, path, types, inherits))  # noqa: B023, E731
+        add = lambda what, path, old="", types="", root="": out.append((key[0], key[1], seq, file_id, what, old, path, types, root))  # noqa: B023, E731
         if before is not None:
-            kept, ended, begun = edit_script(before, schema)
-            renamed = {x: y for x, y in kept.items() if x != y}
+            renamed, ended, begun = edit_script(before, schema)
             for path in ended:
                 add("removed", path)
             for path in begun:
                 add("added", path)
-            moved_state = {y: state.pop(x, ("", x)) for x, y in renamed.items()}
-            state |= moved_state
+            moved = {y: state.get(x, ("", "<" + x)) for x, y in renamed.items()}
+            state |= {x: ("", f"{x}{_FRESH}{file_id}") for x in renamed if x not in moved}
+            state |= moved
             for x, y in renamed.items():
-                top = {a: b for a, b in renamed.items() if x.startswith(a + "\x1f") and y.startswith(b + "\x1f")}
-                inherited = any(x[len(a) :] == y[len(b) :] for a, b in top.items())
+                inherited = any(x.startswith(a + SEP) and y.startswith(b + SEP) and x[len(a) :] == y[len(b) :] for a, b in renamed.items() if a != x)
                 add("carried" if inherited else "renamed", y, old=x)
-        if not halo:
+        if seq // size == key[1]:  # not the halo
             for path, kinds in schema.items():
                 now = _types(kinds)
-                if not now:
-                    continue
-                types, inherits = state.get(path, ("", path))
-                if not types:
-                    add("first", path, types=now, inherits=inherits)
-                elif types != now:
+                types, root = state.get(path, ("", "<" + path))
+                if now and types and types != now:
                     add("retyped", path, old=types, types=now)
-                state[path] = (now, inherits)
+                elif now and not types and not one and root.startswith("<"):
+                    add("first", path, types=now, root=root)
+                state[path] = (now or types, root)
+                if fields:
+                    add("field", path, types=now, root=root)
         before = schema
-    for path, (types, inherits) in state.items():
-        out.append((key[0], key[1], 0, 0, "state", "", path, types, inherits))
+    if not one:
+        out += [(key[0], key[1], 0, 0, "state", "", path, types, root) for path, (types, root) in state.items()]
     return pd.DataFrame(out, columns=[x.split()[0] for x in _EVENTS.split(", ")])
 
 
-def _carry_types(rows: pd.DataFrame) -> pd.DataFrame:
-    """Resolves the 'first' rows of a family's chunks with what the chunks before left behind."""
-    out: list[tuple] = []
-    known: dict[str, str] = {}
-    rows = rows.sort_values("chunk", kind="stable")
-    columns = [rows[c].tolist() for c in ("chunk", "what", "seq", "file_id", "old_path", "field_path", "types", "inherits")]
-    family, n, i = rows["family"].iloc[0], len(rows), 0
-    while i < n:
-        chunk, left, gone = columns[0][i], {}, set()
-        while i < n and columns[0][i] == chunk:
-            _, what, seq, file_id, old_path, path, types, inherits = (c[i] for c in columns)
-            if what == "first":
-                had = known.get(inherits)
-                if had and had != types:
-                    out.append((family, chunk, seq, file_id, "retyped", had, path, types, ""))
-            elif what == "state":
-                left[path] = types or known.get(inherits, "")
-            else:
-                gone.add(old_path)
-            i += 1
-        known = {p: t for p, t in known.items() if p not in gone} | {p: t for p, t in left.items() if t}
-    return pd.DataFrame(out, columns=[x.split()[0] for x in _EVENTS.split(", ")])
+_STATE = "family string, chunk long, path string, types string, root string, known boolean"
+
+
+def _apply(known: dict, step: dict) -> dict:
+    """What is known after a step: path -> (types, root). Roots '<path' refer to what was known before it; a path that
+    nothing is known of stands for itself."""
+    out = dict(known)
+    for path, (types, root) in step.items():
+        had = known.get(root[1:], ("", root)) if root.startswith("<") else ("", root)
+        out[path] = (types or had[0], had[1])
+    return out
 
 
-def schema_events(records: DataFrame) -> DataFrame:
-    """All events of the edit scripts, dotted paths, ready to be read more than once."""
-    files = file_schemas(records).withColumn("chunk", F.expr(f"(seq - 1) div {CHUNK}"))
-    shown = files.withColumn("at", F.explode(F.when(F.col("seq") % CHUNK == 0, F.array(F.col("chunk"), F.col("chunk") + 1)).otherwise(F.array("chunk"))))
+def _group_steps(rows: pd.DataFrame) -> dict[int, dict]:
+    steps: dict[int, dict] = {}
+    for chunk, path, types, root in zip(rows["chunk"], rows["path"], rows["types"], rows["root"]):
+        steps.setdefault(chunk, {})[path] = (types, root)
+    return dict(sorted(steps.items()))
+
+
+def _state_rows(family: str, at: list[tuple[int, dict]], known: bool) -> pd.DataFrame:
+    out = [(family, chunk, path, types, root, known) for chunk, fields in at for path, (types, root) in fields.items()]
+    return pd.DataFrame(out, columns=[x.split()[0] for x in _STATE.split(", ")])
+
+
+def _compose(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+    whole: dict = {}
+    for step in _group_steps(rows).values():
+        whole = _apply(whole, step)
+    return _state_rows(key[0], [(key[1], whole)], False)
+
+
+def _hand_down(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+    known = next(iter(_group_steps(rows[rows["known"]]).values()), {})
+    out = []
+    for chunk, step in _group_steps(rows[~rows["known"]]).items():
+        out.append((chunk, known))
+        known = _apply(known, step)
+    return _state_rows(key[0], out, True)
+
+
+def known_before(state: DataFrame) -> DataFrame:
+    """(family, chunk, path, types, root): what is known of each field before each chunk, from (family, chunk, path,
+    types, root), what each chunk leaves behind; a prefix scan in groups of FAN."""
+    levels = [cut(state.select("family", "chunk", "path", "types", "root", F.lit(False).alias("known")))]
+    group = F.expr(f"chunk div {FAN}")
+    while (levels[-1].agg(F.max("chunk")).first()[0] or 0) >= FAN:
+        levels.append(cut(levels[-1].groupBy("family", group.alias("g")).applyInPandas(_compose, _STATE)))
+    known = None
+    for steps in reversed(levels):
+        held = steps.withColumn("g", group)
+        if known is not None:
+            held = held.unionByName(known.withColumn("g", F.col("chunk")))
+        known = held.groupBy("family", "g").applyInPandas(_hand_down, _STATE)
+    return known.select("family", "chunk", "path", "types", "root")
+
+
+def schema_events(records: DataFrame, fields: bool = False) -> DataFrame:
+    """All events of the edit scripts, ready to be read more than once; with ``fields`` also each path of each file as
+    'field', its ``root`` being the name that the field began with in its family."""
+    files = file_schemas(records).withColumn("chunk", F.expr(f"seq div {CHUNK}"))
+    shown = files.withColumn("at", F.explode(F.when((F.col("seq") % CHUNK == CHUNK - 1) & (F.col("seq") < F.col("files") - 1), F.array(F.col("chunk"), F.col("chunk") + 1)).otherwise(F.array("chunk"))))
     # the file that closes a chunk is the halo of the next one
-    events = cut(shown.groupBy("family", F.col("at")).applyInPandas(_chunk_events, _EVENTS))
-    open_ends = events.where("what in ('first', 'state', 'renamed', 'carried')")
-    late = open_ends.groupBy("family").applyInPandas(_carry_types, _EVENTS)
-    dotted = lambda c: F.translate(c, "\x1f", ".").alias(c)
-    return events.unionByName(late).select("family", "seq", "file_id", "what", dotted("old_path"), dotted("field_path"), "types")
+    n = int(records.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = shown.drop("chunk").repartition(n, "family", "at")  # by number, so that small but costly partitions are not put together
+    size = CHUNK
+    events = cut(spread.groupBy("family", "at").applyInPandas(lambda key, rows: _chunk_events(key, rows, fields, size), _EVENTS))
+    state = events.where("what = 'state'")
+    if state.isEmpty():
+        return events.withColumn("root", F.regexp_replace("root", "^<", "")).drop("chunk")
+    known = cut(known_before(state.select("family", "chunk", F.col("field_path").alias("path"), "types", "root")))
+    had = known.select("family", "chunk", F.concat(F.lit("<"), F.col("path")).alias("root"), F.col("types").alias("had"), F.regexp_replace("root", "^<", "").alias("began"))
+    open_ = events.where("what in ('first', 'field')").join(had, ["family", "chunk", "root"], "left")
+    late = open_.where("what = 'first' and had <> '' and had <> types").select(*events.columns).withColumn("what", F.lit("retyped"))
+    named = open_.where("what = 'field'").withColumn("root", F.coalesce("began", F.regexp_replace("root", "^<", ""))).select(*events.columns)
+    return events.where("what not in ('first', 'field', 'state')").unionByName(late).unionByName(named).drop("chunk")
 
 
 def schema_changes(records: DataFrame) -> DataFrame:
@@ -315,69 +385,125 @@ def schema_changes(records: DataFrame) -> DataFrame:
     has none at all. Rows without family or file are left out, repeated rows change nothing, files written at
     the same time follow their ids, other columns are ignored and an empty table gives an empty result.
     """
-    return schema_events(records).where("what in ('added', 'removed', 'renamed', 'retyped')").select("file_id", "field_path", F.col("what").alias("drift"))
+    return schema_events(records).where("what in ('added', 'removed', 'renamed', 'retyped')").select("file_id", F.translate("field_path", SEP, ".").alias("field_path"), F.col("what").alias("drift"))
 
 
-def field_aliases(events: DataFrame) -> DataFrame:
-    """(field_path, canonical_path): names joined by renames share the name that most files begin with.
+def file_projections(fields: DataFrame) -> DataFrame:
+    """(family, file_id, projection): for each file the canonical name of each of its paths.
 
-    Names are few however many files there are: the rename pairs are first counted by name, then closed
-    transitively by a bounded walk over the distinct names.
+    Within a family a field keeps one name through all renames. Names of different families are joined where at
+    least FAMILIES families have renamed the one into the other; the one that most files have stands for all. In a
+    family where that would give two fields of one file the same name, those fields keep the names they began with.
     """
-    pairs = events.where("what in ('renamed', 'carried')").groupBy("old_path", "field_path").agg(F.count("*").alias("n"))
-
-    def close(rows: pd.DataFrame) -> pd.DataFrame:
-        root: dict[str, str] = {}
-
-        def find(x: str) -> str:
-            while root.setdefault(x, x) != x:
-                x = root[x]
-            return x
-
-        weight: dict[str, int] = {}
-        for r in rows.itertuples():
-            weight[r.old_path] = weight.get(r.old_path, 0) + r.n
-            root[find(r.field_path)] = find(r.old_path)
-        groups: dict[str, list[str]] = {}
-        for x in list(root):
-            groups.setdefault(find(x), []).append(x)
-        best = {k: min(v, key=lambda x: (-weight.get(x, 0), x)) for k, v in groups.items()}
-        return pd.DataFrame([(x, best[find(x)]) for x in root], columns=["field_path", "canonical_path"])
-
-    return pairs.groupBy(F.lit(1).alias("all")).applyInPandas(lambda rows: close(rows), "field_path string, canonical_path string")
+    named = fields.where("what = 'field'").select("family", "file_id", F.translate("field_path", SEP, ".").alias("path"), F.translate("root", SEP, ".").alias("root"))
+    bare = F.split_part("root", F.lit(_FRESH), F.lit(1))
+    use = cut(named.groupBy("path", bare.alias("name")).agg(F.count("*").alias("n"), F.countDistinct("family").alias("families")))
+    names = use.select(F.col("path").alias("name"), "n").unionByName(use.select("name", F.lit(0).cast("long").alias("n"))).groupBy("name").agg(F.sum("n").alias("n")).withColumn("node", F.xxhash64("name")).withColumn("all", F.lit(0))
+    links = use.where((F.col("path") != F.col("name")) & (F.col("families") >= FAMILIES)).select(F.lit(0).alias("all"), F.xxhash64("path").alias("a"), F.xxhash64("name").alias("b"))
+    grouped = names.join(components(links, names.select("all", "node"), "all"), ["all", "node"])
+    best = grouped.groupBy("root").agg(F.max_by("name", F.struct("n", "name")).alias("target"))
+    target = grouped.join(best, "root").select("name", "target")
+    aimed = named.withColumn("name", bare).join(target, "name")
+    clash = aimed.groupBy("family", "file_id", "target").agg(F.count("*").alias("n")).where("n > 1").select("family", "target", F.lit(True).alias("clash")).distinct()
+    own = F.translate("root", _FRESH, "@")
+    final = aimed.join(clash, ["family", "target"], "left").withColumn("canonical", F.when(F.col("clash") | F.contains("root", F.lit(_FRESH)), own).otherwise(F.col("target")))
+    return final.groupBy("family", "file_id").agg(F.collect_set(F.struct("path", "canonical")).alias("projection"))
+
+
+_KINDS = {"number": "double", "boolean": "boolean", "string": "string"}
+
+
+def table_columns(fields: DataFrame, projections: DataFrame) -> list[tuple[str, str]]:
+    """(canonical name, type) of the MAX_COLUMNS fields that most files have, objects left out, by name; the type is that of
+    most files: double, boolean or string (arrays as JSON text)."""
+    each = projections.select("family", "file_id", F.explode("projection").alias("p")).select("family", "file_id", "p.*")
+    kinds = fields.where("what = 'field' and types <> 'object'").select("family", "file_id", F.translate("field_path", SEP, ".").alias("path"), "types")
+    counted = each.join(kinds, ["family", "file_id", "path"]).groupBy("canonical", "types").agg(F.count("*").alias("n"))
+    top = counted.groupBy("canonical").agg(F.sum("n").alias("n"), F.max_by("types", F.struct(F.when(F.col("types") != "", F.col("n")).otherwise(0), "types")).alias("types")).orderBy(F.desc("n"), "canonical").limit(MAX_COLUMNS)
+    return sorted((r["canonical"], _KINDS.get(r["types"], "string")) for r in top.toLocalIterator())
+
+
+def _leaves(record: dict) -> list[tuple[str, object]]:
+    out, todo = [], [("", record)]
+    while todo:
+        prefix, fields = todo.pop()
+        for key, v in fields.items():
+            if isinstance(v, dict) and v:
+                todo.append((f"{prefix}{key}.", v))
+            else:
+                out.append((prefix + key, v))
+    return out
 
 
-def _leaves(value: object, prefix: str, out: list[tuple[str, str]]) -> None:
-    for key, v in value.items():
-        if isinstance(v, dict):
-            _leaves(v, f"{prefix}{key}.", out)
-        elif v is not None:
-            out.append((prefix + key, v if isinstance(v, str) else json.dumps(v, ensure_ascii=False)))
+def _typed(value: object, kind: str) -> object:
+    """A value as a column's type; None if it is none of that type."""
+    if kind == "boolean":
+        return value if isinstance(value, bool) else None
+    if kind == "double":
+        if isinstance(value, (int, float)) and not isinstance(value, bool):
+            return float(value) if abs(value) < 1e300 else None
+        return float(value) if isinstance(value, str) and _NUMERIC.fullmatch(value) and len(value) < 40 else None
+    text = value if isinstance(value, str) else write_json(value)
+    return text.encode("utf-8", "replace").decode()
 
 
-def _record_leaves(batches):
-    for rows in batches:
-        out = []
-        for r in rows.itertuples():
-            record = read_json(r.record_json)
-            if isinstance(record, dict):
-                leaves: list[tuple[str, str]] = []
-                _leaves(record, "", leaves)
-                out += [(r.family, r.file_id, r.line_no, p, v.encode("utf-8", "replace").decode()) for p, v in leaves] or [(r.family, r.file_id, r.line_no, None, None)]
-        yield pd.DataFrame(out, columns=["family", "file_id", "line_no", "field_path", "value"]).astype({"file_id": "int64", "line_no": "int64"})
+def column_name(canonical: str) -> str:
+    """A canonical name as a column: dots and the sign of a reused name become underscores."""
+    return "f_" + re.sub(r"\W", "_", canonical)
 
 
 def consistent_records(records: DataFrame) -> DataFrame:
-    """(family, file_id, line_no, fields): every readable record once, its values under canonical field names.
+    """(family, file_id, line_no, f_..., rest, null_fields): every readable record once, in typed columns.
 
-    ``fields`` maps canonical paths to values as text (numbers and numbers written as strings read alike);
-    null values are absent. The scripts of all files become one projection from path to canonical path.
+    Each file's script is its projection, from the paths in it to canonical names (see ``file_projections``); a
+    column is named ``f_`` and the canonical name. A value that is none of its column's type, or whose field has no
+    column, or has that of another field, stands in the map ``rest`` under its canonical name, as text; fields that are
+    null are listed in ``null_fields``. So no value is lost. Repeated rows are read once; other columns are ignored;
+    an empty table gives an empty result.
     """
-    aliases = field_aliases(schema_events(records))
+    fields = schema_events(records, fields=True)
+    projections = cut(file_projections(fields))
+    columns: dict[str, tuple[str, str]] = {}
+    for canonical, kind in table_columns(fields, projections):
+        columns.setdefault(column_name(canonical), (canonical, kind))
+    place = {canonical: (name, kind) for name, (canonical, kind) in columns.items()}
     one = records.where("family is not null and file_id is not null and line_no is not null").groupBy("family", "file_id", F.col("line_no").cast("long").alias("line_no")).agg(F.max("record_json").alias("record_json"))
-    leaves = one.mapInPandas(_record_leaves, "family string, file_id long, line_no long, field_path string, value string")
-    named = leaves.join(aliases, "field_path", "left").withColumn("field", F.coalesce("canonical_path", "field_path"))
-    return (
-        named.groupBy("family", "file_id", "line_no")
-        .agg(F.map_from_entries(F.array_sort(F.collect_set(F.when(F.col("field").isNotNull(), F.struct("field", "value"))))).alias("fields"))
-    )
+    schema = ", ".join(["family string, file_id long, line_no long", *[f"{name} {kind}" for name, (_, kind) in columns.items()], "rest map<string,string>, null_fields array<string>"])
+    order = ["family", "file_id", "line_no", *columns, "rest", "null_fields"]
+
+    def project(batches):
+        compiled: dict = {}
+        for batch in batches:
+            out = []
+            for family, file_id, line_no, text, projection in zip(batch["family"], batch["file_id"], batch["line_no"], batch["record_json"], batch["projection"]):
+                record = read_json(text)
+                if not isinstance(record, dict):
+                    continue
+                if (family, file_id) not in compiled:
+                    compiled = {(family, file_id): {p["path"]: p["canonical"] for p in projection}}
+                names = compiled[family, file_id]
+                row = dict.fromkeys(order)
+                row |= {"family": family, "file_id": file_id, "line_no": line_no}
+                rest: dict[str, str] = {}
+                nulls: list[str] = []
+                for path, value in _leaves(record):
+                    canonical = names.get(path, path).encode("utf-8", "replace").decode()
+                    if value is None:
+                        nulls.append(canonical)
+                        continue
+                    name, kind = place.get(canonical, (None, "string"))
+                    typed = _typed(value, kind) if name else None
+                    if typed is not None and row[name] is None:
+                        row[name] = typed
+                    else:
+                        while canonical in rest:
+                            canonical += "'"
+                        rest[canonical] = _typed(value, "string")
+                row["rest"], row["null_fields"] = rest, sorted(nulls)
+                out.append(row)
+            frame = pd.DataFrame(out, columns=order)
+            doubles = [name for name, (_, kind) in columns.items() if kind == "double"]
+            yield frame.astype({"file_id": "int64", "line_no": "int64"} | dict.fromkeys(doubles, "float64"))
+
+    joined = one.join(projections, ["family", "file_id"]).select("family", "file_id", "line_no", "record_json", "projection")
+    return joined.mapInPandas(project, schema)

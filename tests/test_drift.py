@@ -37,11 +37,13 @@ def test_types_are_carried_over_chunks_and_names(spark):
     files = [[{"a": 1, "b": "x"}], [{"a": None, "b": "y"}], [{"a": None}], [{"a": "1"}], [{"a": "2", "b": 3}]]
     want = {(3, "b", "removed"), (4, "a", "retyped"), (5, "b", "added"), (5, "b", "retyped")}
     assert run(spark, files) == want
-    chunk, drift.CHUNK = drift.CHUNK, 1
+    files += [[{"a": "3"}]] * 4 + [[{"a": 4}]]
+    want |= {(6, "b", "removed"), (10, "a", "retyped")}
+    sizes, drift.CHUNK, drift.FAN = (drift.CHUNK, drift.FAN), 1, 2  # several levels of the scan
     try:
         assert run(spark, files) == want
     finally:
-        drift.CHUNK = chunk
+        drift.CHUNK, drift.FAN = sizes
 
 
 def test_object_renamed_with_children(spark):
@@ -61,8 +63,54 @@ def test_consistent_table(spark):
     one = [{"artifact_id": f"cam_{i}.mp4", "size": 100 + i} for i in range(5)]
     two = [{"section_key": f"cam_{i}.mp4", "size": str(100 + i)} for i in range(5)]
     rows = drift.consistent_records(table(spark, [one, one, two])).collect()
-    assert len(rows) == 15 and {frozenset(r["fields"]) for r in rows} == {frozenset({"artifact_id", "size"})}
-    assert {r["fields"]["size"] for r in rows} == {str(100 + i) for i in range(5)}
+    assert len(rows) == 15 and {r["f_artifact_id"] for r in rows} == {f"cam_{i}.mp4" for i in range(5)}
+    assert {r["f_size"] for r in rows} == {100.0 + i for i in range(5)} and all(r["rest"] == {} for r in rows)
+
+
+def test_two_names_in_one_record(spark):
+    """Families that rename colour to color do not merge the two in a family that has both; nothing is lost."""
+    colour, color = [{"colour": "Sky", "n": 1}] * 3, [{"color": "Sky", "n": 2}] * 3
+    df = table(spark, [colour, color], "a").unionByName(table(spark, [colour, color], "b"))
+    both = [{"colour": "Sky", "color": "Teal", "n": None, "deep": {"x": [1, {"y": 2}]}, "ok": True}, {"colour": "Lime", "n": "many"}]
+    rows = drift.consistent_records(df.unionByName(table(spark, [both], "c"))).collect()
+    got = {(r["family"], r["file_id"], r["line_no"]): r for r in rows}
+    assert len(rows) == 14 and {r["f_color"] for k, r in got.items() if k[0] in "ab"} | {r["f_colour"] for k, r in got.items() if k[0] in "ab"} == {"Sky", None}
+    c = got["c", 1, 0]
+    assert (c["f_colour"], c["f_color"], c["f_n"], c["null_fields"], c["f_ok"], c["f_deep_x"]) == ("Sky", "Teal", None, ["n"], True, '[1, {"y": 2}]')
+    assert got["c", 1, 1]["rest"] == {"n": "many"}
+
+
+def test_names_of_chunks_and_reused_names(spark):
+    """A field keeps its first name over chunks; a path that a rename has set free is another field later."""
+    files = [[{"mean": 1.5, "k": 1}], [{"average": 1.25, "k": 2}], [{"average": 2.5, "k": 3}], [{"average": 2.25, "mean": "text here", "k": 3}]]
+    sizes, drift.CHUNK = drift.CHUNK, 1
+    try:
+        rows = {r["file_id"]: r for r in drift.consistent_records(table(spark, files)).collect()}
+    finally:
+        drift.CHUNK = sizes
+    assert [rows[i]["f_mean"] for i in (1, 2, 3, 4)] == [1.5, 1.25, 2.5, 2.25]
+    assert [v for k, v in rows[4].asDict().items() if k.startswith("f_mean_")] == ["text here"]
+
+
+def test_moves_are_part_of_the_cheapest_script():
+    kinds = {"number": {"n": 3, "whole": 3, "log": 6.0}}
+    old = {"camera": {"object": {"n": 3}}, "camera\x1ftilt": kinds, "a": kinds}
+    new = {"camera": {"object": {"n": 3}}, "tilt": kinds, "a": kinds}
+    assert drift.edit_script(old, new) == ({"camera\x1ftilt": "tilt"}, [], [])
+
+
+def test_deep_texts_are_read():
+    from framewright.functions.jsontext import write_json
+
+    depth = 20_000
+    text = '{"a":[' * depth + "1" + "]}" * depth
+    value, n = drift.read_json(text), 0
+    assert write_json(value).replace(" ", "") == text
+    while isinstance(value, dict):
+        value, n = value["a"][0], n + 1
+    assert n == depth and value == 1
+    for bad in ('{"a":[' * depth, text + "1", text + "]", '{"a":[' * depth + "NaN" + "]}" * depth, '{"a" [' * depth + "]}" * depth):
+        assert drift.read_json(bad) is None
 
 
 def test_assignment_is_cheapest():
