@@ -12,6 +12,7 @@ with a column for each language.
 
 from __future__ import annotations
 
+import re
 import sys
 import types
 import unicodedata
@@ -72,54 +73,72 @@ def canonical_label(label: str | None) -> str | None:
     return LABELS.get(text) or LABELS.get(text.split("-")[0])
 
 
+# a sentence ends with a sign, up to two closing ones, and blanks, with a sign of full width, or with its line
+_ENDS = re.compile(r"([.!?…][\"'”’»)\]]{0,2})\s+|([。！？][」』”]?)|\s*\n\s*")
+_LETTERS = re.compile(r"[^\W\d_]+")
+_ASCII_LETTERS = re.compile(r"[A-Za-z]+")
+_DATA = re.compile(r"[\d_/\\²³¹¼-¾]")
+_QUOTE = re.compile(r"[\"“„«「]|(?<![^\W\d_])'")
+_QUOTED = re.compile(r"(?<![^\W\d_])'[^'\n]{2,80}'(?![^\W\d_])|\"[^\"\n]{2,80}\"|“[^”\n]{2,80}”|„[^“”\n]{2,80}[“”]|«[^»\n]{2,80}»|「[^」\n]{2,80}」")
+
+
 def _tools():
-    """Compiled patterns, once in each Python process."""
+    """The pattern of words that stand free of data, compiled once in each Python process; it needs the classes of the ``regex`` package."""
     store = sys.modules.setdefault("_framewright_worker", types.ModuleType("_framewright_worker"))
-    if not hasattr(store, "patterns"):
+    if not hasattr(store, "free_words"):
         import regex
 
-        store.patterns = (
-            regex.compile(r"(?<=[.!?…][\"'”’»)\]]{0,2})\s+|(?<=[。！？][」』”]?)|\s*\n\s*"),
-            regex.compile(r"(?<![\p{N}_/\\])\p{L}[\p{L}\p{M}'’]*(?![\p{N}_/\\])"),
-            regex.compile(r"[^\p{L}]+"),
-            regex.compile(r"(?<!\p{L})'[^'\n]{2,80}'(?!\p{L})|\"[^\"\n]{2,80}\"|“[^”\n]{2,80}”|„[^“”\n]{2,80}[“”]|«[^»\n]{2,80}»|「[^」\n]{2,80}」"),
-            regex.compile(r"[\p{N}_/\\]"),
-            regex.compile("[\"“„«「]|(?<![\\p{L}])'"),
-        )
-    return store.patterns
+        store.free_words = regex.compile(r"(?<![\p{N}_/\\])\p{L}[\p{L}\p{M}'’]*(?![\p{N}_/\\])")
+    return store.free_words
 
 
 def sentences(text: str | None) -> list[str]:
-    """The sentences and lines of a text, blank ones left out."""
+    """The sentences and lines of a text, blank ones left out; a NUL ends a sentence too."""
     if not text:
         return []
-    return [x for x in _tools()[0].split(text) if x and not x.isspace()]
+    return [x for x in _ENDS.sub("\\1\\2\x00", text).split("\x00") if x and not x.isspace()]
 
 
 def has_words(sentence: str) -> bool:
     """Whether a sentence consists of words rather than of data, code or signs."""
-    tools = _tools()
-    if tools[4].search(sentence):
-        words = [w for w in tools[1].findall(sentence) if len(w) > 1 or w.isalpha()]
+    if _DATA.search(sentence):
+        words = [w for w in _tools().findall(sentence) if len(w) > 1 or w.isalpha()]
     else:
-        words = tools[2].sub(" ", sentence).split()
+        words = (_ASCII_LETTERS if sentence.isascii() else _LETTERS).findall(sentence)
+    return _are_words(words, sentence)
+
+
+def _are_words(words: list[str], sentence: str) -> bool:
     letters = sum(map(len, words))
     if letters < 4 or letters < MIN_LETTER_SHARE * (len(sentence) - sentence.count(" ") - sentence.count("\t")):
         return False
-    return sum(len(w) > 1 for w in words) >= 2 or letters >= 6 and any(w[0] > "⿿" for w in words)
+    long = 0
+    for w in words:
+        if len(w) > 1:
+            long += 1
+            if long == 2:
+                return True
+    return letters >= 6 and any(w[0] > "⿿" for w in words)
 
 
 def plain(sentence: str) -> str:
     """A sentence as the model sees it: quoted phrases left out unless they are nearly all of it, composed, lower
     case, letters only, single blanks."""
-    tools = _tools()
-    if tools[5].search(sentence):
-        bare = tools[3].sub(" ", sentence)
+    if _QUOTE.search(sentence):
+        bare = _QUOTED.sub(" ", sentence)
         if bare != sentence and has_words(bare):
             sentence = bare
-    if not sentence.isascii():
-        sentence = unicodedata.normalize("NFC", sentence)
-    return f" {tools[2].sub(' ', sentence.lower()).strip()} "
+    if sentence.isascii():
+        return f" {' '.join(_ASCII_LETTERS.findall(sentence.lower()))} "
+    return f" {' '.join(_LETTERS.findall(unicodedata.normalize('NFC', sentence).lower()))} "
+
+
+def worded(sentence: str) -> str | None:
+    """``plain`` of a sentence that consists of words, None of any other."""
+    if sentence.isascii() and not _DATA.search(sentence) and not _QUOTE.search(sentence):
+        words = _ASCII_LETTERS.findall(sentence)
+        return f" {' '.join(words).lower()} " if _are_words(words, sentence) else None
+    return plain(sentence) if has_words(sentence) else None
 
 
 def _without_accents(text: str) -> str:
@@ -187,8 +206,8 @@ def fit(labelled: list[tuple[str, str]], phrases: list[tuple[str, list[str]]] =
     texts, first, doc = [], [], []
     for i, (lang, text) in enumerate(labelled):
         for s in sentences(text):
-            if has_words(s):
-                texts.append(plain(s))
+            if (words := worded(s)) is not None:
+                texts.append(words)
                 first.append(LANGUAGES.index(lang))
                 doc.append(i)
     for i, (lang, short) in enumerate(phrases, len(labelled)):
@@ -279,29 +298,41 @@ def _assigned(ll: np.ndarray, doc: np.ndarray, n_docs: int) -> tuple[np.ndarray,
     return within.argmax(axis=1), share
 
 
-def _confidence(ll: np.ndarray) -> np.ndarray:
-    """Posterior of the best row entry, softened as n-grams of different orders are no independent evidence."""
-    x = (ll - ll.max(axis=1, keepdims=True)) / 8
-    return 1 / np.exp(x).sum(axis=1)
+def _confidence(ll: np.ndarray, best: np.ndarray) -> np.ndarray:
+    """Posterior of each row's language ``best``, all languages being equally likely before.
+
+    The orders' likelihoods are averaged, not added, so that n-grams that contain one another do not count as
+    independent evidence; the posteriors are calibrated so (see the reliability test).
+    """
+    x = np.exp(ll - ll.max(axis=1, keepdims=True))
+    return x[np.arange(len(ll)), best] / x.sum(axis=1)
 
 
 def segment_texts(texts: list[str | None], table: np.ndarray) -> list[list[tuple[str, float, int, int]]]:
     """For each text its segments: (language, confidence, sentences, characters); none if it has no words."""
-    plains, sizes, doc = [], [], []
+    known: dict[str, int] = {}  # sentence -> place of its plain text, -1 if it has no words; repeated ones are read once
+    plains: list[str] = []
+    which, sizes, doc = [], [], []
     for i, text in enumerate(texts):
         for s in sentences(text):
-            if has_words(s):
-                plains.append(plain(s))
+            k = known.get(s)
+            if k is None:
+                words = worded(s)
+                k = known[s] = -1 if words is None else len(plains)
+                if words is not None:
+                    plains.append(words)
+            if k >= 0:
+                which.append(k)
                 sizes.append(len(s))
                 doc.append(i)
     out: list[list[tuple[str, float, int, int]]] = [[] for _ in texts]
     if not plains:
         return out
     doc_no, size = np.array(doc), np.array(sizes)
-    ll = scores(plains, table)
+    ll = scores(plains, table)[which]
     best, _ = _assigned(ll, doc_no, len(texts))
     first = np.flatnonzero(np.concatenate([[True], (doc_no[1:] != doc_no[:-1]) | (best[1:] != best[:-1])]))
-    sure = _confidence(np.add.reduceat(ll, first, axis=0))
+    sure = _confidence(np.add.reduceat(ll, first, axis=0), best[first])
     chars, count = np.add.reduceat(size, first), np.diff(np.concatenate([first, [len(best)]]))
     for k, a in enumerate(first):
         out[doc_no[a]].append((LANGUAGES[best[a]], float(sure[k]), int(count[k]), int(chars[k])))

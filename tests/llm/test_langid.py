@@ -57,3 +57,33 @@ def test_held_out_accuracy(spark, sf_dir):
     model = langid.fitted(docs.where("doc_id % 2 = 0"))
     held = langid.language_segments(docs.where("doc_id % 2 = 1"), model).where("label is not null and segments = 1").toPandas()
     assert (held.lang == held.label).mean() > 0.85  # about a tenth of the labels is wrong
+
+
+def test_confidence_is_calibrated(sf_dir):
+    """On held-out phrases of one to four words the confidence is the share of right answers, within a tenth."""
+    import os
+    import random
+
+    import numpy as np
+    import pandas as pd
+
+    docs = pd.read_parquet(os.path.join(os.path.dirname(sf_dir), "sf0.01", "documents.parquet")).drop_duplicates("text")
+    labelled = [(langid.canonical_label(label), text) for label, text in zip(docs["lang"], docs["text"]) if text and langid.canonical_label(label) and len(text) < 6000]
+    rng = random.Random(0)
+    rng.shuffle(labelled)
+    table = langid.fit(labelled[: len(labelled) // 2])
+    held = labelled[len(labelled) // 2 :]
+    phrases, right = [], []
+    for (label, text), found in zip(held, langid.segment_texts([x for _, x in held], table)):
+        if len(found) == 1 and found[0][0] == label:  # labels may be wrong
+            for words in [x.split() for s in langid.sentences(text)[:8] if (x := langid.worded(s))]:
+                k = rng.choice([1, 1, 2, 2, 3, 4])
+                at = rng.randrange(max(1, len(words) - k + 1))
+                phrases.append(f" {' '.join(words[at : at + k])} ")
+                right.append(langid.LANGUAGES.index(label))
+    ll = langid.scores(phrases, table)
+    best = ll.argmax(axis=1)
+    sure, ok = langid._confidence(ll, best), best == np.array(right)
+    bins = np.digitize(sure, [0.5, 0.75, 0.9, 0.97])
+    error = sum(abs(sure[bins == k].mean() - ok[bins == k].mean()) * (bins == k).mean() for k in set(bins))
+    assert len(phrases) > 500 and ok.mean() > 0.8 and error < 0.1
