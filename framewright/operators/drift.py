@@ -49,25 +49,47 @@ def _type_of(value: object) -> str | None:
 
 
 _NUMERIC = re.compile(r"\s*[-+]?\d+(\.\d+)?\s*")
-
-
-def _number_kind(value: float, whole: bool) -> dict:
-    return {"n": 1, "whole": int(whole), "log": math.log10(1 + min(abs(value), 1e300))}
-
-
-def _kind_of(value: object) -> tuple[str, dict]:
-    """Statistics of one value that add up over values of the same JSON type."""
-    if isinstance(value, bool):
-        return "boolean", {"n": 1}
-    if isinstance(value, (int, float)):
-        return "number", _number_kind(float(value) if abs(value) < 1e300 else 1e300, isinstance(value, int))
-    if isinstance(value, str):
-        numeric = len(value) < 40 and _NUMERIC.fullmatch(value) is not None
-        kind = {"n": 1, "numeric": int(numeric), "space": int(" " in value.strip()), "digit": int(" " not in value.strip() and any(x.isdigit() for x in value)), "upper": int(value[:1].isupper()), "length": math.log1p(len(value))}
-        return "string", kind | ({"log": math.log10(1 + abs(float(value))), "whole": int("." not in value)} if numeric else {})
-    if isinstance(value, list):
-        return "array", {"n": 1, "length": math.log1p(len(value))} | {f"of {_type_of(x)}": 1 for x in value[:1]}
-    return "object", {"n": 1} | {f"key {k}": 1 for k in value}
+_DIGIT = re.compile(r"\d")
+
+
+def _count(kinds: dict, value: object) -> None:
+    """Adds one value to the statistics of its JSON type, which add up over values and parts."""
+    kind = type(value)
+    if kind is str:
+        into = kinds.get("string")
+        if into is None:
+            into = kinds["string"] = {"n": 0, "numeric": 0, "space": 0, "digit": 0, "upper": 0, "length": 0.0, "log": 0.0, "whole": 0}
+        into["n"] += 1
+        into["length"] += math.log1p(len(value))
+        into["upper"] += value[:1].isupper()
+        digit = _DIGIT.search(value) is not None
+        if " " in value and " " in value.strip():
+            into["space"] += 1
+        elif digit:
+            into["digit"] += 1
+        if digit and len(value) < 40 and _NUMERIC.fullmatch(value):
+            into["numeric"] += 1
+            into["log"] += math.log10(1 + abs(float(value)))
+            into["whole"] += "." not in value
+    elif kind is int or kind is float:
+        into = kinds.get("number")
+        if into is None:
+            into = kinds["number"] = {"n": 0, "whole": 0, "log": 0.0}
+        into["n"] += 1
+        into["whole"] += kind is int
+        into["log"] += math.log10(1 + min(abs(value), 10**300))
+    else:
+        name = "boolean" if kind is bool else "array" if kind is list else "object"
+        into = kinds.setdefault(name, {"n": 0})
+        into["n"] += 1
+        if kind is list:
+            into["length"] = into.get("length", 0) + math.log1p(len(value))
+            for x in value[:1]:
+                first = f"of {_type_of(x)}"
+                into[first] = into.get(first, 0) + 1
+        elif kind is dict:
+            for k in value:
+                into["key " + k] = into.get("key " + k, 0) + 1
 
 
 def _add_record(schema: dict, record: dict) -> None:
@@ -75,18 +97,19 @@ def _add_record(schema: dict, record: dict) -> None:
     while todo:
         prefix, fields = todo.pop()
         for key, value in fields.items():
-            kinds = schema.setdefault(prefix + key, {})
-            if value is None:
-                continue
-            name, kind = _kind_of(value)
-            into = kinds.setdefault(name, {})
-            for k, v in kind.items():
-                into[k] = into.get(k, 0) + v
-            if isinstance(value, dict):
-                todo.append((prefix + key + SEP, value))
+            path = prefix + key
+            kinds = schema.get(path)
+            if kinds is None:
+                kinds = schema[path] = {}
+            if value is not None:
+                _count(kinds, value)
+                if type(value) is dict:
+                    todo.append((path + SEP, value))
 
 
 def _merge(parts: list[str]) -> dict:
+    if len(parts) == 1:
+        return read_json(parts[0])
     schema: dict = {}
     for part in map(read_json, parts):
         for path, kinds in part.items():
@@ -216,10 +239,6 @@ def _renames(old: dict, new: dict, kept: dict[str, str], ended: list[str], begun
     return {ended[i]: begun[j] for i, j in assign(cost) if j < m and cost[i, j] < give_up}
 
 
-def _types(kinds: dict) -> str:
-    return ",".join(sorted(kinds))
-
-
 def _partial_schemas(batches):
     for rows in batches:
         schemas: dict = {}
@@ -256,48 +275,62 @@ _EVENTS = "family string, chunk long, seq long, file_id long, what string, old_p
 _FRESH = "\x1e"  # joins a path that a rename has set free to the file of the rename, and so tells a later field there from the earlier one
 
 
-def _chunk_events(key: tuple, rows: pd.DataFrame, fields: bool, size: int) -> pd.DataFrame:
-    """Edit scripts of a chunk of files. Beside the drift: 'first' rows hold the types of a field whose earlier
-    types lie before the chunk, 'state' rows what the chunk leaves behind of each field, and, with ``fields``, 'field' rows each path of each file.
+def _chunk_events(batches, fields: bool, size: int):
+    """Edit scripts of chunks of files, in order. Beside the drift: 'first' rows hold the types of a field whose
+    earlier types lie before the chunk, 'state' rows what the chunk leaves behind of each field, and, with ``fields``,
+    'field' rows each path of each file.
 
     ``root`` is the path a field had before the chunk, as '<path', or a new one where a field that was renamed away
     left its path to another.
     """
-    rows = rows.sort_values("seq")
     out: list[tuple] = []
-    before: dict | None = None
+    group, one, before = None, True, None
     state: dict[str, tuple[str, str]] = {}  # path -> (types last seen in this chunk or '', root)
-    one = int(rows["files"].iloc[0]) <= size
-    for seq, file_id, parts in zip(rows["seq"], rows["file_id"], rows["parts"]):
-        schema = _merge(parts)
-        add = lambda what, path, old="", types="", root="": out.append((key[0], key[1], seq, file_id, what, old, path, types, root))  # noqa: B023, E731
-        if before is not None:
-            renamed, ended, begun = edit_script(before, schema)
-            for path in ended:
-                add("removed", path)
-            for path in begun:
-                add("added", path)
-            moved = {y: state.get(x, ("", "<" + x)) for x, y in renamed.items()}
-            state |= {x: ("", f"{x}{_FRESH}{file_id}") for x in renamed if x not in moved}
-            state |= moved
-            for x, y in renamed.items():
-                inherited = any(x.startswith(a + SEP) and y.startswith(b + SEP) and x[len(a) :] == y[len(b) :] for a, b in renamed.items() if a != x)
-                add("carried" if inherited else "renamed", y, old=x)
-        if seq // size == key[1]:  # not the halo
-            for path, kinds in schema.items():
-                now = _types(kinds)
-                types, root = state.get(path, ("", "<" + path))
-                if now and types and types != now:
-                    add("retyped", path, old=types, types=now)
-                elif now and not types and not one and root.startswith("<"):
-                    add("first", path, types=now, root=root)
-                state[path] = (now or types, root)
-                if fields:
-                    add("field", path, types=now, root=root)
-        before = schema
-    if not one:
-        out += [(key[0], key[1], 0, 0, "state", "", path, types, root) for path, (types, root) in state.items()]
-    return pd.DataFrame(out, columns=[x.split()[0] for x in _EVENTS.split(", ")])
+
+    def leave():
+        if group and not one:
+            out.extend((*group, 0, 0, "state", "", path, types, root) for path, (types, root) in state.items())
+
+    def frame():
+        return pd.DataFrame(out, columns=[x.split()[0] for x in _EVENTS.split(", ")]).astype({"chunk": "int64", "seq": "int64", "file_id": "int64"})
+
+    for batch in batches:
+        out = []
+        for family, at, seq, files, file_id, parts in zip(batch["family"], batch["at"], batch["seq"], batch["files"], batch["file_id"], batch["parts"]):
+            if (family, at) != group:
+                leave()
+                group, one, before, state = (family, at), files <= size, None, {}
+            schema = _merge(parts)
+            add = lambda what, path, old="", types="", root="": out.append((*group, seq, file_id, what, old, path, types, root))  # noqa: B023, E731
+            if before is not None:
+                renamed, ended, begun = edit_script(before, schema)
+                for path in ended:
+                    add("removed", path)
+                for path in begun:
+                    add("added", path)
+                if renamed:
+                    moved = {y: state.get(x, ("", "<" + x)) for x, y in renamed.items()}
+                    state |= {x: ("", f"{x}{_FRESH}{file_id}") for x in renamed if x not in moved}
+                    state |= moved
+                for x, y in renamed.items():
+                    inherited = any(x.startswith(a + SEP) and y.startswith(b + SEP) and x[len(a) :] == y[len(b) :] for a, b in renamed.items() if a != x)
+                    add("carried" if inherited else "renamed", y, old=x)
+            if seq // size == at:  # not the halo
+                for path, kinds in schema.items():
+                    now = ",".join(sorted(kinds)) if len(kinds) > 1 else next(iter(kinds), "")
+                    types, root = state.get(path) or ("", "<" + path)
+                    if now and types and types != now:
+                        add("retyped", path, old=types, types=now)
+                    elif now and not types and not one and root[0] == "<":
+                        add("first", path, types=now, root=root)
+                    state[path] = (now or types, root)
+                    if fields:
+                        add("field", path, types=now, root=root)
+            before = schema
+        yield frame()
+    out = []
+    leave()
+    yield frame()
 
 
 _STATE = "family string, chunk long, path string, types string, root string, known boolean"
@@ -364,9 +397,9 @@ def schema_events(records: DataFrame, fields: bool = False) -> DataFrame:
     shown = files.withColumn("at", F.explode(F.when((F.col("seq") % CHUNK == CHUNK - 1) & (F.col("seq") < F.col("files") - 1), F.array(F.col("chunk"), F.col("chunk") + 1)).otherwise(F.array("chunk"))))
     # the file that closes a chunk is the halo of the next one
     n = int(records.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    spread = shown.drop("chunk").repartition(n, "family", "at")  # by number, so that small but costly partitions are not put together
+    spread = shown.repartition(n, "family", "at").sortWithinPartitions("family", "at", "seq")  # by number, so that small but costly partitions are not put together
     size = CHUNK
-    events = cut(spread.groupBy("family", "at").applyInPandas(lambda key, rows: _chunk_events(key, rows, fields, size), _EVENTS))
+    events = cut(spread.select("family", "at", "seq", "files", "file_id", "parts").mapInPandas(lambda batches: _chunk_events(batches, fields, size), _EVENTS))
     state = events.where("what = 'state'")
     if state.isEmpty():
         return events.withColumn("root", F.regexp_replace("root", "^<", "")).drop("chunk")
