@@ -12,6 +12,7 @@ Constant runs and ranges are separate checks.
 
 from __future__ import annotations
 
+from functools import lru_cache
 from statistics import NormalDist
 
 import numpy as np
@@ -40,6 +41,16 @@ def student_quantile(p: np.ndarray, dof: np.ndarray) -> np.ndarray:
     return z + (z**3 + z) / (4 * v) + (5 * z**5 + 16 * z**3 + 3 * z) / (96 * v**2) + (3 * z**7 + 19 * z**5 + 17 * z**3 - 15 * z) / (384 * v**3)
 
 
+@lru_cache(maxsize=4096)
+def _gesd_limits(n: int, alpha: float) -> np.ndarray:
+    """The critical deviates of 1 to n // 2 outliers among n values; computed at 64 of them, straight lines between."""
+    k = n // 2
+    probe = np.unique(np.geomspace(1, k, 64).astype(int)) - 1
+    left = n - probe
+    t = student_quantile(1 - alpha / (2 * left), left - 2)
+    return np.interp(np.arange(k), probe, (left - 1) * t / np.sqrt((left - 2 + t * t) * left))
+
+
 def gesd(residual: np.ndarray, alpha: float = GESD_ALPHA) -> np.ndarray:
     """Mask of the outliers by the generalised extreme studentised deviate test.
 
@@ -61,11 +72,8 @@ def gesd(residual: np.ndarray, alpha: float = GESD_ALPHA) -> np.ndarray:
     sd = np.sqrt(np.maximum((s2 - s1 * mean) / np.maximum(tail_n - 1, 1), 0))
     deviate = np.abs(x[:k] - mean) / np.maximum(sd, 1e-12)
     deviate[np.abs(x[:k]) < 1e-9] = 0
-    probe = np.unique(np.geomspace(1, k, 64).astype(int)) - 1
-    p = 1 - alpha / (2 * tail_n[probe])
-    t = student_quantile(p, tail_n[probe] - 2)
-    limit = (tail_n[probe] - 1) * t / np.sqrt((tail_n[probe] - 2 + t * t) * tail_n[probe])
-    passed = np.flatnonzero(deviate > np.interp(np.arange(k), probe, limit))
+    limit = _gesd_limits(n, alpha)
+    passed = np.flatnonzero(deviate > limit)
     if len(passed):
         out[order[: passed[-1] + 1]] = True
     return out
@@ -74,7 +82,7 @@ def gesd(residual: np.ndarray, alpha: float = GESD_ALPHA) -> np.ndarray:
 def running_median(x: np.ndarray, window: int = TREND_WINDOW) -> np.ndarray:
     half = window // 2
     padded = np.concatenate([x[1 : half + 1][::-1], x, x[-half - 1 : -1][::-1]]) if len(x) > half else np.pad(x, half, mode="edge")
-    return np.median(np.lib.stride_tricks.sliding_window_view(padded, window), axis=1)
+    return np.partition(np.lib.stride_tricks.sliding_window_view(padded, window), half, axis=1)[:, half]
 
 
 def decompose(x: np.ndarray, frame: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -108,6 +116,12 @@ def runs_of_equal(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return first, np.diff(np.concatenate([first, [n]]))
 
 
+def spacing(frame: np.ndarray) -> int:
+    """The commonest distance in frames between successive readings, the smallest of equally common ones."""
+    gap, count = np.unique(np.diff(frame), return_counts=True)
+    return int(gap[count.argmax()]) if len(gap) else 1
+
+
 def spike_candidates(values: np.ndarray, frame: np.ndarray) -> list[tuple[int, int, float, float]]:
     """(first index, readings, least deviation from the path, drift to a frame over it) of each short excursion.
 
@@ -119,7 +133,7 @@ def spike_candidates(values: np.ndarray, frame: np.ndarray) -> list[tuple[int, i
         return []
     residual = np.sqrt(sum(decompose(values[:, c], frame)[2] ** 2 for c in range(values.shape[1])))
     mask = gesd(residual)
-    step = np.sqrt((np.diff(values, axis=0) ** 2).sum(axis=1))[np.diff(frame) == 1]
+    step = np.sqrt((np.diff(values, axis=0) ** 2).sum(axis=1))[np.diff(frame) == spacing(frame)]
     step = step[step > 0]
     least = SPIKE_FACTOR * (np.median(step) if len(step) else 0.0)
     found = []
@@ -143,89 +157,105 @@ def spike_candidates(values: np.ndarray, frame: np.ndarray) -> list[tuple[int, i
 
 
 def usual_steps(values: np.ndarray, frame: np.ndarray, excursions: list[tuple[int, int, float, float]]) -> np.ndarray:
-    """Steps from a frame to the next one, without those at excursions and at long constant runs."""
+    """Steps from a reading to the next one at the block's usual spacing (of one frame, in a dense source), without
+    those at excursions and at long constant runs."""
     n = len(values)
     odd = np.zeros(n, bool)
     for a, k, _, _ in excursions:
         odd[a : a + k] = True
-    for a, k in zip(*runs_of_equal(values)):
-        if k >= MIN_STUCK:
-            odd[a : a + k] = True
+    _, length = runs_of_equal(values)
+    odd |= np.repeat(length >= MIN_STUCK, length)
     step = np.sqrt((np.diff(values, axis=0) ** 2).sum(axis=1))
-    return np.where((np.diff(frame) == 1) & ~odd[1:] & ~odd[:-1] & (step > 0), step, np.nan)
+    return np.where((np.diff(frame) == spacing(frame)) & ~odd[1:] & ~odd[:-1] & (step > 0), step, np.nan)
 
 
-_SUMMARY = "what string, first long, last long, n long, v1 double, v2 double, least double, edge int"
+_SUMMARY = "metric string, block long, what string, first long, last long, n long, v1 double, v2 double, least double, edge int"
 
 
-def _summarise(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+def _summarise(metric: str, block: int, frame: np.ndarray, values: np.ndarray, size: int) -> list[tuple]:
     """What one block of one source tells: step histogram, run lengths, long and edge runs, short excursions."""
-    block = int(key[2])
-    rows = rows.sort_values("frame_id", kind="stable")
-    frame = rows["frame_id"].to_numpy()
-    values = rows[["v1", "v2"]].to_numpy()
-    if key[1] == "aoi":
-        values = values[:, :1]
-    core = frame // BLOCK == block
+    core = frame // size == block
     out: list[tuple] = []
     excursions = spike_candidates(values, frame)
     for a, k, off, drift in excursions:
         if core[a]:
-            out.append(("spike", frame[a], frame[a + k - 1], k, off, drift, None, 0))
+            out.append((metric, block, "spike", frame[a], frame[a + k - 1], k, off, drift, None, 0))
     if len(values) > 1:
         step = usual_steps(values, frame, excursions)
-        step = step[core[1:] & ~np.isnan(step)]
-        bins, inverse, count = np.unique(np.floor(np.log2(step) * STEP_BINS).astype(int), return_inverse=True, return_counts=True)
-        top, low = np.full(len(bins), -np.inf), np.full(len(bins), np.inf)
-        np.maximum.at(top, inverse, step)
-        np.minimum.at(low, inverse, step)
-        out += [("step", b, 0, c, t, None, lo, 0) for b, c, t, lo in zip(bins, count, top, low)]
+        step = np.sort(step[core[1:] & ~np.isnan(step)])
+        if len(step):
+            place = np.floor(np.log2(step) * STEP_BINS).astype(int)
+            edge = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
+            last = np.concatenate([edge[1:], [len(step)]]) - 1
+            out += [(metric, block, "step", b, 0, c, t, None, lo, 0) for b, c, t, lo in zip(place[edge].tolist(), (last - edge + 1).tolist(), step[last].tolist(), step[edge].tolist())]
     own, own_frame = values[core], frame[core]
     if len(own):
         first, length = runs_of_equal(own)
         last = first + length - 1
         ends = {0, len(first) - 1}
         for i in sorted(ends | set(np.flatnonzero(length >= MIN_STUCK).tolist())):
-            out.append(("edge" if i in ends else "run", own_frame[first[i]], own_frame[last[i]], length[i], own[first[i], 0], own[first[i], -1], None, int(i > 0)))
-        inner = np.ones(len(first), bool)
-        inner[list(ends)] = False
-        lengths, count = np.unique(length[inner], return_counts=True)
-        out += [("length", n, 0, c, None, None, None, 0) for n, c in zip(lengths, count)]
-    found = pd.DataFrame(out, columns=["what", "first", "last", "n", "v1", "v2", "least", "edge"])
-    return pd.DataFrame({"video_id": key[0], "metric": key[1], "block": block}, index=found.index).join(found)
+            out.append((metric, block, "edge" if i in ends else "run", own_frame[first[i]], own_frame[last[i]], length[i], own[first[i], 0], own[first[i], -1], None, int(i > 0)))
+        if len(first) > 2:
+            count = np.bincount(length[1:-1])
+            out += [(metric, block, "length", n, 0, count[n], None, None, None, 0) for n in np.flatnonzero(count).tolist()]
+    return out
 
 
-def metric_readings(interests: DataFrame, videos: DataFrame) -> DataFrame:
-    """(video_id, frame_id, metric, v1, v2, impossible): one row per reading, null readings left out.
+def _block_summaries(batches, size: int):
+    """The summaries of blocks of rows sorted by source, block and frame; a block may lie over several batches."""
+    held: list[pd.DataFrame] = []
+    key = None
+    names = ["video_id", *[x.split()[0] for x in _SUMMARY.split(", ")]]
+
+    def close(out: list) -> None:
+        rows = held[0] if len(held) == 1 else pd.concat(held, ignore_index=True)
+        frame = rows["frame_id"].to_numpy()
+        x, y, a, off = (rows[c].to_numpy(dtype=float) for c in ("x", "y", "a", "off"))
+        off = off.astype(int)
+        for metric, ok, values in (("poi", ~np.isnan(x) & ~np.isnan(y) & (off & 1 == 0), (x, y)), ("aoi", ~np.isnan(a) & (off & 2 == 0), (a,))):
+            if ok.any():
+                out += [(key[0], *r) for r in _summarise(metric, int(key[1]), frame[ok], np.column_stack([v[ok] for v in values]), size)]
+
+    for batch in batches:
+        out: list[tuple] = []
+        if len(batch):
+            video, block = batch["video_id"].to_numpy(), batch["block"].to_numpy()
+            cuts = np.flatnonzero((video[1:] != video[:-1]) | (block[1:] != block[:-1])) + 1
+            for lo, hi in zip([0, *cuts], [*cuts, len(batch)]):
+                this = (video[lo], block[lo])
+                if this != key and held:
+                    close(out)
+                    held.clear()
+                key = this
+                held.append(batch.iloc[lo:hi])
+        yield pd.DataFrame(out, columns=names).astype({"first": "Int64", "last": "Int64", "n": "Int64", "edge": "Int32", "block": "Int64"})
+    if held:
+        out = []
+        close(out)
+        yield pd.DataFrame(out, columns=names).astype({"first": "Int64", "last": "Int64", "n": "Int64", "edge": "Int32", "block": "Int64"})
+
+
+def frame_readings(interests: DataFrame, videos: DataFrame) -> DataFrame:
+    """(video_id, frame_id, x, y, a, off): one row per source and frame; ``off`` has bit 1 if the point and bit 2 if the
+    area is impossible. A point with a null coordinate is no reading, nor is a null area.
 
     Rows of the same source and frame are read once (the largest, should they differ). A source that
     ``videos`` lacks has no frame size; only NaN, negative coordinates and areas that are not positive are
     impossible there.
     """
     one = (
-        interests.select("video_id", "frame_id", "poi_x", "poi_y", "aoi")
+        interests.select("video_id", F.col("frame_id").cast("long").alias("frame_id"), "poi_x", "poi_y", "aoi")
         .where(F.col("video_id").isNotNull() & F.col("frame_id").isNotNull())
         .groupBy("video_id", "frame_id")
         .agg(F.max(F.struct("poi_x", "poi_y", "aoi")).alias("r"))
     )
     size = videos.groupBy("video_id").agg(F.max("width").cast("double").alias("w"), F.max("height").cast("double").alias("h"))
     x, y, a, w, h = F.col("r.poi_x"), F.col("r.poi_y"), F.col("r.aoi"), F.col("w"), F.col("h")
-    off = lambda v, top: F.isnan(v) | (v < 0) | F.coalesce(v > top, F.lit(False))
-    return (
-        one.join(size, "video_id", "left")
-        .select(
-            "video_id",
-            F.col("frame_id").cast("long").alias("frame_id"),
-            F.explode(
-                F.array(
-                    F.struct(F.lit("poi").alias("metric"), x.alias("v1"), y.alias("v2"), (off(x, w) | off(y, h)).alias("impossible")),
-                    F.struct(F.lit("aoi").alias("metric"), a.alias("v1"), F.lit(0.0).alias("v2"), (F.isnan(a) | (a <= 0) | F.coalesce(a > w * h, F.lit(False))).alias("impossible")),
-                )
-            ).alias("m"),
-        )
-        .select("video_id", "frame_id", "m.*")
-        .where("v1 is not null and v2 is not null")
-    )
+    beyond = lambda v, top: F.isnan(v) | (v < 0) | F.coalesce(v > top, F.lit(False))
+    point = x.isNotNull() & y.isNotNull() & (beyond(x, w) | beyond(y, h))
+    size_off = a.isNotNull() & (F.isnan(a) | (a <= 0) | F.coalesce(a > w * h, F.lit(False)))
+    off = point.cast("int") + size_off.cast("int") * 2
+    return one.join(size, "video_id", "left").select("video_id", "frame_id", x.alias("x"), y.alias("y"), a.alias("a"), off.alias("off"))
 
 
 def _source_limits(summary: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -271,17 +301,19 @@ def implausible_readings(interests: DataFrame, videos: DataFrame) -> DataFrame:
 
     ``impossible`` goes before ``stuck`` and ``stuck`` before ``spike``. Null readings, null keys and repeated
     rows give nothing; an empty table gives an empty result; other columns of the inputs are ignored. A source
-    with fewer than TREND_WINDOW readings has no spikes; a source whose readings never differ has no normal
+    with fewer than TREND_WINDOW readings in a block and its halo has no spikes there; a source whose readings never differ has no normal
     hold, hence no stuck run.
     """
-    readings = cut(metric_readings(interests, videos))
-    valid = readings.where("not impossible").drop("impossible")
+    readings = cut(frame_readings(interests, videos))
     block = F.expr(f"frame_id div {BLOCK}")
-    with_halo = valid.withColumn(
+    with_halo = readings.withColumn(
         "block",
         F.explode(F.array_distinct(F.expr(f"array(frame_id div {BLOCK}, greatest(frame_id - {HALO}, 0) div {BLOCK}, (frame_id + {HALO}) div {BLOCK})"))),
     )
-    summary = cut(with_halo.groupBy("video_id", "metric", "block").applyInPandas(_summarise, f"video_id {dict(valid.dtypes)['video_id']}, metric string, block long, {_SUMMARY}"))
+    n = int(interests.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ordered = with_halo.repartition(n, "video_id", "block").sortWithinPartitions("video_id", "block", "frame_id")
+    size = BLOCK
+    summary = cut(ordered.mapInPandas(lambda batches: _block_summaries(batches, size), f"video_id {dict(readings.dtypes)['video_id']}, {_SUMMARY}"))
     usual, stuck = _source_limits(summary)
     spikes = (
         summary.where("what = 'spike'")
@@ -290,11 +322,13 @@ def implausible_readings(interests: DataFrame, videos: DataFrame) -> DataFrame:
         .select("video_id", "metric", "first", "last")
     )
     ranges = _by_block(stuck.withColumn("kind", F.lit("stuck")).unionByName(spikes.withColumn("kind", F.lit("spike"))))
+    read = F.expr("case metric when 'poi' then x is not null and y is not null and off % 2 = 0 else a is not null and off < 2 end")
     hits = (
-        valid.withColumn("block", block)
-        .join(ranges, ["video_id", "metric", "block"])
-        .where("frame_id between first and last")
+        readings.withColumn("block", block)
+        .join(ranges, ["video_id", "block"])
+        .where(F.col("frame_id").between(F.col("first"), F.col("last")) & read)
         .groupBy("video_id", "frame_id", "metric")
         .agg(F.max("kind").alias("kind"))  # "stuck" sorts after "spike"
     )
-    return readings.where("impossible").select("video_id", "frame_id", "metric", F.lit("impossible").alias("kind")).unionByName(hits)
+    bad = readings.where("off > 0").select("video_id", "frame_id", F.explode(F.expr("filter(array(if(off % 2 = 1, 'poi', null), if(off >= 2, 'aoi', null)), m -> m is not null)")).alias("metric"), F.lit("impossible").alias("kind"))
+    return bad.unionByName(hits)

@@ -53,6 +53,13 @@ def test_blocks_do_not_matter(spark):
     assert {(i, "aoi", "stuck") for i in range(190, 260)} <= whole and (256, "poi", "spike") in whole and (511, "aoi", "spike") in whole
 
 
+def test_sparse_sources(spark):
+    """Readings in every third frame only: steps are those of the source's own spacing."""
+    v = [r if i % 3 == 0 else None for i, r in enumerate(np.repeat(series(300, 4), 3, axis=0).tolist())]
+    v[300] = [v[300][0] + 300, *v[300][1:]]
+    assert run(spark, v) == {(300, "poi", "spike")}
+
+
 def test_long_holds_may_be_normal(spark):
     v = np.round(series(900, 3) / 20) * 20
     assert not {k for _, _, k in run(spark, v.tolist())} & {"stuck"}
