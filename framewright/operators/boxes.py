@@ -155,3 +155,12 @@ def artifact_ids(labelled: DataFrame, videos: DataFrame, millis: bool = True) ->
     times = [clock(F.col(c), F.col("fps"), millis) for c in ("start_frame", "end_frame")]
     parts = [F.array("video_name", *times), "labels"] if millis else [F.array("video_name", *times)]
     return labelled.join(v, "video_id").select("video_id", "section_id", F.array_join(F.concat(*parts), "_").alias("artifact_id"))
+
+
+def from_predictions(predictions: DataFrame) -> DataFrame:
+    """Boxes of a detector's output, (video_id, frame_id, predictions) with an array of (bbox, score, category) structs,
+    ``bbox`` being x1, y1, x2, y2: one row each, in the order of the array, without a cluster (-1). Frames with a null or
+    empty array have no rows."""
+    each = predictions.select("video_id", "frame_id", F.posexplode("predictions").alias("det_ord", "p"))
+    at = lambda i: F.get("p.bbox", F.lit(i)).cast("double")
+    return each.select("video_id", "frame_id", "det_ord", at(0).alias("x1"), at(1).alias("y1"), at(2).alias("x2"), at(3).alias("y2"), F.coalesce(F.col("p.score").cast("double"), F.lit(0.0)).alias("confidence"), F.coalesce(F.col("p.category").cast("int"), F.lit(0)).alias("class_id"), F.lit(-1).alias("cluster_id"))

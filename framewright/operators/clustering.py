@@ -56,15 +56,16 @@ def dbscan(points: np.ndarray, eps: float, min_samples: int) -> np.ndarray:
     return label
 
 
-def section_features(boxes: DataFrame, videos: DataFrame) -> DataFrame:
-    """The boxes with centers and sizes as shares of the picture (fx, fy, fw, fh) and ``ft``, the frame scaled to
-    the range of the section's boxes (0 if they are of one frame) times TEMPORAL_FACTOR."""
+def section_features(boxes: DataFrame, videos: DataFrame, temporal: float = TEMPORAL_FACTOR, spatial: float = 1.0) -> DataFrame:
+    """The boxes with centers and sizes as shares of the picture (fx, fy, fw, fh) times ``spatial`` and ``ft``, the frame
+    scaled to the range of the section's boxes (0 if they are of one frame) times ``temporal``."""
     span = boxes.groupBy("video_id", "section_id").agg(F.min("frame_id").alias("lo"), F.max("frame_id").alias("hi"))
     rows = boxes.join(span, ["video_id", "section_id"]).join(videos.select("video_id", "width", "height"), "video_id")
-    ft = F.when(F.col("hi") > F.col("lo"), (F.col("frame_id") - F.col("lo")) / (F.col("hi") - F.col("lo"))).otherwise(0.0) * TEMPORAL_FACTOR
+    ft = F.when(F.col("hi") > F.col("lo"), (F.col("frame_id") - F.col("lo")) / (F.col("hi") - F.col("lo"))).otherwise(0.0) * temporal
+    part = lambda value, side, name: (value / F.col(side) if spatial == 1 else value / F.col(side) * spatial).alias(name)
     return rows.select(
-        *boxes.columns, (center_x() / F.col("width")).alias("fx"), (center_y() / F.col("height")).alias("fy"),
-        ((F.col("x2") - F.col("x1")) / F.col("width")).alias("fw"), ((F.col("y2") - F.col("y1")) / F.col("height")).alias("fh"), ft.alias("ft"),
+        *boxes.columns, part(center_x(), "width", "fx"), part(center_y(), "height", "fy"),
+        part(F.col("x2") - F.col("x1"), "width", "fw"), part(F.col("y2") - F.col("y1"), "height", "fh"), ft.alias("ft"),
     )
 
 
@@ -80,10 +81,10 @@ def section_features_v1(boxes: DataFrame) -> DataFrame:
     return joined.select("det_id", *z, F.round(ft, 6).alias("ft"))
 
 
-def cluster_sections(boxes: DataFrame, videos: DataFrame, eps: float = PLAY_EPS, min_samples: int = PLAY_SAMPLES) -> DataFrame:
+def cluster_sections(boxes: DataFrame, videos: DataFrame, eps: float = PLAY_EPS, min_samples: int = PLAY_SAMPLES, temporal: float = TEMPORAL_FACTOR, spatial: float = 1.0) -> DataFrame:
     """(det_id, video_id, section_id, label): ``play`` clustering. A section spans few seconds, so a group is small."""
     columns = ["fx", "fy", "fw", "fh", "ft"]
-    features = section_features(boxes, videos).select("det_id", "video_id", "section_id", "frame_id", "det_ord", *columns)
+    features = section_features(boxes, videos, temporal, spatial).select("det_id", "video_id", "section_id", "frame_id", "det_ord", *columns)
 
     def cluster(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["frame_id", "det_ord", "det_id"], kind="stable")
@@ -178,3 +179,11 @@ def suppress_tiles(boxes: DataFrame, threshold: float = 0.5) -> DataFrame:
             yield pd.DataFrame({"det_id": ids_out, "kept_by": by_out}, dtype="int64")
 
     return packed.mapInPandas(merge, "det_id long, kept_by long")
+
+
+def merge_tiles(boxes: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """(det_id, video_id, frame_id, x1, y1, x2, y2, confidence, class_id, n_merged): each kept box of ``suppress_tiles``
+    as the box around all that were merged into it, with their greatest confidence."""
+    kept = boxes.join(suppress_tiles(boxes, threshold), "det_id")
+    around = [f(c).alias(c) for c, f in (("x1", F.min), ("y1", F.min), ("x2", F.max), ("y2", F.max), ("confidence", F.max), ("class_id", F.min))]
+    return kept.groupBy(F.col("kept_by").alias("det_id"), "video_id", "frame_id").agg(*around, F.count("*").alias("n_merged"))

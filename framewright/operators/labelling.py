@@ -20,20 +20,26 @@ def answer_text(vendor: Column, body: Column) -> Column:
     return F.when(F.try_parse_json(body).isNotNull(), by_shape)
 
 
-def with_labels(rows: DataFrame, text: str, key: str = "primary") -> DataFrame:
-    """``rows`` with ``labels``, a map label -> whether it is primary, from the first '[' to the first ']' of a text:
-    an array of objects with id and ``key``. Null if that is no such array; of repeated ids the last wins.
+ANSWER_KEYS = ("primary", "focus")  #: keys under which answers have said that an area matters, the first that is there counts
+
+
+def with_labels(rows: DataFrame, text: str, keys: tuple[str, ...] = ANSWER_KEYS) -> DataFrame:
+    """``rows`` with ``labels``, a map label -> whether it is primary, and ``places``, the labels in the order of the
+    answer, from the first '[' to the first ']' of a text: an array of objects with id and one of ``keys``. Null if
+    that is no such array; of repeated ids the last value wins, at the place of the first.
 
     Each step is a column of its own, so that nothing is parsed twice.
     """
     opens, closes = F.instr(text, "["), F.instr(text, "]")
     found = rows.withColumn("_cut", F.when((opens > 0) & (closes > opens), F.substr(text, opens, closes - opens + 1)))
-    found = found.withColumn("_items", F.when(F.try_parse_json("_cut").isNotNull(), F.from_json("_cut", f"array<struct<id:string,{key}:boolean>>", {"mode": "PERMISSIVE"})))
-    usable = F.forall("_items", lambda x: x["id"].isNotNull() & x[key].isNotNull())
-    last_first = F.reverse(F.transform("_items", lambda x: F.struct(F.upper(F.trim(x["id"])).alias("label"), x[key].alias("value"))))
-    found = found.withColumn("_last_first", F.when(usable, last_first)).withColumn("_labels", F.array_distinct("_last_first.label"))
-    values = F.transform("_labels", lambda label: F.get(F.col("_last_first.value"), (F.array_position("_last_first.label", label) - 1).cast("int")))
-    return found.withColumn("labels", F.map_from_arrays("_labels", values)).drop("_cut", "_items", "_last_first", "_labels")
+    fields = ",".join(f"{k}:boolean" for k in keys)
+    found = found.withColumn("_items", F.when(F.try_parse_json("_cut").isNotNull(), F.from_json("_cut", f"array<struct<id:string,{fields}>>", {"mode": "PERMISSIVE"})))
+    value = lambda x: F.coalesce(*[x[k] for k in keys])
+    usable = F.forall("_items", lambda x: x["id"].isNotNull() & value(x).isNotNull())
+    in_order = F.transform("_items", lambda x: F.struct(F.upper(F.trim(x["id"])).alias("label"), value(x).alias("value")))
+    found = found.withColumn("_pairs", F.when(usable, in_order)).withColumn("_back", F.reverse("_pairs")).withColumn("places", F.array_distinct("_pairs.label"))
+    values = F.transform("places", lambda label: F.get(F.col("_back.value"), (F.array_position("_back.label", label) - 1).cast("int")))
+    return found.withColumn("labels", F.map_from_arrays("places", values)).drop("_cut", "_items", "_pairs", "_back")
 
 
 def distinct_responses(responses: DataFrame) -> DataFrame:
@@ -42,9 +48,9 @@ def distinct_responses(responses: DataFrame) -> DataFrame:
 
 
 def parsed_responses(responses: DataFrame) -> DataFrame:
-    """(response_id, artifact_id, labels): the label map of each response, null where there is none."""
+    """(response_id, artifact_id, labels, places): the label map of each response and its order, null where there is none."""
     texts = distinct_responses(responses).select("response_id", "artifact_id", answer_text(F.col("vendor"), F.col("body")).alias("text"))
-    return with_labels(texts, "text").select("response_id", "artifact_id", "labels")
+    return with_labels(texts, "text").select("response_id", "artifact_id", "labels", "places")
 
 
 def _exploded(parsed: DataFrame, key: str) -> DataFrame:
@@ -64,6 +70,14 @@ def latest_labels(responses: DataFrame) -> DataFrame:
     return _exploded(parsed_responses(responses).groupBy("artifact_id").agg(F.max_by("labels", known).alias("labels")), "artifact_id")
 
 
+def latest_places(responses: DataFrame) -> DataFrame:
+    """As ``latest_labels``, with ``place``, the label's position in the answer from 0."""
+    known = F.when(F.col("labels").isNotNull(), F.col("response_id"))
+    last = parsed_responses(responses).groupBy("artifact_id").agg(F.max_by(F.struct("labels", "places"), known).alias("r"))
+    placed = last.select("artifact_id", F.col("r.labels").alias("labels"), F.posexplode_outer("r.places").alias("place", "label")).where("label is not null")
+    return placed.select("artifact_id", "label", F.element_at("labels", F.col("label")).alias("is_primary"), "place")
+
+
 def cache_misses(artifacts: DataFrame, responses: DataFrame) -> DataFrame:
     """The artifacts without any response whose body is not null: those to be asked (again)."""
     return artifacts.select("artifact_id").distinct().join(responses.where("body is not null").select("artifact_id"), "artifact_id", "left_anti")
@@ -122,6 +136,6 @@ def letter_bias(labels: DataFrame) -> DataFrame:
 def color_bias(labels: DataFrame, prompts: DataFrame) -> DataFrame:
     """(color_name, n_primary, n_secondary): labels joined with the color their prompt gives them."""
     line = F.explode(F.split("prompt", "\n")).alias("line")
-    m = r"^([A-Z]), ([A-Za-z]+)$"
-    given = prompts.select("response_id", line).where(F.col("line").rlike(m)).select("response_id", F.regexp_extract("line", m, 1).alias("label"), F.regexp_extract("line", m, 2).alias("color_name")).distinct()
+    m = r"^([A-Z]), (\p{L}.*)$"  # a color may have several words
+    given = prompts.select("response_id", line).where(F.col("line").rlike(m)).select("response_id", F.regexp_extract("line", m, 1).alias("label"), F.trim(F.regexp_extract("line", m, 2)).alias("color_name")).distinct()
     return labels.join(given, ["response_id", "label"]).groupBy("color_name").agg(F.count_if("is_primary").alias("n_primary"), F.count_if(~F.col("is_primary")).alias("n_secondary"))

@@ -153,11 +153,14 @@ def flat_tables(records: DataFrame, id_column: str, json_column: str) -> DataFra
 
 
 def objects(bridge: DataFrame) -> DataFrame:
-    """(object_id, kind, canonical, n_places): each distinct object of a kind once.
+    """(object_id, form, canonical, n_places): each distinct object and array once, wherever and under whatever keys it
+    stands; places, keys (``kind``) and ordinals are on the bridge. Of a bridge with ``every``, each '#hash' in a canonical
+    form is the id of another row, so any record can be rebuilt from its root.
 
     Counting before the shuffle keeps an object that fills a third of all places from weighing on one task.
     """
-    return bridge.groupBy("object_id", "kind", "canonical").agg(F.count("*").alias("n_places"))
+    form = F.when(F.startswith("canonical", F.lit("[")), "array").otherwise("object")
+    return bridge.groupBy("object_id", form.alias("form"), "canonical").agg(F.count("*").alias("n_places"))
 
 
 def nested_places(responses: DataFrame) -> DataFrame:

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import hashlib
+import random
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -51,11 +53,37 @@ def colored_clusters(stats: DataFrame, palette: DataFrame) -> DataFrame:
     return turns.join(F.broadcast(palette.select("idx", "color_name")), "idx").drop("idx", "place")
 
 
-def shuffled_palette(palette: DataFrame, image: bytes) -> DataFrame:
-    """The palette in an order that hangs on an image's bytes only: by the hash of the image and the color."""
-    digest = hashlib.sha256(image).hexdigest()
-    order = F.row_number().over(Window.orderBy(F.sha2(F.concat(F.lit(digest), F.col("idx").cast("string")), 256))) - 1
-    return palette.limit(1000).withColumn("idx", order.cast("int"))
+def palette_order(n: int, image: bytes, clusters: list[int]) -> list[int]:
+    """The order of ``n`` colors that hangs on an image's bytes and a section's clusters: a shuffle by the standard
+    generator, seeded with the SHA-256 of the image and the cluster ids modulo 256, modulo 2^32."""
+    digest = hashlib.sha256(image + bytes(c % 256 for c in clusters)).hexdigest()
+    order = list(range(n))
+    random.Random(int(digest, 16) % 2**32).shuffle(order)
+    return order
+
+
+def shuffled_colors(stats: DataFrame, palette: DataFrame, images: DataFrame) -> DataFrame:
+    """The clusters of each section with a color in turn from the palette as its image shuffles it.
+
+    ``images`` is (video_id, section_id, image), the first picture of a section; sections without one get the plain
+    order. The palette's size is checked (``palette_size``); its colors count by their ``idx``.
+    """
+    n = palette_size(palette)
+    own = stats.groupBy("video_id", "section_id").agg(F.array_sort(F.collect_set("cluster_id")).alias("clusters")).join(images, ["video_id", "section_id"], "left")
+    turns = "video_id int, section_id long, cluster_id int, place int"
+
+    def shuffle(batches):
+        for batch in batches:
+            out = []
+            for video, section, clusters, image in zip(batch["video_id"], batch["section_id"], batch["clusters"], batch["image"]):
+                ids = [int(c) for c in clusters]
+                order = palette_order(n, bytes(image), ids) if isinstance(image, (bytes, bytearray)) else list(range(n))
+                out += [(video, section, c, order[i % n]) for i, c in enumerate(ids)]
+            yield pd.DataFrame(out, columns=["video_id", "section_id", "cluster_id", "place"])
+
+    ranked = palette.select("color_name", (F.row_number().over(Window.orderBy("idx")) - 1).alias("place"))  # palette_size bounds it
+    turned = own.select("video_id", "section_id", "clusters", "image").mapInPandas(shuffle, turns)
+    return stats.join(turned, CLUSTER).join(F.broadcast(ranked), "place").drop("place")
 
 
 def palette_size(palette: DataFrame, limit: int = 1000) -> int:
@@ -66,11 +94,31 @@ def palette_size(palette: DataFrame, limit: int = 1000) -> int:
     return n
 
 
-def metadata_text(colored: DataFrame) -> DataFrame:
-    """(video_id, section_id, text): a header and one line per cluster, by label."""
-    line = F.struct("cluster_id", F.concat_ws(", ", "box_label", "color_name").alias("line"))
-    lines = F.transform(F.array_sort(F.collect_list(line)), lambda x: x["line"])
-    return colored.groupBy("video_id", "section_id").agg(F.concat_ws("\n", F.concat(F.array(F.lit("id, color")), lines)).alias("text"))
+METADATA_HEADS = {
+    "v1": "id, centroid x, centroid y, mean detection (square pixels), cluster size, start time, end time, color",
+    "v2": "id, cluster size, start time, end time, color",
+    "v3": "id, color",
+}  #: fixed values: the header lines of the three forms
+
+
+def metadata_text(colored: DataFrame, version: str = "v3") -> DataFrame:
+    """(video_id, section_id, text): a header and the lines of each cluster, by label.
+
+    ``v3`` has one short line, ``v1`` one with the cluster's statistics, ``v2`` a line of sizes and times and then
+    that of ``v1``, as it always wrote. Ties are rounded up, so that they do not hang on the order of a sum.
+    """
+    time = lambda ms: F.format_string("00:%02d.%03d", F.floor(F.col(ms) / 1000), F.col(ms) % 1000)
+    nearest = lambda c, parts: F.floor((F.col(c) + 1e-9) * parts + 0.5)
+    short = F.concat_ws(", ", "box_label", "color_name")
+    lines = [short]
+    if version != "v3":
+        times = [time("start_ms"), time("end_ms"), F.col("color_name")]
+        size = F.col("cluster_size").cast("string")
+        full = F.concat_ws(", ", "box_label", nearest("centroid_x", 1).cast("string"), nearest("centroid_y", 1).cast("string"), F.format_string("%.2fsp", nearest("median_size", 100) / 100), size, *times)
+        lines = [full] if version == "v1" else [F.concat_ws(", ", "box_label", size, *times), full]
+    line = F.struct("cluster_id", F.concat_ws("\n", *lines).alias("line"))
+    sorted_lines = F.transform(F.array_sort(F.collect_list(line)), lambda x: x["line"])
+    return colored.groupBy("video_id", "section_id").agg(F.concat_ws("\n", F.concat(F.array(F.lit(METADATA_HEADS[version])), sorted_lines)).alias("text"))
 
 
 def interval_overlaps(stats: DataFrame) -> DataFrame:

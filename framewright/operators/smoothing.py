@@ -65,7 +65,7 @@ def smooth(series: DataFrame, key: str, columns: list[str], kernel: np.ndarray,
             v = np.trunc(v) if whole_numbers else v
             line = np.where(have[at] == needed, v[at], 0.0)
             y = np.convolve(line, kernel[::-1], mode="valid")
-            out[c] = np.trunc(y) if whole_numbers else y
+            out[c] = np.trunc(y + 1e-9) if whole_numbers else y  # weights that add up to a little less than 1 cut no whole value
         return pd.DataFrame(out)
 
     kinds = dict(series.dtypes)

@@ -1,8 +1,8 @@
 """Sequential per-video folds over frames: greedy choice, interest track, heat map, Kalman track, headings.
 
 A fold's input is repartitioned by video and sorted by frame, and runs as a generator over batches of rows, so a
-video of any length passes through a task without being held in it (the Kalman smoother, which runs backwards,
-holds a segment).
+video of any length passes through a task without being held in it (the Kalman smoother reads the filter's written
+estimates backwards in the same way).
 """
 
 from __future__ import annotations
@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from framewright.session import cut
+
 CHUNK_FRAMES, OVERLAP_FRAMES = 64, 16
 PLACEHOLDER = (960.0, 540.0)
 PLACEHOLDER_AREA = 100.0
@@ -145,7 +147,7 @@ def chunk_bounds(packed: DataFrame) -> DataFrame:
     return fold(packed, step, "video_id int, chunk_no int, first long, end long")
 
 
-def _smoothed_chunks(packed: DataFrame, values: int, whole: bool, schema: str) -> DataFrame:
+def _smoothed_chunks(packed: DataFrame, values: int, whole: bool, schema: str, placeholder: tuple[float, float], placeholder_area: float) -> DataFrame:
     def step():
         tail: list[np.ndarray] = []
         chunk: list[tuple] = []
@@ -161,7 +163,7 @@ def _smoothed_chunks(packed: DataFrame, values: int, whole: bool, schema: str) -
                     rows.append(np.array([*last, size][:values]))
                     weight.append(1.0)
                 else:
-                    rows.append(np.array([*PLACEHOLDER, PLACEHOLDER_AREA][:values]))
+                    rows.append(np.array([*placeholder, placeholder_area][:values]))
                     weight.append(EMPTY_WEIGHT)
             y, w = np.array(rows), np.array(weight)
             smooth = np.column_stack([linear_spline(y[:, c], w, float(len(w))) for c in range(values)])[len(start) :]
@@ -181,90 +183,106 @@ def _smoothed_chunks(packed: DataFrame, values: int, whole: bool, schema: str) -
     return fold(packed, step, schema)
 
 
-def interest_track(packed: DataFrame) -> DataFrame:
+def interest_track(packed: DataFrame, placeholder: tuple[float, float] = PLACEHOLDER, placeholder_area: float = PLACEHOLDER_AREA) -> DataFrame:
     """(video_id, frame_id, poi_x, poi_y, aoi) in whole numbers: chosen boxes smoothed chunk by chunk.
 
     A chunk (see ``chunk_bounds``) is smoothed together with the last OVERLAP_FRAMES smoothed values before it;
     frames without boxes enter as a placeholder of almost no weight. The first choice of a chunk starts from the
     last smoothed point.
     """
-    return _smoothed_chunks(packed, 3, True, "video_id int, frame_id long, poi_x long, poi_y long, aoi long")
+    return _smoothed_chunks(packed, 3, True, "video_id int, frame_id long, poi_x long, poi_y long, aoi long", placeholder, placeholder_area)
 
 
-def spline_track(packed: DataFrame) -> DataFrame:
+def spline_track(packed: DataFrame, placeholder: tuple[float, float] = PLACEHOLDER) -> DataFrame:
     """(video_id, frame_id, poi_x, poi_y): as ``interest_track``, without the area and with fractions."""
-    return _smoothed_chunks(packed, 2, False, "video_id int, frame_id long, poi_x double, poi_y double")
+    return _smoothed_chunks(packed, 2, False, "video_id int, frame_id long, poi_x double, poi_y double", placeholder, PLACEHOLDER_AREA)
+
+
+def _bell(cx: float, cy: float, reach: float, pad: float, x: np.ndarray, y: np.ndarray, rate: int) -> np.ndarray:
+    """A Gaussian of ``rate`` around a point, the product of one along each axis."""
+    spread = 2 * (pad / 3.5) ** 2
+    return np.outer(np.exp(-((y - cy) ** 2) / spread), rate * np.exp(-((x - cx) ** 2) / spread)).astype(np.uint16)
+
+
+def _disc(cx: float, cy: float, reach: float, pad: float, x: np.ndarray, y: np.ndarray, rate: int) -> np.ndarray:
+    """``rate`` within a circle around the middle of the stamped window."""
+    inside = np.add.outer((y - y[0] - len(y) // 2) ** 2, (x - x[0] - len(x) // 2) ** 2) <= int(reach) ** 2
+    return inside.astype(np.uint16) * np.uint16(rate)
+
+
+STAMPS = {"bell": _bell, "disc": _disc}
 
 
-def heatmap_track(packed: DataFrame, width: int = 1920, height: int = 1440, scale: float = 1.0, influence: float = 400.0, resolution: int = 1024, rate: int = 256, attack: int = 4) -> DataFrame:
-    """(video_id, frame_id, x, y, value): the hottest cell of a decaying heat map, first in row order of equals.
+def heatmap_track(packed: DataFrame, width: int = 1920, height: int = 1440, influence: float = 400.0, levels: int = 1024, rate: int = 256, attack: int = 4, stamp: str = "bell") -> DataFrame:
+    """(video_id, frame_id, x, y, value): the hottest pixel of a decaying heat map, first in row order of equals.
 
-    The map has cells of ``scale`` pixels. Each frame it decays by v - (v / (resolution - 1))^attack * rate and
-    every box adds a Gaussian of ``rate``; an all-cold map keeps the last point, at first the middle. Only the
-    rectangle around all stamps since the map was last cold is decayed and searched.
+    Each frame the map decays by v - (v / (levels - 1))^attack * rate, and every box stamps a Gaussian (``bell``) or a
+    filled circle (``disc``, as annotations use it with 16 * rate levels) of ``influence`` times the area of its
+    longer side's square. An all-cold map keeps the last point, at first the middle. Only the rectangle around all
+    stamps since the map was last cold is decayed and searched.
     """
-    levels = np.arange(resolution)
-    decay = np.clip(levels - (levels**attack) / ((resolution - 1) ** attack) * rate, 0, resolution - 1).astype(np.uint16)
+    value = np.arange(levels)
+    decayed = np.clip(value - value**attack / (levels - 1) ** attack * rate, 0, levels - 1).astype(np.uint16)
+    draw = STAMPS[stamp]
+
+    def window(x1, y1, x2, y2):
+        side, cx, cy = max(x2 - x1, y2 - y1), (x1 + x2) / 2, (y1 + y2) / 2
+        pad = side * (influence**0.5 - 1) / 2
+        reach = side / 2 + pad
+        x = np.arange(int(max(cx - reach, 0)), int(min(cx + reach, width)))
+        y = np.arange(int(max(cy - reach, 0)), int(min(cy + reach, height)))
+        return (x, y, draw(cx, cy, reach, pad, x, y, rate)) if pad > 0 and len(x) and len(y) else None
 
     def step():
         heat = np.zeros((height, width), np.uint16)
-        point = [(width // 2, height // 2)]
-        warm = [width, height, 0, 0]
+        state = {"point": (width // 2, height // 2), "warm": None}  # warm: left, top, right, bottom
 
         def advance(frame, boxes):
             if frame is None:
                 return []
-            part = heat[warm[1] : warm[3], warm[0] : warm[2]]
-            part[:] = decay[part]
-            for x1, y1, x2, y2 in boxes / scale:
-                side = max(x2 - x1, y2 - y1)
-                cx, cy = (x1 + x2) / 2, (y1 + y2) / 2
-                pad = side * (influence**0.5 - 1) / 2
-                reach = side / 2 + pad
-                l, t, r, b = int(max(cx - reach, 0)), int(max(cy - reach, 0)), int(min(cx + reach, width)), int(min(cy + reach, height))
-                if pad <= 0 or r <= l or b <= t:
-                    continue
-                sigma = pad / 3.5
-                gx = np.exp(-((np.arange(l, r) - cx) ** 2) / (2 * sigma**2))
-                gy = np.exp(-((np.arange(t, b) - cy) ** 2) / (2 * sigma**2))
-                heat[t:b, l:r] += (gy[:, None] * gx * rate).astype(np.uint16)
-                warm[:] = min(warm[0], l), min(warm[1], t), max(warm[2], r), max(warm[3], b)
-            part = heat[warm[1] : warm[3], warm[0] : warm[2]]
-            value = 0
-            if part.size:
-                np.clip(part, 0, resolution - 1, part)
-                row, col = divmod(int(np.argmax(part)), part.shape[1])
-                value = int(part[row, col])
-            if value:
-                point[0] = (warm[0] + col, warm[1] + row)
-            else:
-                warm[:] = width, height, 0, 0
-            return [(frame, point[0][0], point[0][1], value)]
+            if state["warm"]:
+                left, top, right, bottom = state["warm"]
+                part = heat[top:bottom, left:right]
+                np.take(decayed, part, out=part)
+            for x, y, stamped in filter(None, (window(*box) for box in boxes)):
+                part = heat[y[0] : y[-1] + 1, x[0] : x[-1] + 1]
+                np.minimum(part + stamped, levels - 1, out=part)
+                old = state["warm"] or (width, height, 0, 0)
+                state["warm"] = (min(old[0], x[0]), min(old[1], y[0]), max(old[2], x[-1] + 1), max(old[3], y[-1] + 1))
+            hottest = 0
+            if state["warm"]:
+                left, top, right, bottom = state["warm"]
+                part = heat[top:bottom, left:right]
+                row, col = divmod(int(part.argmax()), right - left)
+                hottest = int(part[row, col])
+                if hottest:
+                    state["point"] = (int(left + col), int(top + row))
+                else:
+                    state["warm"] = None
+            return [(frame, *state["point"], hottest)]
 
         return advance
 
     return fold(packed, step, "video_id int, frame_id long, x int, y int, value int")
 
 
-def kalman_track(packed: DataFrame, fps: float = 30.0, segment: int = 1000, lag: int = 200) -> DataFrame:
-    """(video_id, frame_id, x, y, vx, vy): positions and speeds by a Kalman filter and a backward smoother.
+def kalman_forward(packed: DataFrame, fps: float = 30.0) -> DataFrame:
+    """(video_id, frame_id, state, spread): the filter's estimate (x, y and their speeds) after each frame and its
+    covariance, row by row.
 
     A frame with boxes updates by the one nearest the last estimate, without predicting; a frame without boxes
-    predicts, without updating. The backward pass runs whenever ``segment`` + ``lag`` frames are held and gives out
-    all but the last ``lag``, so memory is constant; a video of up to that length is smoothed as a whole.
+    predicts, without updating.
     """
-    f = np.eye(4)
-    f[0, 2] = f[1, 3] = 1 / fps
-    h, r, q = np.eye(2, 4), np.eye(2) * 0.001, np.eye(4)
+    f, q = _motion(fps)
+    h, r = np.eye(2, 4), np.eye(2) * 0.001
 
     def step():
         x, p, last = np.zeros(4), np.eye(4), None
-        kept: list[tuple] = []
 
         def advance(frame, boxes):
             nonlocal x, p, last
             if frame is None:
-                return smoothed(len(kept))
+                return []
             if len(boxes):
                 z = np.array(nearest(boxes, last)[0])
                 gain = p @ h.T @ np.linalg.inv(h @ p @ h.T + r)
@@ -274,23 +292,44 @@ def kalman_track(packed: DataFrame, fps: float = 30.0, segment: int = 1000, lag:
             else:
                 x, p = f @ x, f @ p @ f.T + q
             last = (x[0], x[1])
-            kept.append((frame, x.copy(), p.copy()))
-            return smoothed(segment) if len(kept) >= segment + lag else []
-
-        def smoothed(n):
-            xs, ps = [k[1] for k in kept], [k[2] for k in kept]
-            for k in range(len(kept) - 2, -1, -1):
-                ahead = f @ ps[k] @ f.T + q
-                gain = ps[k] @ f.T @ np.linalg.inv(ahead)
-                xs[k] = xs[k] + gain @ (xs[k + 1] - f @ xs[k])
-                ps[k] = ps[k] + gain @ (ps[k + 1] - ahead) @ gain.T
-            out = [(k[0], *map(float, v)) for k, v in zip(kept[:n], xs)]
-            del kept[:n]
-            return out
+            return [(frame, x.tolist(), p.ravel().tolist())]
 
         return advance
 
-    return fold(packed, step, "video_id int, frame_id long, x double, y double, vx double, vy double")
+    return fold(packed, step, "video_id int, frame_id long, state array<double>, spread array<double>")
+
+
+def _motion(fps: float) -> tuple[np.ndarray, np.ndarray]:
+    f = np.eye(4)
+    f[0, 2] = f[1, 3] = 1 / fps
+    return f, np.eye(4)
+
+
+def kalman_track(packed: DataFrame, fps: float = 30.0) -> DataFrame:
+    """(video_id, frame_id, x, y, vx, vy): positions and speeds by a Kalman filter and a backward smoother.
+
+    The filter's estimates (``kalman_forward``) are written to the checkpoint folder, and the smoother reads them from
+    a video's last frame to its first, holding the one after it only: exact for videos of any length.
+    """
+    f, q = _motion(fps)
+
+    def smooth(batches):
+        video, after_x, after_p = None, None, None
+        for batch in batches:
+            out = []
+            for v, frame, state, spread in zip(batch["video_id"], batch["frame_id"], batch["state"], batch["spread"]):
+                x, p = np.array(state), np.array(spread).reshape(4, 4)
+                if v == video:
+                    ahead = f @ p @ f.T + q
+                    gain = p @ f.T @ np.linalg.inv(ahead)
+                    x = x + gain @ (after_x - f @ x)
+                    p = p + gain @ (after_p - ahead) @ gain.T
+                video, after_x, after_p = v, x, p
+                out.append((v, frame, *map(float, x)))
+            yield pd.DataFrame(out, columns=["video_id", "frame_id", "x", "y", "vx", "vy"])
+
+    back = cut(kalman_forward(packed, fps)).repartition("video_id").sortWithinPartitions("video_id", F.col("frame_id").desc())
+    return back.mapInPandas(smooth, "video_id int, frame_id long, x double, y double, vx double, vy double")
 
 
 def cluster_headings(boxes: DataFrame) -> DataFrame:

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from framewright.functions.columns import cluster_letter
 from framewright.operators import boxes as B
-from framewright.operators import clustering, crop, sections
+from framewright.operators import clustering, crop, labelling, sections
 from framewright.session import cut
 from framewright.sources.tables import table
 
@@ -36,24 +37,24 @@ def declustered(boxes: DataFrame, videos: DataFrame) -> DataFrame:
 
 
 def relevant_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The whole filter: play clusters per section, noise dropped; sections with several clusters keep the primary
-    ones by their recorded answers (all, where no answer can be read); boxes in zones of earlier sections' last
-    secondary clusters dropped."""
-    from framewright.operators import labelling
+    """The whole filter: play clusters per section, noise dropped; sections with several clusters keep those that
+    their recorded answer does not call secondary (all, where there is no answer that can be read); boxes in zones
+    of earlier sections dropped.
 
+    An answer is that to the section's full artifact id, labels included. A section's zone is that of the secondary
+    cluster which its answer names last; labels that no cluster has are passed over.
+    """
     videos = load(spark, sf_dir, "videos")
     boxes = section_boxes(spark, sf_dir).drop("cluster_id")
-    labelled = cut(boxes.join(clustering.cluster_sections(boxes.withColumn("cluster_id", F.lit(-1)), videos).select("det_id", F.col("label").alias("cluster_id")), "det_id").where("cluster_id <> -1"))
-    crowded = sections.section_overlaps(sections.cluster_stats(labelled)).select("video_id", "section_id")
-    stems = crowded.join(B.sections(load(spark, sf_dir, "frames"), videos), ["video_id", "section_id"]).join(videos.select("video_id", "video_name", "fps"), "video_id")
-    from framewright.functions.columns import clock
-
-    stem = F.concat_ws("_", "video_name", clock(F.col("start_frame"), F.col("fps")), clock(F.col("end_frame"), F.col("fps")))
-    answers = labelling.latest_labels(load(spark, sf_dir, "responses")).withColumn("stem", F.regexp_extract("artifact_id", r"^(.*?_\d\d-\d\d\.\d{3}_\d\d-\d\d\.\d{3})", 1))
-    per_section = stems.select("video_id", "section_id", stem.alias("stem")).join(answers, "stem").groupBy("video_id", "section_id", (F.ascii("label") - 65).alias("cluster_id")).agg(F.max("is_primary").alias("is_primary"))
-    marked = labelled.join(per_section, ["video_id", "section_id", "cluster_id"], "left")
+    play = clustering.cluster_sections(boxes.withColumn("cluster_id", F.lit(-1)), videos).select("det_id", F.col("label").alias("cluster_id"))
+    labelled = cut(boxes.join(play, "det_id").where("cluster_id <> -1"))
+    letters = F.transform(F.array_sort(F.collect_set("cluster_id")), cluster_letter)
+    crowded = labelled.groupBy("video_id", "section_id").agg(letters.alias("labels")).where("size(labels) > 1")
+    ids = B.artifact_ids(crowded.join(B.sections(load(spark, sf_dir, "frames"), videos), ["video_id", "section_id"]), videos)
+    answers = ids.join(labelling.latest_places(load(spark, sf_dir, "responses")), "artifact_id").select("video_id", "section_id", (F.ascii("label") - 65).alias("cluster_id"), "is_primary", "place")
+    marked = labelled.join(answers, ["video_id", "section_id", "cluster_id"], "left")
     secondary = marked.where("not is_primary")
-    last = secondary.groupBy("video_id", "section_id").agg(F.max("cluster_id").alias("cluster_id"))
+    last = secondary.groupBy("video_id", "section_id").agg(F.max_by("cluster_id", "place").alias("cluster_id"))
     zones = sections.zones(secondary.join(last, ["video_id", "section_id", "cluster_id"], "left_semi"))
-    primary = marked.where("is_primary is null or is_primary").drop("is_primary")
+    primary = marked.where("is_primary is null or is_primary").drop("is_primary", "place")
     return sections.outside_earlier_zones(primary, zones)

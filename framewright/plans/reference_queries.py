@@ -90,7 +90,7 @@ def zoom_from_area(spark, d):
 
 
 def crop_window(spark, d):
-    seen = load(spark, d, "interests").where("not isnan(aoi) and not isnan(poi_x) and not isnan(poi_y) and aoi > 0 and poi_x between 0 and 100000 and poi_y between 0 and 100000").distinct()
+    seen = load(spark, d, "interests").distinct()
     return crop.crop_windows(seen.join(load(spark, d, "videos").select("video_id", "width", "height"), "video_id")).drop("zoom")
 
 
@@ -170,6 +170,20 @@ def cluster_metadata_text(spark, d):
     return sections.metadata_text(sections.colored_clusters(_stats(spark, d), load(spark, d, "palette")))
 
 
+def cluster_metadata_text_v1(spark, d):
+    return sections.metadata_text(sections.colored_clusters(_stats(spark, d), load(spark, d, "palette")), "v1")
+
+
+def cluster_metadata_text_v2(spark, d):
+    return sections.metadata_text(sections.colored_clusters(_stats(spark, d), load(spark, d, "palette")), "v2")
+
+
+def shuffled_color(spark, d):
+    """The picture of a section is stood in for by its artifact id, since the tables hold none."""
+    ids = artifact_id(spark, d).select("video_id", "section_id", F.encode("artifact_id", "UTF-8").alias("image"))
+    return sections.shuffled_colors(_stats(spark, d), load(spark, d, "palette"), ids).select("video_id", "section_id", "cluster_id", "color_name")
+
+
 def detection_label(spark, d):
     letter = F.when(F.col("cluster_id") >= 0, F.concat(F.lit(" ["), cluster_letter(F.col("cluster_id")), F.lit("]"))).otherwise("")
     return _boxes(spark, d).select("det_id", F.concat(F.format_string("%.3f", "confidence"), letter).alias("label"))
@@ -319,24 +333,25 @@ def spline_track(spark, d):
 
 
 def tile_merge(spark, d):
-    """Boxes cut into tiles and put back: every box in each tile that holds it, shifted to the tile and back, merged."""
-    videos = load(spark, d, "videos")
-    tiles = crop.tile_boxes(videos.select("width", "height").distinct()).withColumnsRenamed({"x1": "tx1", "y1": "ty1", "x2": "tx2", "y2": "ty2"})
-    held = _distinct(spark, d).join(videos.select("video_id", "width", "height"), "video_id").join(F.broadcast(tiles), ["width", "height"])
-    inside = held.where("x1 >= tx1 and y1 >= ty1 and x2 <= tx2 and y2 <= ty2")
-    local = inside.withColumns({"x1": F.col("x1") - F.col("tx1"), "x2": F.col("x2") - F.col("tx1"), "y1": F.col("y1") - F.col("ty1"), "y2": F.col("y2") - F.col("ty1")})
-    merged = clustering.suppress_tiles(crop.to_image(local, "tx1", "ty1"))
-    return merged.distinct()
+    """Boxes cut into tiles and put back: the part of each box in each tile, shifted to the tile and back, and parts merged
+    into the boxes around them."""
+    held = _distinct(spark, d).join(load(spark, d, "videos").select("video_id", "width", "height"), "video_id")
+    parts = crop.cut_by_tiles(held).withColumn("det_id", F.col("det_id") * 10_000 + F.col("tile_no"))  # a part's own id
+    return _rounded(clustering.merge_tiles(parts), "x1", "y1", "x2", "y2", "confidence")
 
 
 def encoded_labels(spark, d):
-    return _boxes(spark, d).select("cluster_id", F.base64(F.encode(cluster_letter(F.col("cluster_id")), "UTF-8")).alias("encoded"), F.sha2(F.col("cluster_id").cast("string"), 256).alias("digest")).distinct()
+    return _boxes(spark, d).select("cluster_id", F.base64(F.encode(cluster_letter(F.col("cluster_id")), "UTF-8")).alias("encoded"), F.sha2(F.col("cluster_id").cast("string"), 256).alias("digest"), F.md5(F.col("cluster_id").cast("string")).alias("check")).distinct()
 
 
 def heatmap_poi(spark, d):
     return tracking.heatmap_track(_packed(spark, d))
 
 
+def heatmap_disc(spark, d):
+    return tracking.heatmap_track(_packed(spark, d), levels=4096, stamp="disc", influence=4.0)
+
+
 def heatmap_argmax(spark, d):
     """The fullest cell of 100 pixels of each video, the first by row and column of equals."""
     cells = _distinct(spark, d).groupBy("video_id", F.expr("cast((y1 + y2) / 200 as long)").alias("row"), F.expr("cast((x1 + x2) / 200 as long)").alias("col")).agg(F.count("*").alias("n"))
@@ -375,6 +390,6 @@ QUERIES = {
         mask_antijoin, vlm_parse, vlm_join, vlm_cache_miss, parse_ground_truth, score_artifacts, score_overall, letter_bias, color_bias, eps_neighbors, dbscan_play,
         dbscan_static, declustered_boxes, relevant_boxes, merge_clusters, nms_tiles, gaussian_smooth, gaussian_smooth_int, skewed_smooth, joint_smooth, spline_chunks,
         greedy_select, interest_track, heatmap_poi, heatmap_argmax, kalman_track, cluster_heading, label_placement, tile_boxes,
-        stream_section_counts, spline_track, tile_merge, encoded_labels,
+        stream_section_counts, spline_track, tile_merge, encoded_labels, cluster_metadata_text_v1, cluster_metadata_text_v2, shuffled_color, heatmap_disc,
     )
 }

@@ -59,6 +59,41 @@ def read_mask(spark: SparkSession, path: str) -> DataFrame:
     return images.mapInPandas(pixels, "origin string, x int, y int")
 
 
+def find_videos(spark: SparkSession, *places: str, extension: str = ".mp4") -> DataFrame:
+    """(video_id, path) of the files with an extension among the given files and folders, numbered by path. Only names
+    are listed; folders are not entered further, and what does not exist is passed over."""
+    sc = spark.sparkContext
+    paths = []
+    for place in places:
+        p = sc._jvm.org.apache.hadoop.fs.Path(place)
+        fs = p.getFileSystem(sc._jsc.hadoopConfiguration())
+        if fs.exists(p):
+            paths += [s.getPath().toUri().getPath() for s in fs.listStatus(p) if s.isFile()]
+    return spark.createDataFrame(list(enumerate(sorted(x for x in set(paths) if x.endswith(extension)))), "video_id int, path string")
+
+
+PRESENTATION = "artifact_id string, img_idx int, image binary, text string"
+
+
+def save_presentations(presentations: DataFrame, path: str) -> None:
+    """Writes (artifact_id, img_idx, image, text): the pictures of sections in order with their metadata text. Those of
+    an artifact that is there already are replaced at the next reading, which takes the last written."""
+    presentations.select("artifact_id", "img_idx", "image", "text", F.current_timestamp().alias("saved_at")).write.mode("append").parquet(path)
+
+
+def load_presentations(artifacts: DataFrame, path: str) -> DataFrame:
+    """(artifact_id, images, text) of the given artifacts, by their exact ids, the pictures in the order of ``img_idx``;
+    artifacts without a picture or a text are missing, as are all where nothing was saved."""
+    spark = artifacts.sparkSession
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if not p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p):
+        return spark.createDataFrame([], "artifact_id string, images array<binary>, text string")
+    rows = spark.read.parquet(path).join(artifacts.select("artifact_id").distinct(), "artifact_id")
+    last = rows.join(rows.groupBy("artifact_id").agg(F.max("saved_at").alias("saved_at")), ["artifact_id", "saved_at"])
+    shown = last.groupBy("artifact_id").agg(F.array_sort(F.collect_list(F.when(F.col("image").isNotNull(), F.struct("img_idx", "image")))).alias("i"), F.max("text").alias("text"))
+    return shown.where("size(i) > 0 and text is not null").select("artifact_id", F.col("i.image").alias("images"), "text")
+
+
 class FrameArrays(DataSource):
     """``npy_frames``: boxes from NumPy files of one structured array per frame.
 

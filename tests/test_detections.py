@@ -105,15 +105,30 @@ def test_folds_on_awkward_frames(spark):
     assert tracking.greedy_track(packed).count() == some.count()
 
 
-def test_kalman_segments_agree_with_one_pass(spark):
+def test_kalman_is_the_smoother_of_the_whole_video(spark):
     rng = np.random.default_rng(4)
-    frames = spark.createDataFrame([(1, i) for i in range(400)], "video_id int, frame_id long")
-    some = spark.createDataFrame([box(i + 1, i, float(500 + 3 * i + rng.normal()), float(300 + rng.normal())) for i in range(400) if i % 4], BOX)
+    frames = spark.createDataFrame([(1, i) for i in range(2500)], "video_id int, frame_id long")
+    some = spark.createDataFrame([box(i + 1, i, float(500 + 3 * i + rng.normal()), float(300 + rng.normal())) for i in range(2500) if i % 4 and not 900 < i < 1300], BOX)
     packed = tracking.packed_frames(frames, some)
-    track = lambda **k: np.array([[r["x"], r["y"]] for r in tracking.kalman_track(packed, **k).orderBy("frame_id").collect()])
-    whole = track()
-    off = {lag: np.abs(track(segment=100, lag=lag) - whole).max() for lag in (20, 60, 120)}
-    assert len(whole) == 400 and off[20] > off[60] > off[120] and off[120] < 1e-4  # what a segment does not see fades with the lag
+    found = np.array([[r["x"], r["y"], r["vx"], r["vy"]] for r in tracking.kalman_track(packed).orderBy("frame_id").collect()])
+    boxes = {r["frame_id"]: np.asarray(r["boxes"], float).reshape(-1, 4) for r in packed.collect()}
+    f = np.eye(4)
+    f[0, 2] = f[1, 3] = 1 / 30
+    xs, ps, x, p = [], [], np.zeros(4), np.eye(4)
+    for i in range(2500):
+        if len(boxes[i]):
+            z = (boxes[i][0, :2] + boxes[i][0, 2:]) / 2
+            gain = p[:, :2] @ np.linalg.inv(p[:2, :2] + np.eye(2) * 0.001)
+            x, p = x + gain @ (z - x[:2]), p - gain @ p[:2]
+        else:
+            x, p = f @ x, f @ p @ f.T + np.eye(4)
+        xs.append(x)
+        ps.append(p)
+    for i in range(2498, -1, -1):
+        ahead = f @ ps[i] @ f.T + np.eye(4)
+        gain = ps[i] @ f.T @ np.linalg.inv(ahead)
+        xs[i], ps[i] = xs[i] + gain @ (xs[i + 1] - f @ xs[i]), ps[i] + gain @ (ps[i + 1] - ahead) @ gain.T
+    assert np.abs(found - np.array(xs)).max() < 1e-5
 
 
 def test_sections_of_short_videos(spark):
@@ -175,10 +190,44 @@ def test_service_is_asked_for_what_is_missing(spark):
     assert {tuple(r) for r in labelling.ask_missing(artifacts, stored, client, "v").collect()} == {("b", "v", "[]"), ("c", "v", None)}
 
 
-def test_palette_order_hangs_on_the_image(spark):
+def test_palette_order_hangs_on_image_and_clusters(spark):
+    import hashlib
+    import random
+
+    order = sections.palette_order(8, b"x", [0, 1])
+    expected = list(range(8))
+    random.Random(int(hashlib.sha256(b"x" + bytes([0, 1])).hexdigest(), 16) % 2**32).shuffle(expected)
+    assert order == expected != sections.palette_order(8, b"y", [0, 1]) and sections.palette_order(8, b"x", [-1, 2]) != order
     palette = spark.createDataFrame([(i, c) for i, c in enumerate("abcdefgh")], "idx int, color_name string")
-    order = lambda image: [r["color_name"] for r in sections.shuffled_palette(palette, image).orderBy("idx").collect()]
-    assert order(b"x") == order(b"x") != order(b"y") and sorted(order(b"x")) == list("abcdefgh")
+    stats = spark.createDataFrame([(1, 0, 0), (1, 0, 1), (2, 0, 5)], "video_id int, section_id long, cluster_id int")
+    images = spark.createDataFrame([(1, 0, bytearray(b"x"))], "video_id int, section_id long, image binary")
+    found = {tuple(r) for r in sections.shuffled_colors(stats, palette, images).select("video_id", "cluster_id", "color_name").collect()}
+    assert found == {(1, 0, "abcdefgh"[order[0]]), (1, 1, "abcdefgh"[order[1]]), (2, 5, "a")}
+
+
+def test_parts_in_tiles_merge_to_the_whole_box(spark):
+    from framewright.operators import crop
+
+    rows = [(1, 1, 0, 0, 500.0, 100.0, 700.0, 300.0, 0.9, 0, -1, 1920, 1080), (2, 1, 0, 1, 1850.0, 1000.0, 1920.0, 1080.0, 0.4, 1, -1, 1920, 1080), (3, 1, 1, 0, 5.0, 5.0, 9.0, 9.0, 0.5, 0, -1, 300, 200)]
+    df = spark.createDataFrame(rows, BOX + ", width int, height int")
+    parts = crop.cut_by_tiles(df)
+    assert parts.where("det_id = 1").count() == 2 and parts.where("x1 < 0 or y1 < 0 or x2 > width or y2 > height").count() == 0
+    whole = clustering.merge_tiles(parts.withColumn("det_id", F.col("det_id") * 100 + F.col("tile_no")))
+    assert {(r["x1"], r["y1"], r["x2"], r["y2"], r["class_id"]) for r in whole.collect()} == {(500.0, 100.0, 700.0, 300.0, 0), (1850.0, 1000.0, 1920.0, 1080.0, 1), (5.0, 5.0, 9.0, 9.0, 0)}
+
+
+def test_detector_output(spark):
+    rows = [(1, 0, [([1.0, 2.0, 3.0, 4.0], 0.5, 7), ([5.0, 6.0, 7.0, 8.0], None, None)]), (1, 1, []), (1, 2, None)]
+    found = B.from_predictions(spark.createDataFrame(rows, "video_id int, frame_id long, predictions array<struct<bbox:array<double>,score:double,category:int>>"))
+    assert [tuple(r) for r in found.orderBy("det_ord").collect()] == [(1, 0, 0, 1.0, 2.0, 3.0, 4.0, 0.5, 7, -1), (1, 0, 1, 5.0, 6.0, 7.0, 8.0, 0.0, 0, -1)]
+
+
+def test_two_words_of_color(spark):
+    from framewright.operators import labelling
+
+    labels = spark.createDataFrame([(1, "A", True), (1, "B", False)], "response_id long, label string, is_primary boolean")
+    prompts = spark.createDataFrame([(1, "id, color\nA, Dark Green\nB, Sky")], "response_id long, prompt string")
+    assert {tuple(r) for r in labelling.color_bias(labels, prompts).collect()} == {("Dark Green", 1, 0), ("Sky", 0, 1)}
 
 
 def test_labels_of_awkward_answers(spark):
@@ -186,11 +235,12 @@ def test_labels_of_awkward_answers(spark):
 
     texts = {
         1: '```json\n[{"id": " a", "primary": true}, {"id": "A", "primary": false}]\n```', 2: "no list", 3: "] [", 4: None, 5: "[]", 6: '[{"id": "A"}]', 7: '[[{"id": "A", "primary": true}]]',
-        8: '{"areas": [{"id": "B", "primary": true}]}', 9: '[{"id": "A", "primary": "x"}]',
+        8: '{"areas": [{"id": "B", "primary": true}]}', 9: '[{"id": "A", "primary": "x"}]', 10: '{"areas": [{"id": "C", "focus": true, "distance": 2}, {"id": "A", "focus": false}]}',
     }
     df = spark.createDataFrame(list(texts.items()), "i int, t string")
     found = {r["i"]: r["labels"] for r in labelling.with_labels(df, "t").collect()}
-    assert found == {1: {"A": False}, 2: None, 3: None, 4: None, 5: {}, 6: None, 7: None, 8: {"B": True}, 9: None}
+    assert found == {1: {"A": False}, 2: None, 3: None, 4: None, 5: {}, 6: None, 7: None, 8: {"B": True}, 9: None, 10: {"C": True, "A": False}}
+    assert [r["places"] for r in labelling.with_labels(df, "t").where("i = 10").collect()] == [["C", "A"]]
 
 
 def test_heatmap_has_the_pixels_of_the_whole_map(spark):

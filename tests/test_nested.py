@@ -68,3 +68,18 @@ def test_every_hash_can_be_resolved(spark):
     places = {(r["node_path"], r["kind"], r["ordinal"], r["form"]) for r in rows if r["record_id"] == 1}
     assert {("", "", None, "object"), ("usage", "usage", None, "object"), ("choices", "choices", None, "array"), ("choices[0].message.arguments.k[0]", "k", 0, "array")} < places
     assert len(places) == 10 and {r["container_id"] for r in rows} - {None} <= set(stored)
+
+
+def test_records_can_be_rebuilt_from_objects(spark):
+    shared = {"x": [1, {"y": None}], "z": "ü"}
+    bodies = [{"choices": [{"message": shared, "n": 1.5}], "other": shared, "empty": {}, "list": [[], [shared]]}, [shared, 3], {"arguments": json.dumps(shared)}]
+    bridge = nested.occurrences(spark.createDataFrame([(i, json.dumps(b), "x") for i, b in enumerate(bodies)], SCHEMA), "response_id", "body", every=True)
+    stored = nested.objects(bridge).collect()
+    canonical = {r["object_id"]: r["canonical"] for r in stored}
+    assert len(canonical) == len(stored)  # each once, under whatever keys it stands
+
+    def rebuild(object_id):
+        return json.loads(re.sub(r"#([0-9a-f]{32})", lambda m: json.dumps(rebuild(m[1])), canonical[object_id]))
+
+    roots = {r["record_id"]: r["object_id"] for r in bridge.where("container_id is null").collect()}
+    assert [rebuild(roots[i]) for i in range(3)] == [bodies[0], bodies[1], {"arguments": shared}]

@@ -63,3 +63,19 @@ def test_timed_counts_plan(spark, tmp_path):
     query = df.writeStream.format("memory").queryName("timed").outputMode("append").trigger(availableNow=True).start()
     query.awaitTermination()
     assert set(spark.table("timed").columns) == {"video_id", "window", "n_boxes"} and os.path.exists(tmp_path)
+
+
+def test_videos_are_found_by_extension(spark, tmp_path):
+    for name in ("b.mp4", "a.mp4", "c.txt"):
+        (tmp_path / name).write_text("")
+    found = files.find_videos(spark, str(tmp_path), str(tmp_path / "a.mp4"), str(tmp_path / "none")).orderBy("video_id").collect()
+    assert [(r["video_id"], os.path.basename(r["path"])) for r in found] == [(0, "a.mp4"), (1, "b.mp4")]
+
+
+def test_presentations_by_exact_id(spark, tmp_path):
+    rows = [("v_A_B", 1, b"2", "t"), ("v_A_B", 0, b"1", "t"), ("v_A_B_C", 0, b"3", "u"), ("w", 0, None, "t")]
+    place = str(tmp_path / "p")
+    wanted = spark.createDataFrame([("v_A_B",), ("w",), ("v_A_B",)], "artifact_id string")
+    assert files.load_presentations(wanted, place).count() == 0
+    files.save_presentations(spark.createDataFrame(rows, files.PRESENTATION), place)
+    assert [(r["artifact_id"], [bytes(x) for x in r["images"]], r["text"]) for r in files.load_presentations(wanted, place).collect()] == [("v_A_B", [b"1", b"2"], "t")]
