@@ -39,8 +39,8 @@ def test_equal_objects_are_stored_once(spark):
     rows = [(1, '[{"a":1,"b":[{"c":2}]},{"b":[{"c":2}],"a":1}]', ""), (2, '[{"b":[{"c":2}],"a":1}]', "")]
     bridge = nested.occurrences(spark.createDataFrame(rows, SCHEMA), "response_id", "body")
     assert bridge.count() == 6
-    stored = {(r["kind"], r["n_places"]) for r in nested.objects(bridge).collect()}
-    assert stored == {("", 3), ("b", 3)}
+    stored = [(r["form"], r["n_places"]) for r in nested.objects(bridge).collect()]
+    assert stored == [("object", 3)] * 2
     ids = {r["object_id"] for r in bridge.collect()}
     assert {r["parent_id"] for r in bridge.where("kind = 'b'").collect()} < ids
 
