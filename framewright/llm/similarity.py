@@ -19,7 +19,7 @@ from __future__ import annotations
 from functools import reduce
 from itertools import product
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from framewright.operators.graph import components
@@ -150,10 +150,9 @@ def _open_links(pairs: DataFrame, cells: DataFrame, records: DataFrame) -> DataF
         tried = again.join(side("a", children, parent), ["video_id", *[f"a_{p}" for p in parent]]).join(side("b", children, parent), ["video_id", *[f"b_{p}" for p in parent]])
 
 
-def cluster_cells(detections: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+def cluster_cells(records: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """(cells, nodes, links, roots): the occupied cells, the nodes they are merged into, the verified links between
-    nodes and each node's component."""
-    records = box_records(detections)
+    nodes and each node's component, of ``box_records``."""
     cells = cut(cells_of(records))
     nodes = cut(merge_cells(cells))
     judged = cut(candidate_pairs(nodes).withColumn("verdict", _verdict()).where("verdict <> 'apart'"))
@@ -180,7 +179,7 @@ def similarity_groups(detections: DataFrame) -> DataFrame:
     belong to no group; an id that is repeated is listed once; an empty table gives an empty result. Rows find
     their cell by its 64-bit hash within the video; hot cells are split over HOT_SALTS tasks.
     """
-    cells, nodes, _, roots = cluster_cells(detections)
+    cells, nodes, _, roots = cluster_cells(box_records(detections))
     total = cells.agg(F.sum("n")).first()[0] or 0
     hot = cells.where(F.col("n") * HOT_SHARE > total).select("video_id", "cell", F.lit(HOT_SALTS).alias("salts"))
     with_salts = lambda df: df.join(F.broadcast(hot), ["video_id", "cell"], "left").withColumn("salts", F.coalesce("salts", F.lit(1)))
@@ -190,39 +189,73 @@ def similarity_groups(detections: DataFrame) -> DataFrame:
     return salted.join(targets, ["video_id", "cell", "salt"]).where("det_id <> root").select(F.col("root").alias("group_det_id"), "det_id").distinct()
 
 
+def _around(side: DataFrame, other: DataFrame, loose: float) -> DataFrame:
+    """(video_id, root, a, b, pb, away): cells ``b`` of the same component at most ``loose`` tolerances from ``a``, itself
+    left out, with ``b``'s priority and the greatest distance in any number. They meet by their places in a grid of
+    ``loose`` along the first two numbers, so no component is gone through as a whole."""
+    grid = [F.floor(F.col(f"m_{n}") / loose).alias(f"g{i}") for i, n in enumerate(NUMBERS[:2])]
+    near = F.explode(F.array(*[F.struct(*[(F.floor(F.col(f"m_{n}") / loose) + d).alias(f"g{i}") for i, (n, d) in enumerate(zip(NUMBERS[:2], shift))]) for shift in product((-1, 0, 1), repeat=2)])).alias("g")
+    mids = lambda s: F.array(*[f"m_{n}" for n in NUMBERS]).alias(s)
+    asking = side.select("video_id", "root", F.col("det_id").alias("a"), mids("ma"), near).select("video_id", "root", "a", "ma", "g.*")
+    held = other.select("video_id", "root", F.col("det_id").alias("b"), mids("mb"), F.col("priority").alias("pb"), *grid)
+    away = F.array_max(F.zip_with("ma", "mb", lambda x, y: F.abs(x - y)))
+    return asking.join(held, ["video_id", "root", "g0", "g1"]).where("a <> b").withColumn("away", away).where(F.col("away") <= loose).select("video_id", "root", "a", "b", "pb", "away")
+
+
+def _medoids(cells: DataFrame, loose: float) -> DataFrame:
+    """(video_id, root, det_id): the cells that become medoids if, by falling priority, each cell of a component that no
+    medoid is within ``loose`` of becomes one.
+
+    In a round every cell whose priority is above those of all others left around it becomes a medoid, and those
+    around it leave; that picks the same cells as going through them one by one.
+    """
+    key = ["video_id", "root", "det_id"]
+    links = cut(_around(cells, cells, loose).select("video_id", "root", "a", "b", "pb"))
+    left = cut(cells.select(*key, "priority"))
+    found = None
+    while not left.isEmpty():
+        others = links.join(left.select("video_id", "root", F.col("det_id").alias("b")), ["video_id", "root", "b"], "left_semi").groupBy("video_id", "root", F.col("a").alias("det_id")).agg(F.max("pb").alias("best"))
+        new = cut(left.join(others, key, "left").where(F.col("best").isNull() | (F.col("priority") > F.col("best"))).select(*key))
+        found = new if found is None else found.unionByName(new)
+        covered = links.join(new.select("video_id", "root", F.col("det_id").alias("b")), ["video_id", "root", "b"], "left_semi").select("video_id", "root", F.col("a").alias("det_id"))
+        left = cut(left.join(covered.unionByName(new), key, "left_anti"))
+    return found if found is not None else cells.select(*key).limit(0)
+
+
 def group_summary(detections: DataFrame, typical: int = 3, loose: float = 1.0) -> DataFrame:
     """(video_id, group_det_id, medoid_det_id, size, typical): size and most typical members of each group.
 
-    The degree of a cell is the number of rows similar to its own: those of its node and of the nodes linked to
-    that. A group's medoid is its cell of the highest degree (then of the most rows). A group with cells more
-    than ``loose`` tolerances away from the medoid is loose and is split: those cells form groups of their own
-    around the next medoid. The walk is over the cells of a group, not its rows, so a hot group is small; rows
-    are counted with their repetitions. ``typical`` lists the smallest ids of up to so many cells nearest the
-    medoid.
+    The degree of a cell is the number of detections similar to its own: those of its node and of the nodes linked
+    to that. A group's medoid is its cell of the highest degree (then of the most detections, then of the smallest
+    id). A group with cells more than ``loose`` tolerances away from the medoid is loose and is split: those cells
+    form groups of their own around the next medoid; a cell goes to the first medoid within ``loose``. Cells are
+    joined to those around them, no task holds a component. A repeated detection counts once; ``typical`` lists the
+    smallest ids of up to so many cells nearest the medoid. An empty table gives an empty result.
     """
-    cells, nodes, links, roots = cluster_cells(detections)
+    records = cut(box_records(detections).distinct())
+    cells, nodes, links, roots = cluster_cells(records)
     placed = cut(cells.withColumnRenamed("node", "det_id").join(members_of(nodes), ["video_id", "cell"]))
     weight = placed.groupBy("video_id", "node").agg(F.sum("n").alias("rows"))
     both = links.unionAll(links.select("video_id", F.col("b").alias("a"), F.col("a").alias("b")))
     near = both.join(weight.withColumnRenamed("node", "b"), ["video_id", "b"]).groupBy("video_id", F.col("a").alias("node")).agg(F.sum("rows").alias("linked"))
     degree = weight.join(near, ["video_id", "node"], "left").select("video_id", "node", (F.col("rows") + F.coalesce("linked", F.lit(0))).alias("degree"))
     mid = [((F.col(f"lo_{n}") + F.col(f"hi_{n}")) / (2.0 * TOLERANCE[n])).alias(f"m_{n}") for n in NUMBERS]
-    seen = placed.join(roots, ["video_id", "node"]).join(degree, ["video_id", "node"]).select("video_id", "root", "det_id", "n", "degree", *mid)
-
-    def split(rows):
-        import numpy as np
-        import pandas as pd
-
-        rows = rows.sort_values(["degree", "n", "det_id"], ascending=[False, False, True], kind="stable")
-        at, ids, n = rows[[f"m_{x}" for x in NUMBERS]].to_numpy(), rows["det_id"].to_numpy(), rows["n"].to_numpy()
-        left, out = np.ones(len(rows), bool), []
-        while left.any():
-            medoid = int(np.argmax(left))
-            away = np.abs(at - at[medoid]).max(axis=1)
-            own = np.flatnonzero(left & (away <= loose))
-            left[own] = False
-            nearest = own[np.argsort(away[own], kind="stable")][:typical]
-            out.append((rows["video_id"].iloc[0], int(ids[own].min()), int(ids[medoid]), int(n[own].sum()), ids[nearest].tolist()))
-        return pd.DataFrame(out, columns=["video_id", "group_det_id", "medoid_det_id", "size", "typical"])
-
-    return seen.groupBy("video_id", "root").applyInPandas(lambda rows: split(rows), f"video_id {dict(seen.dtypes)['video_id']}, group_det_id long, medoid_det_id long, size long, typical array<long>")
+    priority = F.struct("degree", "n", (-F.col("det_id")).alias("id")).alias("priority")
+    seen = cut(placed.join(roots, ["video_id", "node"]).join(degree, ["video_id", "node"]).select("video_id", "root", "det_id", "n", priority, *mid))
+    mids = F.array(*[f"m_{n}" for n in NUMBERS])
+    first = seen.groupBy("video_id", "root").agg(F.max(F.struct("priority", mids.alias("at"))).alias("m")).select("video_id", "root", (-F.col("m.priority.id")).alias("medoid"), F.col("m.at").alias("at"))
+    held = cut(seen.join(first, ["video_id", "root"]).withColumn("away", F.array_max(F.zip_with(mids, "at", lambda x, y: F.abs(x - y)))).drop("at"))
+    split = cut(held.where(F.col("away") > loose).select("video_id", "root").distinct())
+    whole = held.join(split, ["video_id", "root"], "left_anti").select("video_id", "root", "medoid", "det_id", "n", "away")
+    apart = seen.join(split, ["video_id", "root"], "left_semi")
+    medoids = cut(apart.join(_medoids(apart, loose), ["video_id", "root", "det_id"], "left_semi"))
+    own = medoids.select("video_id", "root", F.col("det_id").alias("medoid"), "det_id", "n", F.lit(0.0).alias("away"))
+    others = apart.join(medoids.select("video_id", "root", "det_id"), ["video_id", "root", "det_id"], "left_anti")
+    nearest = _around(others, medoids, loose).groupBy("video_id", "root", F.col("a").alias("det_id")).agg(F.max_by(F.struct("b", "away"), "pb").alias("m"))
+    joined = others.join(nearest, ["video_id", "root", "det_id"]).select("video_id", "root", F.col("m.b").alias("medoid"), "det_id", "n", F.col("m.away").alias("away"))
+    members = cut(whole.unionByName(own).unionByName(joined))
+    group = ["video_id", "root", "medoid"]
+    facts = members.groupBy(*group).agg(F.min("det_id").alias("group_det_id"), F.sum("n").alias("size"))
+    ranked = members.withColumn("rank", F.row_number().over(Window.partitionBy(*group).orderBy("away", "det_id"))).where(F.col("rank") <= typical)
+    best = ranked.groupBy(*group).agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "det_id"))), lambda x: x["det_id"]).alias("typical"))
+    return facts.join(best, group).select("video_id", "group_det_id", F.col("medoid").alias("medoid_det_id"), "size", "typical")

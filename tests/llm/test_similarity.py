@@ -63,3 +63,16 @@ def test_summary_counts_every_row_and_splits_chains(spark):
     groups = similarity.group_summary(df).collect()
     assert sum(r["size"] for r in groups) == 7 and len(groups) > 1
     assert all(r["medoid_det_id"] == r["typical"][0] for r in groups)
+
+
+def test_summary_sizes_are_those_of_the_groups(spark):
+    """Each detection is counted once however often its row is repeated, and splits take medoids by falling priority."""
+    rng = np.random.default_rng(5)
+    rows = [(i, 1 + i % 2, float(x), 10.0, float(x) + 30, 40.0, 0.5) for i, x in enumerate(rng.integers(0, 900, 120), 1)]
+    df = spark.createDataFrame([(*r, 0, "") for r in [*rows, *rows[:40]]], SCHEMA)
+    groups = similarity.group_summary(df, loose=2.0).collect()
+    at = {r[0]: r[2] for r in rows}
+    assert sum(r["size"] for r in groups) == 120
+    for r in groups:  # no two medoids of a video are within the limit of one another
+        assert not [q for q in groups if q["video_id"] == r["video_id"] and q["medoid_det_id"] != r["medoid_det_id"] and abs(at[q["medoid_det_id"]] - at[r["medoid_det_id"]]) < 20]
+        assert all(abs(at[x] - at[r["medoid_det_id"]]) <= 60 for x in r["typical"])
