@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from framewright.functions.columns import area, center_x, center_y
@@ -115,33 +115,82 @@ def static_points(boxes: DataFrame, videos: DataFrame, resolution: int) -> DataF
     return at.withColumn("rank", F.struct("frame_id", "det_ord", "det_id"))
 
 
+def _near(side: DataFrame, cells: DataFrame, squared: int) -> DataFrame:
+    """(…, sure): each row of ``side`` (video_id, px, py, gx, gy, …) with every cell at most two away that holds points
+    within the distance, ``sure`` if all its points are; otherwise that hangs on the points."""
+    around = F.explode(F.array(*[F.struct((F.col("gx") + i).alias("hx"), (F.col("gy") + j).alias("hy")) for i in range(-2, 3) for j in range(-2, 3)])).alias("h")
+    asking = side.select("*", around).select("*", "h.*").drop("h", "gx", "gy")
+    met = asking.join(cells.withColumnsRenamed({"gx": "hx", "gy": "hy"}), ["video_id", "hx", "hy"])
+    off = lambda c: F.greatest(F.col(f"lo_{c}") - F.col(f"p{c}"), F.col(f"p{c}") - F.col(f"hi_{c}"), F.lit(0))
+    far = lambda c: F.greatest(F.col(f"hi_{c}") - F.col(f"p{c}"), F.col(f"p{c}") - F.col(f"lo_{c}"))
+    return met.where(off("x") * off("x") + off("y") * off("y") <= squared).withColumn("sure", far("x") * far("x") + far("y") * far("y") <= squared)
+
+
+def _within(a: str, b: str, squared: int) -> Column:
+    dx, dy = F.col(f"{a}x") - F.col(f"{b}x"), F.col(f"{a}y") - F.col(f"{b}y")
+    return dx * dx + dy * dy <= squared
+
+
 def cluster_videos(boxes: DataFrame, videos: DataFrame, eps: float = STATIC_EPS, min_samples: int = STATIC_SAMPLES, resolution: int = 250) -> DataFrame:
     """(det_id, label): ``static`` clustering of whole videos by center.
 
-    Centers are rounded to ``resolution`` millionths of the picture (half a pixel at 1920) and counted by place
-    before anything is compared, so a static object of any number of boxes is a few places. Core places are
-    joined to components without any task holding a video.
+    Centers are rounded to ``resolution`` millionths of the picture (half a pixel at 1920; 1 is the exact way) and
+    counted by place before anything is compared, so a static object of any number of boxes is a few places. Places
+    lie in cells of eps / sqrt 2, within which all are neighbours: a cell with ``min_samples`` boxes is core as a
+    whole. Places of other cells are held against the extents of the cells around them, and against single places
+    only where those leave it open; so are pairs of core cells, unless they are already of one cluster. No pairs of
+    neighbours are stored, and no task holds a video.
     """
-    at = cut(static_points(boxes, videos, resolution))
-    places = cut(at.groupBy("video_id", "px", "py").agg(F.count("*").alias("n"), F.min("det_id").alias("p"), F.min("rank").alias("rank")))
-    near = cut(eps_neighbors(places, eps * PIXELS_PER_UNIT))
-    core = near.groupBy("video_id", "a").agg(F.sum("n_b").alias("m")).where(F.col("m") >= min_samples).select("video_id", F.col("a").alias("node"))
-    core = cut(core.join(places.select("video_id", F.col("p").alias("node"), "rank"), ["video_id", "node"]))
-    # core places in one cell of eps / sqrt 2 are within eps of one another: cells stand for them as nodes
+    squared = int(eps * PIXELS_PER_UNIT) ** 2
     side = int(eps * PIXELS_PER_UNIT / 2**0.5)
-    cell = ["video_id", "gx", "gy"]
-    held = core.join(places.select("video_id", F.col("p").alias("node"), F.floor(F.col("px") / side).alias("gx"), F.floor(F.col("py") / side).alias("gy")), ["video_id", "node"])
-    cells = cut(held.join(held.groupBy(*cell).agg(F.min("node").alias("cell")), cell).select("video_id", "node", "cell"))
-    of = lambda c: cells.select("video_id", F.col("node").alias(c), F.col("cell").alias(f"cell_{c}"))
-    links = near.where("a < b").join(of("a"), ["video_id", "a"]).join(of("b"), ["video_id", "b"]).where("cell_a <> cell_b").select("video_id", F.col("cell_a").alias("a"), F.col("cell_b").alias("b")).distinct()
-    by_cell = components(links, cells.select("video_id", F.col("cell").alias("node")).distinct()).withColumnRenamed("node", "cell")
-    roots = cells.join(by_cell, ["video_id", "cell"]).select("video_id", "node", "root")
-    first = roots.join(core, ["video_id", "node"]).groupBy("video_id", "root").agg(F.min("rank").alias("rank"))
-    numbered = first.withColumn("label", (F.row_number().over(Window.partitionBy("video_id").orderBy("rank")) - 1).cast("int"))
-    labels = roots.join(numbered.select("video_id", "root", "label"), ["video_id", "root"]).select("video_id", "node", "label")
-    reached = near.join(labels.withColumnRenamed("node", "b"), ["video_id", "b"]).groupBy("video_id", F.col("a").alias("node")).agg(F.min("label").alias("border"))
-    final = places.select("video_id", "px", "py", F.col("p").alias("node")).join(labels, ["video_id", "node"], "left").join(reached, ["video_id", "node"], "left")
-    return at.join(final, ["video_id", "px", "py"]).select("det_id", F.coalesce("label", "border", F.lit(-1)).alias("label"))
+    cell, at_cell = ["video_id", "gx", "gy"], [F.floor(F.col(f"p{c}") / side).alias(f"g{c}") for c in "xy"]
+    extents = [f(f"p{c}").alias(f"{k}_{c}") for c in "xy" for k, f in (("lo", F.min), ("hi", F.max))]
+    at = cut(static_points(boxes, videos, resolution))
+    places = at.groupBy("video_id", "px", "py").agg(F.count("*").alias("n"), F.min("rank").alias("rank"))
+    places = cut(places.select("*", *at_cell))
+    cells = cut(places.groupBy(*cell).agg(F.sum("n").alias("boxes"), *extents))
+    held = places.join(cells.select(*cell, "boxes"), cell)
+    sparse = held.where(F.col("boxes") < min_samples).select(*cell, "px", "py", "rank")
+    points = places.select("video_id", F.col("gx").alias("hx"), F.col("gy").alias("hy"), F.col("px").alias("qx"), F.col("py").alias("qy"), "n")
+    around = F.explode(F.array(*[F.struct((F.col("gx") + i).alias("gx"), (F.col("gy") + j).alias("gy")) for i in range(-2, 3) for j in range(-2, 3)])).alias("h")
+    spread = lambda df, *more: df.select("video_id", *more, around).select("video_id", *more, "h.*")  # noqa: E731  # over the cells that can hold a neighbour
+    busy = spread(cells, "boxes").groupBy(*cell).agg(F.sum("boxes").alias("boxes")).where(F.col("boxes") >= min_samples).select(*cell)
+    asked = sparse.join(busy, cell, "left_semi")
+    seen = _near(asked, cells, squared).select("video_id", "px", "py", "hx", "hy", "boxes", "sure")
+    single = seen.where("not sure").join(points, ["video_id", "hx", "hy"]).where(_within("p", "q", squared)).select("video_id", "px", "py", "n")
+    counts = seen.where("sure").select("video_id", "px", "py", F.col("boxes").alias("n")).unionByName(single).groupBy("video_id", "px", "py").agg(F.sum("n").alias("n"))
+    crowded = cut(counts.where(F.col("n") >= min_samples).select("video_id", "px", "py"))
+    core = cut(held.where(F.col("boxes") >= min_samples).select(*cell, "px", "py", "rank").unionByName(asked.join(crowded, ["video_id", "px", "py"], "left_semi")))
+    nodes = cut(core.groupBy(*cell).agg(F.min("rank").alias("rank"), *extents).withColumn("node", F.col("rank.det_id")))
+    # pairs of core cells, each once
+    half = F.explode(F.array(*[F.struct((F.col("gx") + i).alias("hx"), (F.col("gy") + j).alias("hy")) for i in range(3) for j in range(-2, 3) if i or j > 0])).alias("h")
+    mine = nodes.select("video_id", "gx", "gy", F.col("node").alias("a"), *[F.col(f"{k}_{c}").alias(f"a{k}_{c}") for k in ("lo", "hi") for c in "xy"], half).select("*", "h.*").drop("h")
+    yours = nodes.select("video_id", F.col("gx").alias("hx"), F.col("gy").alias("hy"), F.col("node").alias("b"), *[F.col(f"{k}_{c}").alias(f"b{k}_{c}") for k in ("lo", "hi") for c in "xy"])
+    gap = lambda c: F.greatest(F.col(f"blo_{c}") - F.col(f"ahi_{c}"), F.col(f"alo_{c}") - F.col(f"bhi_{c}"), F.lit(0))
+    span = lambda c: F.greatest(F.col(f"bhi_{c}") - F.col(f"alo_{c}"), F.col(f"ahi_{c}") - F.col(f"blo_{c}"))
+    met = mine.join(yours, ["video_id", "hx", "hy"]).where(gap("x") * gap("x") + gap("y") * gap("y") <= squared)
+    met = cut(met.select("video_id", "gx", "gy", "hx", "hy", "a", "b", (span("x") * span("x") + span("y") * span("y") <= squared).alias("sure")))
+    roots = cut(components(met.where("sure").select("video_id", "a", "b"), nodes.select("video_id", "node")))
+    of = lambda s: roots.select("video_id", F.col("node").alias(s), F.col("root").alias(f"r{s}"))
+    unsure = met.where("not sure").join(of("a"), ["video_id", "a"]).join(of("b"), ["video_id", "b"]).where("ra <> rb").select("video_id", "gx", "gy", "hx", "hy", "ra", "rb")
+    left = core.select("video_id", "gx", "gy", "px", "py")
+    right = core.select("video_id", F.col("gx").alias("hx"), F.col("gy").alias("hy"), F.col("px").alias("qx"), F.col("py").alias("qy"))
+    touching = unsure.join(left, cell).join(right, ["video_id", "hx", "hy"]).where(_within("p", "q", squared)).select("video_id", F.col("ra").alias("a"), F.col("rb").alias("b")).distinct()
+    touching = cut(touching)
+    whole = roots.withColumnRenamed("root", "cluster")
+    if not touching.isEmpty():
+        joined = components(touching, roots.select("video_id", F.col("root").alias("node")).distinct())
+        whole = roots.join(joined.select("video_id", F.col("node").alias("root"), F.col("root").alias("cluster")), ["video_id", "root"]).select("video_id", "node", "cluster")
+    known = nodes.join(whole, ["video_id", "node"])
+    first = known.groupBy("video_id", "cluster").agg(F.min("rank").alias("rank"))
+    numbered = first.select("video_id", "cluster", (F.row_number().over(Window.partitionBy("video_id").orderBy("rank")) - 1).cast("int").alias("label"))
+    labelled = cut(known.join(numbered, ["video_id", "cluster"]).select(*cell, "label", "lo_x", "hi_x", "lo_y", "hi_y"))
+    inner = core.join(labelled.select(*cell, "label"), cell).select("video_id", "px", "py", "label")
+    rest = sparse.join(spread(nodes).distinct(), cell, "left_semi").join(crowded, ["video_id", "px", "py"], "left_anti").select(*cell, "px", "py")
+    reached = _near(rest, labelled, squared).select("video_id", "px", "py", "hx", "hy", "label", "sure")
+    one = reached.where("not sure").join(right, ["video_id", "hx", "hy"]).where(_within("p", "q", squared)).select("video_id", "px", "py", "label")
+    border = reached.where("sure").select("video_id", "px", "py", "label").unionByName(one).groupBy("video_id", "px", "py").agg(F.min("label").alias("label"))
+    return at.join(inner.unionByName(border), ["video_id", "px", "py"], "left").select("det_id", F.coalesce("label", F.lit(-1)).alias("label"))
 
 
 def merge_clusters(boxes: DataFrame) -> DataFrame:
