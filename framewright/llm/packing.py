@@ -86,11 +86,16 @@ def pack_documents(documents: DataFrame, containers: DataFrame, path: str = VOCA
 
 
 def fill_report(packed: DataFrame, containers: DataFrame) -> DataFrame:
-    """(container_id, capacity_tokens, sequences, tokens, fill, cost_spread): how full the sequences are and how
-    far their costs lie apart (standard deviation over mean)."""
+    """(container_id, capacity_tokens, sequences, tokens, fill, packed_sequences, packed_fill, cost_spread): how full the
+    sequences are, those that are one full piece of a longer document and those that were packed together and the
+    latter alone, and how far their costs lie apart (standard deviation over mean)."""
     cost = F.sum(LINEAR_COST * F.col("n_tokens") + QUADRATIC_COST * F.col("n_tokens") * F.col("n_tokens"))
-    each = packed.groupBy("container_id", "sequence_id").agg(F.sum("n_tokens").alias("used"), cost.alias("cost"))
-    report = each.groupBy("container_id").agg(F.count("*").alias("sequences"), F.sum("used").alias("tokens"), (F.stddev_pop("cost") / F.avg("cost")).alias("cost_spread"))
-    return report.join(containers.select("container_id", "capacity_tokens").distinct(), "container_id").select(
-        "container_id", "capacity_tokens", "sequences", "tokens", (F.col("tokens") / (F.col("sequences") * F.col("capacity_tokens"))).alias("fill"), "cost_spread"
-    )
+    each = packed.groupBy("container_id", "sequence_id").agg(F.sum("n_tokens").alias("used"), F.count("*").alias("pieces"), cost.alias("cost"))
+    sized = each.join(containers.where("capacity_tokens > 0").select("container_id", "capacity_tokens").distinct(), "container_id")
+    mixed = (F.col("pieces") > 1) | (F.col("used") < F.col("capacity_tokens"))
+    report = sized.groupBy("container_id", "capacity_tokens").agg(
+        F.count("*").alias("sequences"), F.sum("used").alias("tokens"), F.count_if(mixed).alias("packed_sequences"),
+        F.sum(F.when(mixed, F.col("used")).otherwise(0)).alias("_mixed"), (F.stddev_pop("cost") / F.avg("cost")).alias("cost_spread"),
+    )
+    full = lambda tokens, n: F.when(F.col(n) > 0, F.col(tokens) / (F.col(n) * F.col("capacity_tokens")))
+    return report.select("container_id", "capacity_tokens", "sequences", "tokens", full("tokens", "sequences").alias("fill"), "packed_sequences", full("_mixed", "packed_sequences").alias("packed_fill"), "cost_spread")

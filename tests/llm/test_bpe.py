@@ -49,8 +49,10 @@ def test_packing_keeps_every_token(spark, encoder):
             assert (len(pieces) == 1) == (want[doc] <= capacity)
             assert pieces.first_token.tolist() == (pieces.n_tokens.cumsum() - pieces.n_tokens).tolist()
     assert set(packed.container_id) == {1, 2}
-    fill = {r["container_id"]: r["fill"] for r in packing.fill_report(spark.createDataFrame(packed), boxes).collect()}
+    report = packing.fill_report(spark.createDataFrame(packed), boxes).collect()
+    fill = {r["container_id"]: r["fill"] for r in report}
     assert fill[1] > 0.9 and fill[2] > 0.8
+    assert all(r["packed_fill"] <= r["fill"] and r["packed_sequences"] <= r["sequences"] for r in report)
 
 
 def test_packing_nothing(spark):
