@@ -223,6 +223,7 @@ def heatmap_track(packed: DataFrame, width: int = 1920, height: int = 1440, infl
     """
     value = np.arange(levels)
     decayed = np.clip(value - value**attack / (levels - 1) ** attack * rate, 0, levels - 1).astype(np.uint16)
+    plain = int(np.argmax(np.append(decayed != np.maximum(value - 1, 0), True)))  # values below it lose one level a frame
     draw = STAMPS[stamp]
 
     def window(x1, y1, x2, y2):
@@ -243,7 +244,10 @@ def heatmap_track(packed: DataFrame, width: int = 1920, height: int = 1440, infl
             if state["warm"]:
                 left, top, right, bottom = state["warm"]
                 part = heat[top:bottom, left:right]
-                np.take(decayed, part, out=part)
+                high = np.nonzero(part >= plain)
+                lowered = decayed[part[high]]
+                np.subtract(part, part > 0, out=part, casting="unsafe")
+                part[high] = lowered
             for x, y, stamped in filter(None, (window(*box) for box in boxes)):
                 part = heat[y[0] : y[-1] + 1, x[0] : x[-1] + 1]
                 np.minimum(part + stamped, levels - 1, out=part)
