@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from framewright.operators import heat
 from framewright.session import cut
 
 CHUNK_FRAMES, OVERLAP_FRAMES = 64, 16
@@ -30,9 +31,10 @@ def packed_frames(frames: DataFrame, boxes: DataFrame) -> DataFrame:
     return frames.select("video_id", "frame_id").join(packed, ["video_id", "frame_id"], "left").select("video_id", "frame_id", F.coalesce(flat, F.array().cast("array<double>")).alias("boxes"))
 
 
-def fold(packed: DataFrame, step: Callable[[], Callable], schema: str) -> DataFrame:
+def fold(packed: DataFrame, step: Callable[[], Callable], schema: str, tasks: int | None = None) -> DataFrame:
     """Rows of ``schema`` from a fold over each video's frames in order. ``step()`` begins a video and returns a
-    function from (frame_id, boxes of shape (n, 4)) to rows without the video; called with None at its end."""
+    function from (frame_id, boxes of shape (n, 4)) to rows without the video; called with None at its end. The videos
+    are spread over ``tasks``, or as many as their size suggests."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = [x.split()[0] for x in schema.split(", ")]
@@ -49,7 +51,7 @@ def fold(packed: DataFrame, step: Callable[[], Callable], schema: str) -> DataFr
         if advance:
             yield pd.DataFrame([(video, *r) for r in advance(None, None)], columns=names)
 
-    ordered = packed.repartition("video_id").sortWithinPartitions("video_id", "frame_id")
+    ordered = packed.repartition(*([tasks] if tasks else []), "video_id").sortWithinPartitions("video_id", "frame_id")
     return ordered.mapInPandas(run, schema)
 
 
@@ -198,76 +200,16 @@ def spline_track(packed: DataFrame, placeholder: tuple[float, float] = PLACEHOLD
     return _smoothed_chunks(packed, 2, False, "video_id int, frame_id long, poi_x double, poi_y double", placeholder, PLACEHOLDER_AREA)
 
 
-def _bell(cx: float, cy: float, reach: float, pad: float, x: np.ndarray, y: np.ndarray, rate: int) -> np.ndarray:
-    """A Gaussian of ``rate`` around a point, the product of one along each axis."""
-    spread = 2 * (pad / 3.5) ** 2
-    return np.outer(np.exp(-((y - cy) ** 2) / spread), rate * np.exp(-((x - cx) ** 2) / spread)).astype(np.uint16)
-
-
-def _disc(cx: float, cy: float, reach: float, pad: float, x: np.ndarray, y: np.ndarray, rate: int) -> np.ndarray:
-    """``rate`` within a circle around the middle of the stamped window."""
-    inside = np.add.outer((y - y[0] - len(y) // 2) ** 2, (x - x[0] - len(x) // 2) ** 2) <= int(reach) ** 2
-    return inside.astype(np.uint16) * np.uint16(rate)
-
-
-STAMPS = {"bell": _bell, "disc": _disc}
-
-
 def heatmap_track(packed: DataFrame, width: int = 1920, height: int = 1440, influence: float = 400.0, levels: int = 1024, rate: int = 256, attack: int = 4, stamp: str = "bell") -> DataFrame:
     """(video_id, frame_id, x, y, value): the hottest pixel of a decaying heat map, first in row order of equals.
 
     Each frame the map decays by v - (v / (levels - 1))^attack * rate, and every box stamps a Gaussian (``bell``) or a
     filled circle (``disc``, as annotations use it with 16 * rate levels) of ``influence`` times the area of its
-    longer side's square. An all-cold map keeps the last point, at first the middle. Only the rectangle around all
-    stamps since the map was last cold is decayed and searched.
+    longer side's square. An all-cold map keeps the last point, at first the middle. The result is that of the whole
+    map; ``heat`` says which of its pixels are computed.
     """
-    value = np.arange(levels)
-    decayed = np.clip(value - value**attack / (levels - 1) ** attack * rate, 0, levels - 1).astype(np.uint16)
-    plain = int(np.argmax(np.append(decayed != np.maximum(value - 1, 0), True)))  # values below it lose one level a frame
-    draw = STAMPS[stamp]
-
-    def window(x1, y1, x2, y2):
-        side, cx, cy = max(x2 - x1, y2 - y1), (x1 + x2) / 2, (y1 + y2) / 2
-        pad = side * (influence**0.5 - 1) / 2
-        reach = side / 2 + pad
-        x = np.arange(int(max(cx - reach, 0)), int(min(cx + reach, width)))
-        y = np.arange(int(max(cy - reach, 0)), int(min(cy + reach, height)))
-        return (x, y, draw(cx, cy, reach, pad, x, y, rate)) if pad > 0 and len(x) and len(y) else None
-
-    def step():
-        heat = np.zeros((height, width), np.uint16)
-        state = {"point": (width // 2, height // 2), "warm": None}  # warm: left, top, right, bottom
-
-        def advance(frame, boxes):
-            if frame is None:
-                return []
-            if state["warm"]:
-                left, top, right, bottom = state["warm"]
-                part = heat[top:bottom, left:right]
-                high = np.nonzero(part >= plain)
-                lowered = decayed[part[high]]
-                np.subtract(part, part > 0, out=part, casting="unsafe")
-                part[high] = lowered
-            for x, y, stamped in filter(None, (window(*box) for box in boxes)):
-                part = heat[y[0] : y[-1] + 1, x[0] : x[-1] + 1]
-                np.minimum(part + stamped, levels - 1, out=part)
-                old = state["warm"] or (width, height, 0, 0)
-                state["warm"] = (min(old[0], x[0]), min(old[1], y[0]), max(old[2], x[-1] + 1), max(old[3], y[-1] + 1))
-            hottest = 0
-            if state["warm"]:
-                left, top, right, bottom = state["warm"]
-                part = heat[top:bottom, left:right]
-                row, col = divmod(int(part.argmax()), right - left)
-                hottest = int(part[row, col])
-                if hottest:
-                    state["point"] = (int(left + col), int(top + row))
-                else:
-                    state["warm"] = None
-            return [(frame, *state["point"], hottest)]
-
-        return advance
-
-    return fold(packed, step, "video_id int, frame_id long, x int, y int, value int")
+    tasks = 4 * packed.sparkSession.sparkContext.defaultParallelism  # by number: little data, much work
+    return fold(packed, heat.hottest(width, height, influence, levels, rate, attack, stamp), "video_id int, frame_id long, x int, y int, value int", tasks)
 
 
 def kalman_forward(packed: DataFrame, fps: float = 30.0) -> DataFrame:

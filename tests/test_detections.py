@@ -262,3 +262,74 @@ def test_heatmap_has_the_pixels_of_the_whole_map(spark):
             point = tuple(int(k) for k in np.unravel_index(np.argmax(heat), heat.shape))[::-1]
         expected.append((f, *point, int(heat.max())))
     assert [tuple(r)[1:] for r in tracking.heatmap_track(packed).orderBy("frame_id").collect()] == expected
+
+
+def whole_map(frames, width, height, influence, levels, rate, attack, stamp):
+    """(x, y, value) of each frame's hottest pixel by the map with all its pixels."""
+    value = np.arange(levels)
+    decayed = np.clip(value - value**attack / (levels - 1) ** attack * rate, 0, levels - 1).astype(int)
+    heat, point, out = np.zeros((height, width), int), (width // 2, height // 2), []
+    for boxes in frames:
+        heat = decayed[heat]
+        for x1, y1, x2, y2 in boxes:
+            side, cx, cy = max(x2 - x1, y2 - y1), (x1 + x2) / 2, (y1 + y2) / 2
+            pad = side * (influence**0.5 - 1) / 2
+            reach = side / 2 + pad
+            x, y = np.arange(int(max(cx - reach, 0)), int(min(cx + reach, width))), np.arange(int(max(cy - reach, 0)), int(min(cy + reach, height)))
+            if pad <= 0 or not len(x) or not len(y):
+                continue
+            if stamp == "bell":
+                spread = 2 * (pad / 3.5) ** 2
+                stamped = np.floor(np.exp(-((y - cy) ** 2) / spread)[:, None] * np.exp(-((x - cx) ** 2) / spread) * rate).astype(int)
+            else:
+                stamped = rate * (((y - y[0] - len(y) // 2) ** 2)[:, None] + (x - x[0] - len(x) // 2) ** 2 <= int(reach) ** 2)
+            heat[y[0] : y[-1] + 1, x[0] : x[-1] + 1] += stamped
+        heat = np.minimum(heat, levels - 1)
+        if heat.max():
+            point = tuple(int(k) for k in np.unravel_index(np.argmax(heat), heat.shape))[::-1]
+        out.append((*point, int(heat.max())))
+    return out
+
+
+def moving_boxes(rng, frames, width, height):
+    """Boxes of a few objects, some at rest and some moving, with pauses in which the map cools, and boxes that reach over the edges."""
+    at, speed = rng.uniform(-20, [width + 20, height + 20], (6, 2)), rng.normal(0, 1.5, (6, 2)) * rng.integers(0, 2, (6, 1))
+    sizes, out = rng.uniform(3, 16, (6, 2)), []
+    for i in range(frames):
+        seen = [] if 200 < i % 900 < 620 else [k for k in range(6) if rng.random() < (0.5 if i % 300 < 150 else 0.05)]
+        out.append(np.array([[*(at[k] + speed[k] * (i % 100)), *(at[k] + speed[k] * (i % 100) + sizes[k])] for k in seen], float).reshape(-1, 4))
+    return out
+
+
+@pytest.mark.parametrize(("stamp", "influence", "levels", "rate"), [("bell", 400.0, 1024, 256), ("bell", 30.0, 200, 60), ("disc", 4.0, 4096, 256), ("disc", 9.0, 64, 16)])
+def test_pixels_left_out_of_the_heatmap_change_nothing(stamp, influence, levels, rate):
+    from framewright.operators import heat
+
+    for seed in range(3):
+        frames = moving_boxes(np.random.default_rng(seed), 1300, 210, 150)
+        advance, rows = heat.hottest(210, 150, influence, levels, rate, 4, stamp)(), []
+        for i, boxes in enumerate(frames):
+            rows += advance(i, boxes)
+        rows += advance(None, None)
+        assert rows == [(i, *r) for i, r in enumerate(whole_map(frames, 210, 150, influence, levels, rate, 4, stamp))]
+
+
+@pytest.mark.parametrize(("stamp", "influence", "levels"), [("disc", 4.0, 4096), ("bell", 400.0, 1024)])
+def test_heatmap_is_done_in_time(stamp, influence, levels):
+    """A frame's cost doesn't follow the map: 20 ms a frame and more where each pixel is decayed and searched."""
+    import time
+
+    from framewright.operators import heat
+
+    boxes = np.array([[100.0 + 400 * k, 80 + 300 * k, 124 + 400 * k, 104 + 300 * k] for k in range(4)])
+    advance, began, rows = heat.hottest(1920, 1440, influence, levels, 256, 4, stamp)(), time.process_time(), []
+    for i in range(1500):
+        rows += advance(i, boxes[: i % 5])
+    rows += advance(None, None)
+    assert len(rows) == 1500 and time.process_time() - began < 12
+
+
+def test_heatmap_is_spread_over_tasks(spark):
+    packed = tracking.packed_frames(spark.createDataFrame([(v, 0) for v in range(64)], "video_id int, frame_id long"), spark.createDataFrame([box(1, 0, 100.0, 200.0)], BOX))
+    got = tracking.heatmap_track(packed).withColumn("task", F.spark_partition_id()).select("task").distinct().count()
+    assert got > 4
