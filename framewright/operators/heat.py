@@ -9,7 +9,8 @@ The map is divided into cells, these into blocks of pixels. A batch of frames pa
 * Pixels of the blocks that can.
 
 Blocks and pixels are brought up to date when they are needed, from when they were last computed or cold, with the stamps since
-then: these are kept (as windows, 72 bytes each) back to the oldest such state.
+then: these are kept (as windows, 72 bytes each) back to the oldest such state. Their values are arrays whose last axis are the
+cells or blocks, from left to right: a stamp reaches a slice of it, and numpy's innermost loops are long.
 """
 
 from __future__ import annotations
@@ -20,8 +21,8 @@ from typing import NamedTuple
 import numpy as np
 
 CELL, BLOCK = 16, 4  #: pixels on a side
-FRAMES_AT_ONCE, STAMPS_AT_ONCE, BLOCKS_AT_ONCE, VALUES_AT_ONCE = 128, 64, 512, 1 << 16
-RECENT = 2  #: batches
+FRAMES_AT_ONCE, BOXES_AT_ONCE, STAMPS_AT_ONCE, BLOCKS_AT_ONCE = 256, 512, 32, 1024
+RECENT = 1  #: batches
 
 
 class Stamps(NamedTuple):
@@ -58,13 +59,22 @@ def _within(at: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarray:
 def _bell(s: Stamps, x: np.ndarray, y: np.ndarray, rate: int) -> tuple[np.ndarray, np.ndarray]:
     """A Gaussian of ``rate`` around the center: one factor along each axis, for every stamp and coordinate."""
     spread = (2 * (s.pad / 3.5) ** 2)[:, None]
-    across = np.where(_within(x, s.left, s.right), rate * np.exp(-((x - s.cx[:, None]) ** 2) / spread), 0.0)
-    down = np.where(_within(y, s.top, s.bottom), np.exp(-((y - s.cy[:, None]) ** 2) / spread), 0.0)
-    return across, down
+
+    def along(at: np.ndarray, center: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarray:
+        v = at - center[:, None]
+        v *= v
+        v /= -spread
+        np.exp(v, out=v)
+        v *= _within(at, first, end)
+        return v
+
+    across = along(x, s.cx, s.left, s.right)
+    across *= rate
+    return across, along(y, s.cy, s.top, s.bottom)
 
 
 def _bell_heat(across: np.ndarray, down: np.ndarray, rate: int) -> np.ndarray:
-    return (down * across).astype(np.int64)
+    return (down * across).astype(np.int32)
 
 
 def _disc(s: Stamps, x: np.ndarray, y: np.ndarray, rate: int) -> tuple[np.ndarray, np.ndarray]:
@@ -78,11 +88,31 @@ def _disc(s: Stamps, x: np.ndarray, y: np.ndarray, rate: int) -> tuple[np.ndarra
 
 
 def _disc_heat(across: np.ndarray, down: np.ndarray, rate: int) -> np.ndarray:
-    return (across + down >= 0) * np.int64(rate)
+    return (across + down >= 0) * np.int32(rate)
+
+
+def _disc_middle(s: Stamps) -> tuple[np.ndarray, np.ndarray]:
+    return s.left + (s.right - s.left) // 2, s.top + (s.bottom - s.top) // 2
+
+
+#: By name: the values along the axes, the heat of a pixel from both (it never falls as either value rises), and the middle,
+#: away from which both values fall within the window.
+STAMPS = {"bell": (_bell, _bell_heat, lambda s: (s.cx, s.cy)), "disc": (_disc, _disc_heat, _disc_middle)}
+SLACK = 1 + 1e-12  #: more than the errors of exp, which may rise by them where its argument falls
 
 
-#: By name: the values along the axes, and the heat of a pixel from both; it never falls as either value rises.
-STAMPS = {"bell": (_bell, _bell_heat), "disc": (_disc, _disc_heat)}
+def extremes(s: Stamps, x: np.ndarray, y: np.ndarray, size: int, rate: int, stamp: str) -> list[np.ndarray]:
+    """A bound on the values along each axis of the ``size`` coordinates from each of ``x`` and ``y`` on, and the value of the
+    first of them: arrays of (stamp, bound or first, coordinate)."""
+    axes, _, middle = STAMPS[stamp]
+
+    def nearest(at: np.ndarray, mid: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarray:
+        low, high = np.maximum(at, first[:, None]), np.minimum(at + size, end[:, None]) - 1
+        return np.where(low <= high, np.minimum(np.maximum(np.rint(mid).astype(np.int64)[:, None], low), high), -1)
+
+    mx, my = middle(s)
+    most = axes(s, nearest(x, mx, s.left, s.right), nearest(y, my, s.top, s.bottom), rate)
+    return [np.stack([m * SLACK if m.dtype == float else m, f], axis=1) for m, f in zip(most, axes(s, x, y, rate))]
 
 
 def decay(levels: int, rate: int, attack: int) -> np.ndarray:
@@ -93,161 +123,171 @@ def decay(levels: int, rate: int, attack: int) -> np.ndarray:
 
 def hottest(width: int, height: int, influence: float, levels: int, rate: int, attack: int, stamp: str) -> Callable[[], Callable]:
     """A step for ``tracking.fold``: rows of (frame, x, y, value)."""
-    axes, heat_of = STAMPS[stamp]
+    axes, heat_of, _ = STAMPS[stamp]
     own = decay(levels, rate, attack)
     # of 1, 2, 4, ... frames; bounds from above are values + levels, those from below values + 2 * levels, and their decay
     # never falls as the value rises (that of values may, by one near the top)
-    powers = [np.concatenate([own, levels + np.maximum.accumulate(own), 2 * levels + np.minimum.accumulate(own[::-1])[::-1]])]
+    powers = [np.concatenate([own, levels + np.maximum.accumulate(own), 2 * levels + np.minimum.accumulate(own[::-1])[::-1]]).astype(np.int32)]
     while not np.array_equal(twice := powers[-1][powers[-1]], powers[-1]):
         powers.append(twice)
-    bottom, top = (np.array(v)[:, None, None] for v in ([levels, 2 * levels], [2 * levels - 1, 3 * levels - 1]))  # of both bounds
+    bottom, top = (np.array(v, np.int32)[:, None, None] for v in ([levels, 2 * levels], [2 * levels - 1, 3 * levels - 1]))  # of both bounds
     rows, cols = -(-height // CELL), -(-width // CELL)
     parts = CELL // BLOCK
-    all_x, all_y = np.arange(cols * CELL), np.arange(rows * CELL)
+    cell_x, cell_y = np.arange(cols) * CELL, np.arange(rows) * CELL
 
     def faded(v: np.ndarray, frames: int) -> np.ndarray:
         if frames >> len(powers):
-            return powers[-1][v]
+            return powers[-1].take(v, mode="clip")
         for k, power in enumerate(powers):
             if frames >> k & 1:
-                v = power[v]
+                v = power.take(v, mode="clip")
         return v
 
-    def bounds_of(values: np.ndarray, size: int) -> np.ndarray:
-        """The greatest and the first of each ``size`` values along an axis."""
-        return np.stack([values.reshape(*values.shape[:-1], -1, size).max(axis=-1), values[..., ::size]], axis=-2)
+    def slices(s: Stamps) -> Iterator[Stamps]:
+        for begin in range(0, len(s.frame), STAMPS_AT_ONCE):
+            yield s.where(slice(begin, begin + STAMPS_AT_ONCE))
 
-    def slices(s: Stamps, n: int) -> Iterator[Stamps]:
-        for begin in range(0, len(s.frame), n):
-            yield s.where(slice(begin, begin + n))
+    def in_cells(s: Stamps) -> tuple[list[int], ...]:
+        """Left, top, right, bottom of each window in cells."""
+        return tuple(e.tolist() for e in (s.left // CELL, s.top // CELL, -(-s.right // CELL), -(-s.bottom // CELL)))
 
     def on_map(s: Stamps) -> Iterator[tuple]:
         """(frame, window in cells, heat at most and in the first pixel of each) of each stamp."""
-        for part in slices(s, STAMPS_AT_ONCE):
-            across, down = (bounds_of(a, CELL) for a in axes(part, all_x, all_y, rate))
-            ends = (part.frame, part.left // CELL, part.top // CELL, -(-part.right // CELL), -(-part.bottom // CELL))
-            for i, (frame, l, t, r, b) in enumerate(zip(*(e.tolist() for e in ends))):
-                yield frame, np.s_[:, t:b, l:r], heat_of(across[i, :, None, l:r], down[i, :, t:b, None], rate)
+        for part in slices(s):
+            across, down = extremes(part, cell_x, cell_y, CELL, rate, stamp)
+            for i, (frame, l, t, r, b) in enumerate(zip(part.frame.tolist(), *in_cells(part))):
+                yield frame, (l, t, r, b), heat_of(across[i, :, None, l:r], down[i, :, t:b, None], rate)
 
     def corner(units: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
         """x and y of the first pixel of cells or blocks."""
         cell, at = (units, 0) if size == CELL else np.divmod(units, parts * parts)
         return cell % cols * CELL + at % parts * BLOCK, cell // cols * CELL + at // parts * BLOCK
 
+    def from_left(units: np.ndarray, size: int) -> np.ndarray:
+        return units[np.argsort(corner(units, size)[0], kind="stable")]
+
     def on_units(s: Stamps, units: np.ndarray, size: int) -> Iterator[tuple]:
-        """(frame, heat) of each stamp that touches one of ``units``: of a cell's blocks the bounds, of a block the pixels."""
+        """(frame, slice of ``units``, heat) of each stamp that touches one of them: of a cell's blocks the bounds, of a block
+        the pixels. ``units`` are in order from the left."""
         x, y = corner(units, size)
+        begin, end = np.searchsorted(x, s.left - size, side="right"), np.searchsorted(x, s.right)
+        touched = (begin < end) & (s.top < y.max() + size) & (s.bottom > y.min())
+        s, spans = s.where(touched), [np.s_[a:b] for a, b in zip(begin[touched].tolist(), end[touched].tolist())]
+        if not spans:
+            return
         (xs, of_x), (ys, of_y) = (np.unique(k, return_inverse=True) for k in (x, y))
-        for part in slices(s, STAMPS_AT_ONCE):
-            over = (part.left[:, None] < x + size) & (part.right[:, None] > x) & (part.top[:, None] < y + size) & (part.bottom[:, None] > y)
-            part = part.where(over.any(axis=1))
-            if not len(part.frame):
-                continue
-            sides = axes(part, (xs[:, None] + np.arange(size)).ravel(), (ys[:, None] + np.arange(size)).ravel(), rate)
-            across, down = (a.reshape(len(a), -1, size) for a in sides)
-            if size == CELL:
-                across, down = bounds_of(across, BLOCK), bounds_of(down, BLOCK)
-            n = max(1, VALUES_AT_ONCE // (len(units) * BLOCK * parts))
-            for begin in range(0, len(part.frame), n):
-                some = slice(begin, begin + n)
-                yield from zip(part.frame[some].tolist(), heat_of(across[some][:, of_x][..., None, :], down[some][:, of_y][..., None], rate))
+        inner = np.arange(0, size, BLOCK if size == CELL else 1)[:, None]
+        xs, ys = ((inner + k).ravel() for k in (xs, ys))
+        for n, part in enumerate(slices(s)):
+            across, down = extremes(part, xs, ys, BLOCK, rate, stamp) if size == CELL else axes(part, xs, ys, rate)
+            across, down = (a.reshape(*a.shape[:-1], len(inner), -1) for a in (across, down))
+            for i, frame in enumerate(part.frame.tolist()):
+                some = spans[n * STAMPS_AT_ONCE + i]
+                yield frame, some, heat_of(across[i].take(of_x[some], axis=-1, mode="clip")[..., None, :, :], down[i].take(of_y[some], axis=-1, mode="clip")[..., None, :], rate)
 
     def step():
-        bounds = np.zeros((2, rows, cols), np.int64) + bottom  # of each cell: on its hottest pixel, and on its first from below
+        bounds = np.zeros((2, rows, cols), np.int32) + bottom  # of each cell: on its hottest pixel, and on its first from below
         upper = bounds[0].reshape(-1)
         fine = {CELL: np.zeros((rows * cols, 2, parts, parts), np.int32) + bottom, BLOCK: np.zeros((rows * cols * parts * parts, BLOCK, BLOCK), np.uint16)}
         since = {size: np.zeros(len(f), np.int64) for size, f in fine.items()}  # how many batches are in them
+        ends = {CELL: top[..., None], BLOCK: levels - 1}
         computed = np.zeros(rows * cols, bool)  # since they were cold
         past: list[tuple[int, Stamps]] = []  # frames and stamps of the batches from ``oldest`` on
         waiting: list[tuple] = []
-        oldest, point = 0, (width // 2, height // 2)
+        oldest, held, point = 0, 0, (width // 2, height // 2)
 
         def cells_of(frames: int, s: Stamps) -> np.ndarray:
             """Cells that can hold the hottest pixel in some frame of the batch; ``bounds`` go on."""
-            wanted = np.zeros(rows * cols, bool)
-            coming = on_map(s)
-            stamp, warm = next(coming, None), bool((upper > levels).any())
+            wanted, warm = np.zeros((rows, cols), bool), bounds[0] > levels
+            for l, t, r, b in zip(*in_cells(s)):
+                warm[t:b, l:r] = True
+            (ys, xs), coming = (np.flatnonzero(warm.any(axis=k)) for k in (1, 0)), on_map(s)
+            if not len(ys):
+                return ys
+            x0, y0, x1, y1 = xs[0], ys[0], xs[-1] + 1, ys[-1] + 1
+            part, own = bounds[:, y0:y1, x0:x1], wanted[y0:y1, x0:x1]
+            found, stamp = np.zeros(own.size, bool), next(coming, None)
             for frame in range(frames):
-                if warm:
-                    bounds[:] = powers[0][bounds]
+                part = powers[0].take(part, mode="clip")
                 while stamp and stamp[0] == frame:
-                    part = bounds[stamp[1]]
-                    np.minimum(part + stamp[2], top, out=part)
-                    stamp, warm = next(coming, None), True
-                if warm:
-                    at = int(bounds[1].argmax())
-                    least = bounds[1].flat[at] - levels
-                    wanted |= upper > least
-                    if least > levels:
-                        wanted[: at + 1] |= upper[: at + 1] == least
-            return np.flatnonzero(wanted)
+                    l, t, r, b = stamp[1]
+                    window = part[:, t - y0 : b - y0, l - x0 : r - x0]
+                    np.minimum(window + stamp[2], top, out=window)
+                    stamp = next(coming, None)
+                high, low = part.reshape(2, -1)
+                at = int(low.argmax())
+                least = low[at] - levels
+                found |= high > least
+                if least > levels:
+                    found[: at + 1] |= high[: at + 1] == least
+            bounds[:, y0:y1, x0:x1], own[:] = part, found.reshape(own.shape)
+            return from_left(np.flatnonzero(wanted), CELL)
 
         def replayed(v: np.ndarray, start: np.ndarray, units: np.ndarray, size: int, most: np.ndarray | int) -> np.ndarray:
             """Values of ``units`` before batch ``start``, moved to the beginning of this one."""
-            order = np.argsort(start, kind="stable")
-            v, start, units = v[order], start[order], units[order]
-            for batch in range(int(start[0]), oldest + len(past)):
+            for batch in range(int(start.min()), oldest + len(past)):
                 frames, s = past[batch - oldest]
-                n = int(np.searchsorted(start, batch, side="right"))
-                now, done = v[:n], 0
-                for frame, heat in on_units(s, units[:n], size):
-                    heat = heat if heat.ndim == now.ndim else heat[:, None]
-                    now = np.minimum(faded(now, frame + 1 - done) + heat, most)
-                    done = frame + 1
-                v[:n] = faded(now, frames - done)
-            out = np.empty_like(v)
-            out[order] = v
-            return out
+                which = np.flatnonzero(start <= batch)
+                now, done = v[..., which], 0
+                for frame, some, heat in on_units(s, units[which], size):
+                    if frame >= done:
+                        now, done = faded(np.minimum(now, most), frame + 1 - done), frame + 1
+                    now[..., some] += heat
+                v[..., which] = faded(np.minimum(now, most), frames - done)
+            return v
 
         def caught_up(units: np.ndarray, size: int) -> np.ndarray:
             """Cells' or blocks' values at the beginning of the batch. What was last computed long ago begins RECENT batches
             ago from all cold and all hot: these bound a cell's blocks as they are, and where both end alike they are a pixel's
             value whatever it was before. Blocks of which a pixel stays open begin where they were."""
-            v, start = fine[size][units].astype(np.int64), since[size][units]
+            v, start = np.ascontiguousarray(np.moveaxis(fine[size][units], 0, -1), np.int32), since[size][units]
             recent = oldest + len(past) - RECENT
             late = np.flatnonzero(start < recent)
             if len(late) and size == CELL:
-                v[late], start[late] = [top[0], bottom[1]], recent
+                v[..., late], start[late] = np.stack([top[0], bottom[1]])[..., None], recent
             elif len(late):
-                ends = np.zeros((len(late), 2, BLOCK, BLOCK), np.int64) + [top[0], bottom[1]]
-                ends = replayed(ends, np.full(len(late), recent), units[late], size, top) - bottom
-                same = (ends[:, 0] == ends[:, 1]).all(axis=(1, 2))
-                v[late[same]], start[late[same]] = ends[same, 0], oldest + len(past)
-            return replayed(v, start, units, size, top if size == CELL else levels - 1)
+                both = np.zeros((2, BLOCK, BLOCK, len(late)), np.int32) + np.stack([top[0], bottom[1]])[..., None]
+                both = replayed(both, np.full(len(late), recent), units[late], size, ends[CELL]) - bottom[..., None]
+                same = (both[0] == both[1]).all(axis=(0, 1))
+                v[..., late[same]], start[late[same]] = both[0][..., same], oldest + len(past)
+            return replayed(v, start, units, size, ends[size])
 
         def moved(frames: int, s: Stamps, units: np.ndarray, size: int) -> Iterator[np.ndarray]:
             """The values after each frame of the batch; they go on."""
-            v, most = caught_up(units, size), top if size == CELL else levels - 1
+            v = caught_up(units, size)
             coming = on_units(s, units, size)
             stamp = next(coming, None)
             for frame in range(frames):
-                v = powers[0][v]
-                while stamp and stamp[0] == frame:
-                    v = np.minimum(v + stamp[1], most)
-                    stamp = next(coming, None)
+                v = powers[0].take(v, mode="clip")
+                if stamp and stamp[0] == frame:
+                    while stamp and stamp[0] == frame:
+                        v[..., stamp[1]] += stamp[2]
+                        stamp = next(coming, None)
+                    np.minimum(v, ends[size], out=v)
                 yield v
-            fine[size][units], since[size][units] = v, oldest + len(past) + 1
+            fine[size][units], since[size][units] = np.moveaxis(v, -1, 0), oldest + len(past) + 1
 
         def blocks_of(frames: int, s: Stamps, cells: np.ndarray) -> np.ndarray:
             """Blocks of ``cells`` that can hold the hottest pixel in some frame of the batch."""
-            blocks = cells[:, None] * parts * parts + np.arange(parts * parts)
+            blocks = cells * parts * parts + np.arange(parts * parts)[:, None]
             x, y = corner(blocks, BLOCK)
             place, wanted = y * (cols * CELL) + x, np.zeros(blocks.shape, bool)
             for v in moved(frames, s, cells, CELL):
-                bound, first = (v - bottom).reshape(len(cells), 2, -1).swapaxes(0, 1)
+                bound, first = v.reshape(2, *blocks.shape)
                 least = first.max()
-                wanted |= bound > least
-                if least:
-                    wanted |= (bound == least) & (place <= place[first == least].min())
-            return blocks[wanted]
+                wanted |= bound > least - levels
+                if least > 2 * levels:
+                    wanted |= (bound == least - levels) & (place <= place[first == least].min())
+            return from_left(blocks[wanted], BLOCK)
 
         def searched(frames: int, s: Stamps, blocks: np.ndarray) -> tuple[list[int], list[int]]:
             """Value and place of the hottest pixel of ``blocks`` in each frame of the batch."""
             value, place = [0] * frames, [0] * frames
+            inner = np.arange(BLOCK)
             for begin in range(0, len(blocks), BLOCKS_AT_ONCE):
                 some = blocks[begin : begin + BLOCKS_AT_ONCE]
-                x, y = (k[:, None, None] for k in corner(some, BLOCK))
-                at = (y + np.arange(BLOCK)[:, None]) * (cols * CELL) + x + np.arange(BLOCK)
+                x, y = corner(some, BLOCK)
+                at = (y + inner[:, None, None]) * (cols * CELL) + x + inner[:, None]
                 for frame, v in enumerate(moved(frames, s, some, BLOCK)):
                     most = int(v.max())
                     if most >= value[frame]:
@@ -256,8 +296,8 @@ def hottest(width: int, height: int, influence: float, levels: int, rate: int, a
             return value, place
 
         def batch() -> list[tuple]:
-            nonlocal oldest, point
-            frames = len(waiting)
+            nonlocal oldest, point, held
+            frames, held = len(waiting), 0
             s = stamps(np.repeat(np.arange(frames), [len(b) for _, b in waiting]), np.concatenate([b for _, b in waiting]), width, height, influence)
             cells = cells_of(frames, s)
             blocks = blocks_of(frames, s, cells) if len(cells) else cells
@@ -292,9 +332,11 @@ def hottest(width: int, height: int, influence: float, levels: int, rate: int, a
             oldest += forget
 
         def advance(frame, boxes):
+            nonlocal held
             if frame is not None:
                 waiting.append((frame, boxes))
-            return batch() if waiting and (frame is None or len(waiting) == FRAMES_AT_ONCE) else []
+                held += len(boxes)
+            return batch() if waiting and (frame is None or len(waiting) >= FRAMES_AT_ONCE or held >= BOXES_AT_ONCE) else []
 
         return advance
 
