@@ -345,7 +345,9 @@ def encoded_labels(spark, d):
 
 
 def heatmap_poi(spark, d):
-    return tracking.heatmap_track(_packed(spark, d))
+    # by frame from the beginning: one shuffle of the detections instead of one for repeated rows and one for frames
+    detections = load(spark, d, "detections").repartition("video_id", "frame_id")
+    return tracking.heatmap_track(tracking.packed_frames(load(spark, d, "frames"), B.distinct_boxes(detections)))
 
 
 def heatmap_disc(spark, d):

@@ -351,6 +351,15 @@ def test_heatmap_of_many_moving_boxes_is_done_in_time():
     assert (took[2] - took[1]) / 500 < (took[1] - took[0]) / 50 / 10
 
 
+def test_heatmap_shuffles_detections_by_frame_only(spark, sf_dir):
+    from framewright.plans import reference_queries as queries
+
+    found = queries.heatmap_poi(spark, sf_dir)
+    plan = found._jdf.queryExecution().executedPlan().toString().splitlines()
+    assert not [line for line in plan if "Exchange" in line and "x1" in line]
+    assert {tuple(r) for r in found.collect()} == {tuple(r) for r in tracking.heatmap_track(queries._packed(spark, sf_dir)).collect()}
+
+
 def test_heatmap_is_spread_over_tasks(spark):
     packed = tracking.packed_frames(spark.createDataFrame([(v, 0) for v in range(64)], "video_id int, frame_id long"), spark.createDataFrame([box(1, 0, 100.0, 200.0)], BOX))
     got = tracking.heatmap_track(packed).withColumn("task", F.spark_partition_id()).select("task").distinct().count()
